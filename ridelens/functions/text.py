@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 # Characters with a meaning in Java and RE2 patterns outside character classes.
 _REGEX_META = set("\\.^$|?*+()[]{}")
 
+# The non-ASCII letters that match an ASCII letter under
+# case-insensitive Unicode matching, and the letter each one stands for
+# (dotted capital I, long s, dotless i). The Kelvin sign lower-cases to 'k'.
+FOLD_FROM = "İſı"
+FOLD_TO = "isi"
+
 
 def literal_pattern(phrase: str) -> str:
     """The phrase as a regex matching itself (metacharacters escaped); valid in
@@ -22,18 +28,64 @@ def alternation(phrases: Sequence[str]) -> str:
     return "(?:" + "|".join(literal_pattern(p) for p in phrases) + ")"
 
 
+def fold_case(text: str | Column) -> Column:
+    """Text in which a substring equals a lower-cased ASCII phrase exactly when
+    the original contains the phrase ignoring case (Unicode simple folding, as
+    a case-insensitive regex would match it): the three letters whose case
+    partner is ASCII but which lower-case to something else are mapped first,
+    then everything is lower-cased (one character each, so nothing shifts)."""
+    text = F.col(text) if isinstance(text, str) else text
+    return F.lower(F.translate(text, FOLD_FROM, FOLD_TO))
+
+
+def _is_ascii(phrase: str) -> bool:
+    return all(ord(ch) < 128 for ch in phrase)
+
+
+def contains_any(folded: str | Column, phrases: Sequence[str]) -> Column:
+    """Boolean: the case-folded text (see :func:`fold_case`) contains one of
+    the phrases, ignoring case. ASCII phrases use a plain substring search;
+    others fall back to a ``(?iu)`` regex on the same text."""
+    folded = F.col(folded) if isinstance(folded, str) else folded
+    tests = [folded.contains(p.lower()) for p in phrases if _is_ascii(p)]
+    other = [p for p in phrases if not _is_ascii(p)]
+    if other:
+        tests.append(folded.rlike("(?iu)" + alternation(other)))
+    cond = tests[0]
+    for t in tests[1:]:
+        cond = cond | t
+    return cond
+
+
+def phrase_mask(folded: str | Column, groups: Sequence[Sequence[str]]) -> Column:
+    """BIGINT with bit i set when the text contains a phrase of ``groups[i]``
+    (ignoring case); a NULL text gives 0. One column holds every flag, so the
+    substring searches run once per row however many flags are read from it."""
+    if len(groups) > 62:
+        raise ValueError("at most 62 phrase groups per mask")
+    mask = F.lit(0).cast("bigint")
+    for i, phrases in enumerate(groups):
+        mask = mask + F.when(contains_any(folded, phrases), F.lit(1 << i)).otherwise(F.lit(0))
+    return mask.cast("bigint")
+
+
+def mask_bit(mask: str | Column, i: int) -> Column:
+    """Bit i of a :func:`phrase_mask` as INT 0/1."""
+    mask = F.col(mask) if isinstance(mask, str) else mask
+    return F.shiftright(mask, i).bitwiseAND(F.lit(1)).cast("int")
+
+
 def any_phrase(text: str | Column, phrases: Sequence[str]) -> Column:
     """1 if the text contains any phrase as a substring, ignoring case with
-    Unicode folding (``(?iu)``: plain ``(?i)`` in Java misses e.g. the long s);
-    0 otherwise, including for a NULL text."""
-    text = F.col(text) if isinstance(text, str) else text
-    return F.coalesce(text.rlike("(?iu)" + alternation(phrases)), F.lit(False)).cast("int")
+    Unicode folding; 0 otherwise, including for a NULL text."""
+    return F.coalesce(contains_any(fold_case(text), phrases), F.lit(False)).cast("int")
 
 
 def phrase_occurrences(text: str | Column, phrase: str) -> Column:
     """Non-overlapping occurrences of ``phrase`` in ``text`` (case-sensitive),
     as BIGINT; 0 for a NULL text. Byte lengths make the count independent of
-    how characters are counted."""
+    how characters are counted; ``replace`` returns the input untouched when
+    the phrase is absent, so misses cost one search and no copy."""
     if not phrase:
         raise ValueError("empty phrase")
     text = F.col(text) if isinstance(text, str) else text

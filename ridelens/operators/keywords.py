@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ridelens.functions.text import any_phrase, phrase_occurrences
+from ridelens.functions.text import fold_case, mask_bit, phrase_mask, phrase_occurrences
 
 # The default keyword dictionary (aspect -> sentiment -> phrases),
 # in the order the analysis defines it. Phrase order breaks ties in the top-k.
@@ -77,10 +77,22 @@ def keyword_flags(df: DataFrame, text_col: str = "review",
                   aspects: Sequence[str] = FLAG_ASPECTS,
                   sentiments: Sequence[str] = SENTIMENTS) -> DataFrame:
     """One 0/1 column ``<aspect>_<sentiment>`` per dictionary entry: does
-    the text contain any of its phrases (substring, any case)? NULL text -> 0."""
-    flags = [any_phrase(text_col, dictionary[a][s]).alias(f"{a}_{s}")
-             for a in aspects for s in sentiments]
-    return df.select("*", *flags)
+    the text contain any of its phrases (substring, any case)? NULL text -> 0.
+
+    The text is case-folded once per row, all entries are searched into one
+    bit mask, and the flags are bits of it: three projections that Catalyst
+    keeps apart because the folded text and the mask are read many times.
+    """
+    entries = [(a, s) for a in aspects for s in sentiments]
+    if len(entries) > 62:
+        raise ValueError("at most 62 aspect x sentiment entries")
+    folded = df.select("*", fold_case(F.col(text_col)).alias("_folded"))
+    masked = folded.select(*[F.col(c) for c in df.columns],
+                           phrase_mask("_folded", [dictionary[a][s] for a, s in entries])
+                           .alias("_mask"))
+    return masked.select(*[F.col(c) for c in df.columns],
+                         *[mask_bit("_mask", i).alias(f"{a}_{s}")
+                           for i, (a, s) in enumerate(entries)])
 
 
 def aspect_labels(df: DataFrame, aspects: Sequence[str] = LABEL_ASPECTS,
@@ -160,6 +172,12 @@ def sentiment_rollup(classified: DataFrame, time_cols: Sequence[str] = ("year",
     """Rows with a NULL key dropped, grouped by calendar parts and the
     five labels, with the five ``_val`` sums; ordered by the keys."""
     keys = [*time_cols, *aspects]
-    return (classified.dropna(subset=keys).groupBy(*keys)
+    # One IS NOT NULL per key, not dropna(): Catalyst folds the test to true
+    # for the never-NULL labels instead of re-evaluating them below the
+    # projection (dropna's atleastnnonnulls would inline the text search).
+    present = F.lit(True)
+    for k in keys:
+        present = present & F.col(k).isNotNull()
+    return (classified.where(present).groupBy(*keys)
             .agg(*[F.sum(f"{a}_val").cast("bigint").alias(f"{a}_val") for a in aspects])
             .orderBy(*keys))

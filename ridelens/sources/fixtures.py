@@ -12,6 +12,8 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ridelens.sources.tables import spread
+
 # Fixed values of the fixture binding (FIXTURES.md): platform by key % 3,
 # age group by nation % 6 (index 5 is NULL), review opening phrase by doc % 11.
 PLATFORMS = ["ios", "android", "web"]
@@ -100,7 +102,7 @@ def transactions(lineitem: DataFrame) -> DataFrame:
 def reviews(documents: DataFrame, orders: DataFrame) -> DataFrame:
     """Reviews: an opening phrase from ``REVIEW_PHRASES`` followed by the whole
     document text, so keyword work scales with the real text volume."""
-    d = documents.select("doc_id", "text")
+    d = spread(documents.select("doc_id", "text"), "doc_id")
     o = orders.select(F.col("o_orderkey"), F.col("o_custkey"))
     doc = F.col("doc_id")
     phrase = _pick(doc % 11, REVIEW_PHRASES)
