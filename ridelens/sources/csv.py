@@ -22,7 +22,11 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | str,
     """Read with an explicit schema (no inference pass). Columns listed in
     ``empty_as_blank`` map a missing value back to ``''`` (labels are ``''``
     when absent, and a CSV cannot tell ``''`` from NULL everywhere)."""
-    df = spark.read.schema(schema).options(**CSV_OPTIONS).csv(path)
+    # The writer puts NULL as an empty field and '' as a quoted "": reading
+    # with a NUL-character null marker keeps the two apart (an unquoted empty
+    # field still reads as NULL). Files from tools that write both as empty
+    # (pandas) read as NULL, hence ``empty_as_blank``.
+    df = spark.read.schema(schema).options(**CSV_OPTIONS, nullValue="\u0000").csv(path)
     if empty_as_blank:
         df = df.withColumns({c: F.coalesce(F.col(c), F.lit("")) for c in empty_as_blank})
     return df

@@ -1,0 +1,156 @@
+"""Review sample, keyword flags, labels, counts, top-k and rollup
+(traps T12-T17), checked against plain Python on the same rows."""
+
+import hashlib
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from ridelens.operators import keywords, sampling
+from ridelens.operators.keywords import DEFAULT_DICTIONARY, FLAG_ASPECTS, SENTIMENTS
+from ridelens.sources import csv as csv_io
+from ridelens.session import new_scratch_path
+
+TEXTS = [
+    "Drivers were courteous and the ride arrived on time",
+    "the app had constant glitches, GPS crashed repeatedly",
+    "A bit unfriendly driver, he got lost",
+    "the car was not clean and quite uncomfortable",
+    "Great service! great service!",
+    "fare increased, I was overcharged",
+    "app is easy; pickup promptly",
+    "the trip was unsafe and the driver rude, rude, RUDE",
+    "no comment",
+    "ſafe trip with a Knowledgeable driver",   # long s, Kelvin sign
+    "İNCORRECT arrival, ıncorrect route",             # dotted I, dotless i
+    "aaaa",
+    "",
+    None,
+]
+
+
+@pytest.fixture
+def texts(spark):
+    return spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)],
+                                 "id INT, review STRING")
+
+
+def python_flag(text, phrases):
+    """The reference's rule: str.contains(pattern, case=False, regex=True)."""
+    if text is None:
+        return 0
+    return int(re.search("|".join(phrases), text, re.IGNORECASE) is not None)
+
+
+def test_flags_match_python_regex(texts):
+    got = {r.id: r for r in keywords.keyword_flags(texts).collect()}
+    for i, text in enumerate(TEXTS):
+        for a in FLAG_ASPECTS:
+            for s in SENTIMENTS:
+                want = python_flag(text, DEFAULT_DICTIONARY[a][s])
+                assert got[i][f"{a}_{s}"] == want, (text, a, s)
+
+
+def test_unicode_case_folding(texts):
+    # Long s folds to s, Kelvin sign to k, dotted and dotless i to i
+    got = {r.id: r for r in keywords.keyword_flags(texts).collect()}
+    assert got[9].ride_positive == 1 and got[9].driver_positive == 1
+    assert got[10].wait_time_negative == 1
+
+
+def test_labels_follow_priority_and_shadowing(texts):
+    got = {r.id: r for r in keywords.classify_reviews(texts).collect()}
+    assert got[1].app == "satisfactory"        # 'constant glitches' shadowed by 'glitches'
+    assert got[2].driver == "positive"         # 'a bit unfriendly' shadowed by 'friendly'
+    assert got[3].ride == "positive"           # 'not clean' shadowed by 'clean'
+    assert got[5].price == "satisfactory"
+    assert got[6].app == "positive" and got[6].wait_time == "positive"
+    assert got[8].app == "" and got[8].app_val == 0
+    for r in got.values():
+        for a in keywords.LABEL_ASPECTS:
+            assert r[f"{a}_val"] == int(r[a] != "")
+    # A NULL review is unlabelled, not an error
+    assert all(got[13][a] == "" for a in keywords.LABEL_ASPECTS)
+    assert "app_positive" not in keywords.classify_reviews(texts).columns
+
+
+def test_keyword_counts_match_python_counter(texts):
+    counts = {(r.aspect, r.sentiment, r.phrase): r.n
+              for r in keywords.keyword_counts(texts).collect()}
+    for a, s, _, p in keywords.dictionary_rows():
+        want = sum(t.lower().count(p) for t in TEXTS if t is not None)
+        assert counts[(a, s, p)] == want, p
+    # The counter lowers the text but not the phrase
+    assert counts[("ride", "positive", "Great service!")] == 0
+    assert counts[("driver", "negative", "rude")] == 3
+
+
+def test_top_keywords_ties_and_zeros(texts):
+    top = keywords.top_keywords(keywords.keyword_counts(texts))
+    rows = [r for r in top.orderBy("aspect", "sentiment", "rank").collect()
+            if (r.aspect, r.sentiment) == ("price", "positive")]
+    # Every count is 0, so dictionary order decides and zeros are listed
+    assert [(r.phrase, r.n) for r in rows] == [("saves", 0), ("quickly", 0), ("affordable", 0)]
+    assert top.groupBy("aspect", "sentiment").count().where("count > 5").count() == 0
+
+
+def test_flag_value_counts(texts):
+    got = {(r.flag, r.value): r.n
+           for r in keywords.flag_value_counts(keywords.keyword_flags(texts)).collect()}
+    flagged = keywords.keyword_flags(texts).collect()
+    for c in keywords.flag_columns():
+        ones = sum(r[c] for r in flagged)
+        assert got.get((c, 1), 0) == ones
+        assert got.get((c, 0), 0) == len(TEXTS) - ones
+        assert all(n > 0 for n in got.values())
+
+
+def test_rollup_drops_null_keys_keeps_blank_labels(spark):
+    df = spark.createDataFrame(
+        [(1, 2022, 5, 8, 5, "rude"), (2, 2022, 5, 8, 4, "no comment"),
+         (3, None, None, None, 3, "rude"), (4, 2022, 5, 8, 1, "horrible")],
+        "user_id BIGINT, year BIGINT, month BIGINT, hour BIGINT, rating INT, review STRING")
+    got = keywords.sentiment_rollup(keywords.classify_reviews(df)).collect()
+    # The orphan (NULL time) row is dropped, '' labels form groups
+    assert len(got) == 2
+    neg = [r for r in got if r.driver == "negative"][0]
+    assert (neg.driver_val, neg.app) == (2, "")
+
+
+def test_sample_matches_brute_force(spark, small_world):
+    t = small_world
+    for n in (1, 2, 3, 10):
+        got = sampling.review_sample(t["reviews"], t["ride_requests"], n=n, seed=7).collect()
+        revs = t["reviews"].collect()
+        key = lambda r: hashlib.md5(f"7|{r.ride_id}|{r.user_id}".encode()).hexdigest()  # noqa
+        want = sorted(revs, key=lambda r: (key(r), r.rating, r.review))[:n]
+        assert [(r.user_id, r.rating, r.review) for r in got] == \
+               [(r.user_id, r.rating, r.review) for r in want]
+
+
+def test_sample_threshold_path_is_exact(spark):
+    # large N and small n takes the prefix-threshold path; compare with a full sort
+    rides = spark.createDataFrame([], "ride_id BIGINT, request_ts TIMESTAMP_NTZ")
+    reviews = spark.range(20000).select(F.col("id").alias("ride_id"),
+                                        (F.col("id") % 97).alias("user_id"),
+                                        F.lit(3).alias("rating"), F.lit("ok").alias("review"))
+    got = sampling.review_sample(reviews, rides, n=50, seed=1)
+    src = sampling.reviews_for_sample(reviews, rides, 1)
+    want = src.orderBy("_key").limit(50).select(*sampling.SAMPLE_COLUMNS)
+    assert got.collect() == want.collect()
+    assert got.count() == 50
+
+
+def test_csv_roundtrip_keeps_quotes_newlines_and_blanks(spark):
+    # Embedded newline, doubled quote, comma, empty label
+    df = spark.createDataFrame(
+        [(1, 2022, 5, 8, 5, 'he said "fine",\nthen left'), (2, None, None, None, 1, None),
+         (3, 2022, 1, 2, 2, "")],
+        "user_id BIGINT, year BIGINT, month BIGINT, hour BIGINT, rating INT, review STRING")
+    classified = keywords.classify_reviews(df)
+    path = csv_io.write_csv(classified, new_scratch_path(spark, "t15"))
+    back = csv_io.read_csv(spark, path, classified.schema,
+                           empty_as_blank=keywords.LABEL_ASPECTS)
+    assert sorted(map(tuple, back.collect()), key=lambda r: r[0]) == \
+           sorted(map(tuple, classified.collect()), key=lambda r: r[0])
