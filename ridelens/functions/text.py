@@ -42,53 +42,83 @@ def _is_ascii(phrase: str) -> bool:
     return all(ord(ch) < 128 for ch in phrase)
 
 
-def contains_any(folded: str | Column, phrases: Sequence[str]) -> Column:
-    """Boolean: the case-folded text (see :func:`fold_case`) contains one of
-    the phrases, ignoring case. ASCII phrases use a plain substring search;
-    others fall back to a ``(?iu)`` regex on the same text."""
-    folded = F.col(folded) if isinstance(folded, str) else folded
-    tests = [folded.contains(p.lower()) for p in phrases if _is_ascii(p)]
+def sql_string(value: str) -> str:
+    """A Spark SQL string literal (backslash and quote escaped)."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def sql_name(name: str) -> str:
+    """A back-quoted Spark SQL identifier."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def contains_any_sql(folded: str, phrases: Sequence[str]) -> str:
+    """SQL boolean: the case-folded text column (see :func:`fold_case`)
+    contains one of the phrases, ignoring case. ASCII phrases use a plain
+    substring search; others fall back to a ``(?iu)`` regex on the same text."""
+    col = sql_name(folded)
+    tests = [f"contains({col}, {sql_string(p.lower())})" for p in phrases if _is_ascii(p)]
     other = [p for p in phrases if not _is_ascii(p)]
     if other:
-        tests.append(folded.rlike("(?iu)" + alternation(other)))
-    cond = tests[0]
-    for t in tests[1:]:
-        cond = cond | t
-    return cond
+        tests.append(f"{col} RLIKE {sql_string('(?iu)' + alternation(other))}")
+    return "(" + " OR ".join(tests) + ")"
 
 
-def phrase_mask(folded: str | Column, groups: Sequence[Sequence[str]]) -> Column:
-    """BIGINT with bit i set when the text contains a phrase of ``groups[i]``
-    (ignoring case); a NULL text gives 0. One column holds every flag, so the
-    substring searches run once per row however many flags are read from it."""
+def contains_any(folded: str, phrases: Sequence[str]) -> Column:
+    """Column form of :func:`contains_any_sql`."""
+    return F.expr(contains_any_sql(folded, phrases))
+
+
+def phrase_mask(folded: str, groups: Sequence[Sequence[str]]) -> Column:
+    """BIGINT with bit i set when the folded text column contains a phrase of
+    ``groups[i]`` (ignoring case); a NULL text gives 0. One column holds every
+    flag, so the substring searches run once per row however many flags are
+    read from it. Built as one SQL expression (one call into the JVM)."""
     if len(groups) > 62:
         raise ValueError("at most 62 phrase groups per mask")
-    mask = F.lit(0).cast("bigint")
-    for i, phrases in enumerate(groups):
-        mask = mask + F.when(contains_any(folded, phrases), F.lit(1 << i)).otherwise(F.lit(0))
-    return mask.cast("bigint")
+    terms = [f"CASE WHEN {contains_any_sql(folded, phrases)} THEN {1 << i}L ELSE 0L END"
+             for i, phrases in enumerate(groups)]
+    return F.expr(" + ".join(terms) if terms else "0L")
+
 
+def mask_bit_sql(mask: str, i: int) -> str:
+    """Bit i of a :func:`phrase_mask` column as INT 0/1 (SQL)."""
+    return f"CAST(shiftright({sql_name(mask)}, {i}) & 1L AS INT)"
 
-def mask_bit(mask: str | Column, i: int) -> Column:
-    """Bit i of a :func:`phrase_mask` as INT 0/1."""
-    mask = F.col(mask) if isinstance(mask, str) else mask
-    return F.shiftright(mask, i).bitwiseAND(F.lit(1)).cast("int")
+
+def mask_bit(mask: str, i: int) -> Column:
+    return F.expr(mask_bit_sql(mask, i))
 
 
 def any_phrase(text: str | Column, phrases: Sequence[str]) -> Column:
     """1 if the text contains any phrase as a substring, ignoring case with
-    Unicode folding; 0 otherwise, including for a NULL text."""
-    return F.coalesce(contains_any(fold_case(text), phrases), F.lit(False)).cast("int")
+    Unicode folding; 0 otherwise, including for a NULL text. For one-off use;
+    :func:`phrase_mask` serves many phrase groups in one pass."""
+    text = F.col(text) if isinstance(text, str) else text
+    folded = fold_case(text)
+    tests = [folded.contains(p.lower()) for p in phrases if _is_ascii(p)]
+    other = [p for p in phrases if not _is_ascii(p)]
+    if other:
+        tests.append(folded.rlike("(?iu)" + alternation(other)))
+    cond = tests[0]
+    for t in tests[1:]:
+        cond = cond | t
+    return F.coalesce(cond, F.lit(False)).cast("int")
 
 
-def phrase_occurrences(text: str | Column, phrase: str) -> Column:
-    """Non-overlapping occurrences of ``phrase`` in ``text`` (case-sensitive),
-    as BIGINT; 0 for a NULL text. Byte lengths make the count independent of
-    how characters are counted; ``replace`` returns the input untouched when
-    the phrase is absent, so misses cost one search and no copy."""
+def phrase_occurrences_sql(text: str, phrase: str) -> str:
+    """SQL BIGINT: non-overlapping occurrences of ``phrase`` in the text column
+    (case-sensitive), 0 for a NULL text. Byte lengths make the count
+    independent of how characters are counted; ``replace`` returns its input
+    untouched when the phrase is absent, so a miss costs one search, no copy."""
     if not phrase:
         raise ValueError("empty phrase")
-    text = F.col(text) if isinstance(text, str) else text
-    removed = F.octet_length(text) - F.octet_length(F.replace(text, F.lit(phrase), F.lit("")))
+    col = sql_name(text)
     width = len(phrase.encode("utf-8"))
-    return F.coalesce((removed / F.lit(width)).cast("bigint"), F.lit(0).cast("bigint"))
+    return (f"coalesce((octet_length({col}) - octet_length(replace({col}, "
+            f"{sql_string(phrase)}, ''))) div {width}, 0L)")
+
+
+def phrase_occurrences(text: str, phrase: str) -> Column:
+    """Column form of :func:`phrase_occurrences_sql`."""
+    return F.expr(phrase_occurrences_sql(text, phrase))

@@ -12,7 +12,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ridelens.functions.text import fold_case, mask_bit, phrase_mask, phrase_occurrences
+from ridelens.functions.text import (fold_case, mask_bit_sql, phrase_mask,
+                                     phrase_occurrences_sql, sql_name, sql_string)
 
 # The default keyword dictionary (aspect -> sentiment -> phrases),
 # in the order the analysis defines it. Phrase order breaks ties in the top-k.
@@ -86,31 +87,28 @@ def keyword_flags(df: DataFrame, text_col: str = "review",
     entries = [(a, s) for a in aspects for s in sentiments]
     if len(entries) > 62:
         raise ValueError("at most 62 aspect x sentiment entries")
+    keep = [sql_name(c) for c in df.columns]
     folded = df.select("*", fold_case(F.col(text_col)).alias("_folded"))
     masked = folded.select(*[F.col(c) for c in df.columns],
                            phrase_mask("_folded", [dictionary[a][s] for a, s in entries])
                            .alias("_mask"))
-    return masked.select(*[F.col(c) for c in df.columns],
-                         *[mask_bit("_mask", i).alias(f"{a}_{s}")
-                           for i, (a, s) in enumerate(entries)])
+    return masked.selectExpr(*keep, *[f"{mask_bit_sql('_mask', i)} AS {sql_name(f'{a}_{s}')}"
+                                      for i, (a, s) in enumerate(entries)])
 
 
 def aspect_labels(df: DataFrame, aspects: Sequence[str] = LABEL_ASPECTS,
                   sentiments: Sequence[str] = SENTIMENTS) -> DataFrame:
     """C7 (first half): per aspect the first sentiment flagged in priority
     order (else ``''``) and ``<aspect>_val`` = 1 if labelled."""
-    labelled = []
+    labels = []
     for a in aspects:
-        label = None
-        for s in sentiments:
-            hit = F.col(f"{a}_{s}") == 1
-            label = F.when(hit, F.lit(s)) if label is None else label.when(hit, F.lit(s))
-        labelled.append(label.otherwise(F.lit("")).alias(a))
-    out = df.select("*", *labelled)
-    vals = {f"{a}_val": (F.col(a) != "").cast("bigint") for a in aspects}
-    ordered = [c for a in aspects for c in (a, f"{a}_val")]
-    rest = [c for c in df.columns]
-    return out.withColumns(vals).select(*rest, *ordered)
+        whens = " ".join(f"WHEN {sql_name(f'{a}_{s}')} = 1 THEN {sql_string(s)}"
+                         for s in sentiments)
+        labels.append(f"CASE {whens} ELSE '' END AS {sql_name(a)}")
+    out = df.selectExpr("*", *labels)
+    vals = [e for a in aspects
+            for e in (sql_name(a), f"CAST({sql_name(a)} <> '' AS BIGINT) AS {sql_name(a + '_val')}")]
+    return out.selectExpr(*[sql_name(c) for c in df.columns], *vals)
 
 
 def classify_reviews(df: DataFrame, text_col: str = "review",
@@ -120,20 +118,25 @@ def classify_reviews(df: DataFrame, text_col: str = "review",
     return aspect_labels(flagged).drop(*flag_columns())
 
 
+def _unpivot_sql(rows: Sequence[Sequence[tuple[str, str]]]) -> str:
+    """``inline(array(named_struct(...), ...))`` over (field, SQL expr) lists."""
+    structs = ["named_struct(" + ", ".join(f"{sql_string(k)}, {v}" for k, v in row) + ")"
+               for row in rows]
+    return "inline(array(" + ", ".join(structs) + "))"
+
+
 def flag_value_counts(flagged: DataFrame, flags: Sequence[str] | None = None) -> DataFrame:
     """``flag, value, n`` - frequency of each 0/1 value per flag column,
     values with no rows omitted. One pass of sums, then a 2*15-row unpivot."""
     flags = list(flags or flag_columns())
-    sums = flagged.agg(F.count(F.lit(1)).alias("_rows"),
-                       *[F.sum(F.col(c)).alias(c) for c in flags])
-    entries = []
-    for c in flags:
-        ones = F.coalesce(F.col(c), F.lit(0)).cast("bigint")
-        entries.append(F.struct(F.lit(c).alias("flag"), F.lit(1).alias("value"),
-                                ones.alias("n")))
-        entries.append(F.struct(F.lit(c).alias("flag"), F.lit(0).alias("value"),
-                                (F.col("_rows") - ones).alias("n")))
-    return sums.select(F.inline(F.array(*entries))).where(F.col("n") > 0)
+    sums = flagged.selectExpr("count(1) AS _rows",
+                              *[f"coalesce(sum({sql_name(c)}), 0L) AS _s{i}"
+                                for i, c in enumerate(flags)])
+    rows = []
+    for i, c in enumerate(flags):
+        rows.append([("flag", sql_string(c)), ("value", "1"), ("n", f"_s{i}")])
+        rows.append([("flag", sql_string(c)), ("value", "0"), ("n", f"_rows - _s{i}")])
+    return sums.selectExpr(_unpivot_sql(rows)).where(F.col("n") > 0)
 
 
 def keyword_counts(df: DataFrame, text_col: str = "review",
@@ -149,13 +152,11 @@ def keyword_counts(df: DataFrame, text_col: str = "review",
     distinct = list(dict.fromkeys(p for _, _, _, p in rows))
     slot = {p: f"_k{i}" for i, p in enumerate(distinct)}
     lowered = df.select(F.lower(F.col(text_col)).alias("_t"))
-    totals = lowered.agg(*[F.sum(phrase_occurrences("_t", p)).alias(slot[p])
-                           for p in distinct])
-    entries = [F.struct(F.lit(a).alias("aspect"), F.lit(s).alias("sentiment"),
-                        F.lit(i).alias("pos"), F.lit(p).alias("phrase"),
-                        F.coalesce(F.col(slot[p]), F.lit(0)).cast("bigint").alias("n"))
-               for a, s, i, p in rows]
-    return totals.select(F.inline(F.array(*entries)))
+    totals = lowered.selectExpr(*[f"coalesce(sum({phrase_occurrences_sql('_t', p)}), 0L)"
+                                  f" AS {slot[p]}" for p in distinct])
+    return totals.selectExpr(_unpivot_sql([
+        [("aspect", sql_string(a)), ("sentiment", sql_string(s)), ("pos", str(i)),
+         ("phrase", sql_string(p)), ("n", slot[p])] for a, s, i, p in rows]))
 
 
 def top_keywords(counts: DataFrame, k: int = 5) -> DataFrame:

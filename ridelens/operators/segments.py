@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ridelens.functions.numeric import ratio, round_mean_half_up
 from ridelens.functions.time import minute_field, time_parts
@@ -126,10 +127,62 @@ USER_STAGES = [ux_downloads, ux_signups, ux_requested, ux_accepted, ux_completed
                ux_payment, ux_review]
 
 
+def _stacked(grouped: DataFrame, stages: list[tuple[int, str, str, dict[str, Column]]],
+             schema: str) -> DataFrame:
+    """One output row per (segment, stage) for the stages the segment has rows
+    in: ``stages`` holds (number, name, row-count column, output columns by
+    name); every stage row carries the full schema, absent columns NULL."""
+    fields = [f for f in StructType.fromDDL(schema).fields if f.name not in SEGMENT_KEYS]
+    entries = []
+    for step, name, present, values in stages:
+        cols = {"funnel_step": F.lit(step), "funnel_name": F.lit(name), **values}
+        entries.append(F.struct(
+            F.col(present).alias("_present"),
+            *[(cols[f.name] if f.name in cols else F.lit(None)).cast(f.dataType).alias(f.name)
+              for f in fields]))
+    rows = grouped.select(*SEGMENT_KEYS, F.inline(F.array(*entries)))
+    return align(rows.where(F.col("_present") > 0), schema)
+
+
+def ux_ride_stages(t: dict[str, DataFrame]) -> DataFrame:
+    """Stages 3-5 (requested, accepted, completed) from one pass over rides.
+
+    The rides join the per-ride transaction multiplicity and the user
+    dimension once; a first aggregate per (segment, user) - co-partitioned
+    with the join on user_id, so no extra shuffle - keeps per-stage row
+    counts, a second per segment turns them into each stage's
+    ``count(DISTINCT user_id)`` and ``count(user_id)``. Equal to stacking
+    :func:`ux_requested`, :func:`ux_accepted` and :func:`ux_completed`.
+    """
+    mult = transaction_multiplicity(t["transactions"])
+    rides = t["ride_requests"].select("ride_id", "user_id", "accept_ts", "cancel_ts") \
+        .join(mult, "ride_id", "left")
+    w5 = F.when(F.col("cancel_ts").isNull(), F.coalesce(F.col("n_tx"), F.lit(1))).otherwise(0)
+    per_user = _rides_by_user(rides, t).groupBy(*SEGMENT_KEYS, "user_id").agg(
+        F.count(F.lit(1)).alias("r3"),
+        F.count("accept_ts").alias("r4"),
+        F.sum(w5).alias("r5"))
+    known = F.col("user_id").isNotNull()
+    aggs = []
+    for k in ("3", "4", "5"):
+        r = F.col("r" + k)
+        aggs += [F.sum(r).alias("n" + k),
+                 F.sum(F.when(known & (r > 0), 1).otherwise(0)).cast("bigint").alias("u" + k),
+                 F.sum(F.when(known, r).otherwise(0)).cast("bigint").alias("c" + k)]
+    grouped = per_user.groupBy(*SEGMENT_KEYS).agg(*aggs)
+    stages = [(int(k), name, "n" + k, {"user_count": F.col("u" + k),
+                                        "ride_count": F.col("c" + k)})
+              for k, name in (("3", "ride_requested"), ("4", "ride_accepted"),
+                              ("5", "ride_completed"))]
+    return _stacked(grouped, stages, USER_EXTRACT_SCHEMA)
+
+
 def user_extract(t: dict[str, DataFrame]) -> DataFrame:
     """All seven stages stacked, ordered by stage. Stage number and group keys
-    are all in the output, so rows are unique and UNION equals UNION ALL."""
-    return union_all([stage(t) for stage in USER_STAGES]).orderBy("funnel_step")
+    are all in the output, so rows are unique and UNION equals UNION ALL.
+    Stages 3-5 share one pass over the rides (:func:`ux_ride_stages`)."""
+    parts = [ux_downloads(t), ux_signups(t), ux_ride_stages(t), ux_payment(t), ux_review(t)]
+    return union_all(parts).orderBy("funnel_step")
 
 
 # ---------------------------------------------------------------- ride grain
@@ -209,7 +262,91 @@ def rx_reviewed(t: dict[str, DataFrame]) -> DataFrame:
 RIDE_STAGES = [rx_requested, rx_accepted, rx_completed, rx_paid, rx_reviewed]
 
 
+def _coalesced_age(df: DataFrame) -> DataFrame:
+    return df.withColumn("age_range", F.coalesce(F.col("age_range"), F.lit(NOT_SPECIFIED)))
+
+
+def rx_ride_stages(t: dict[str, DataFrame]) -> DataFrame:
+    """Stages 3-5 at ride grain from one pass over the enriched rides.
+
+    A first aggregate per (segment, ride) keeps per-stage row counts and the
+    integer sums and counts of every minute field, a second per segment adds
+    them up: means are sum/count, the rounded mean uses the exact formula,
+    ``count(DISTINCT ride_id)`` counts rides present in the stage. Grouping
+    is on the raw age group, coalesced afterwards. Equal to stacking
+    :func:`rx_requested`, :func:`rx_accepted` and :func:`rx_completed`.
+    """
+    df = _enriched_rides(t["ride_requests"], t)
+    done = F.col("accept_ts").isNotNull() & F.col("dropoff_ts").isNotNull()
+    fields = {  # name -> minute field restricted to the rows of its stage
+        "rc": minute_field("cancel_ts", "request_ts"),
+        "ra": minute_field("accept_ts", "request_ts"),      # NULL unless accepted
+        "ap": minute_field("pickup_ts", "accept_ts"),       # NULL unless accepted
+        "ac": minute_field("cancel_ts", "accept_ts"),       # NULL unless accepted
+        "rp": F.when(done, minute_field("pickup_ts", "request_ts")),
+        "du": F.when(done, minute_field("dropoff_ts", "pickup_ts")),
+    }
+    per_ride = df.groupBy(*SEGMENT_KEYS, "ride_id").agg(
+        F.count(F.lit(1)).alias("r3"),
+        F.count("accept_ts").alias("r4"),
+        F.sum(F.when(done, 1).otherwise(0)).alias("r5"),
+        F.sum(F.when(F.col("cancel_ts").isNotNull(), 1).otherwise(0)).alias("cancelled"),
+        F.count("request_ts").alias("requested"),
+        *[a for name, m in fields.items()
+          for a in (F.sum(m).alias(name + "_s"), F.count(m).alias(name + "_n"))])
+    known = F.col("ride_id").isNotNull()
+    sums = ["cancelled", "requested"] + [n + sfx for n in fields for sfx in ("_s", "_n")]
+    grouped = per_ride.groupBy(*SEGMENT_KEYS).agg(
+        *[F.sum("r" + k).alias("n" + k) for k in "345"],
+        *[F.sum(F.when(known & (F.col("r" + k) > 0), 1).otherwise(0)).cast("bigint")
+          .alias("u" + k) for k in "345"],
+        *[F.sum(c).alias(c) for c in sums])
+    c = F.col
+    stages = [
+        (3, "ride_requested", "n3", {
+            "ride_count": c("u3"),
+            "avg_time_ride_requested_cancelled": round_mean_half_up(c("rc_s"), c("rc_n")),
+            "proportion_of_cancellations": ratio(c("cancelled"), c("requested"))}),
+        (4, "ride_accepted", "n4", {
+            "ride_count": c("u4"),
+            "avg_time_requested_accepted": ratio(c("ra_s"), c("ra_n")),
+            "avg_time_accepted_pickup": ratio(c("ap_s"), c("ap_n")),
+            "avg_time_accepted_cancelled": ratio(c("ac_s"), c("ac_n"))}),
+        (5, "ride_completed", "n5", {
+            "ride_count": c("u5"),
+            "avg_time_requested_pickup": ratio(c("rp_s"), c("rp_n")),
+            "avg_ride_duration": ratio(c("du_s"), c("du_n"))}),
+    ]
+    return _coalesced_age(_stacked(grouped, stages, RIDE_EXTRACT_SCHEMA))
+
+
+def rx_paid_stages(t: dict[str, DataFrame]) -> DataFrame:
+    """Stages 6-7 at ride grain from one pass: both count the same paid rides,
+    stage 6 sums their approved amount, stage 7 averages the ratings over the
+    (transaction x review) rows. Equal to stacking :func:`rx_paid` and
+    :func:`rx_reviewed`."""
+    paid = approved_per_ride(t["transactions"])
+    rated = t["reviews"].where(F.col("ride_id").isNotNull()).groupBy("ride_id").agg(
+        F.sum("rating").alias("rating_sum"), F.count("rating").alias("rating_n"))
+    rides = _completed(t["ride_requests"]).join(paid, "ride_id", "inner") \
+        .join(rated, "ride_id", "left")
+    grouped = _enriched_rides(rides, t).groupBy(*SEGMENT_KEYS).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.countDistinct("ride_id").cast("bigint").alias("ride_count"),
+        F.sum("amount").alias("amount"),
+        F.sum(F.col("n_tx") * F.col("rating_sum")).alias("rating_total"),
+        F.sum(F.col("n_tx") * F.col("rating_n")).alias("rating_count"))
+    c = F.col
+    stages = [
+        (6, "payment", "n", {"ride_count": c("ride_count"), "sum_purchase_amount": c("amount")}),
+        (7, "ride reviewed", "n", {"ride_count": c("ride_count"),
+                                   "avg_rating": ratio(c("rating_total"), c("rating_count"))}),
+    ]
+    return _coalesced_age(_stacked(grouped, stages, RIDE_EXTRACT_SCHEMA))
+
+
 def ride_extract(t: dict[str, DataFrame]) -> DataFrame:
     """Stages 3-7 at ride grain, SQL UNION: duplicates from the coalesced age
-    group are removed (UNION ALL would keep them)."""
-    return union_all([stage(t) for stage in RIDE_STAGES]).distinct()
+    group are removed (UNION ALL would keep them). Two passes: stages 3-5 over
+    all rides, stages 6-7 over the paid ones."""
+    return union_all([rx_ride_stages(t), rx_paid_stages(t)]).distinct()

@@ -9,6 +9,7 @@ Views stay lazy, so only the columns a query uses are read.
 from __future__ import annotations
 
 import os
+from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -114,17 +115,46 @@ def reviews(documents: DataFrame, orders: DataFrame) -> DataFrame:
                      F.concat(phrase, F.lit(" "), F.col("text")).alias("review")))
 
 
-def fixture_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """The five funnel tables as lazy views over the driver tables in ``sf_dir``."""
-    b = base_tables(spark, sf_dir)
-    return {
-        "app_downloads": app_downloads(b["customer"]),
-        "signups": signups(b["customer"]),
-        "ride_requests": ride_requests(b["orders"]),
-        "transactions": transactions(b["lineitem"]),
-        "reviews": reviews(b["documents"], b["orders"]),
+class FixtureTables(Mapping):
+    """The five funnel tables over the driver tables in ``sf_dir``, each view
+    (and each base scan) created on first use, so a query only plans the
+    tables it reads."""
+
+    _VIEWS = {
+        "app_downloads": (app_downloads, ("customer",)),
+        "signups": (signups, ("customer",)),
+        "ride_requests": (ride_requests, ("orders",)),
+        "transactions": (transactions, ("lineitem",)),
+        "reviews": (reviews, ("documents", "orders")),
     }
 
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self._spark, self._dir = spark, sf_dir
+        self._base: dict[str, DataFrame] = {}
+        self._views: dict[str, DataFrame] = {}
+
+    def _scan(self, name: str) -> DataFrame:
+        if name not in self._base:
+            self._base[name] = self._spark.read.parquet(os.path.join(self._dir, f"{name}.parquet"))
+        return self._base[name]
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._views:
+            build, sources = self._VIEWS[name]
+            self._views[name] = build(*[self._scan(s) for s in sources])
+        return self._views[name]
+
+    def __iter__(self):
+        return iter(self._VIEWS)
+
+    def __len__(self):
+        return len(self._VIEWS)
+
+
+def fixture_tables(spark: SparkSession, sf_dir: str) -> FixtureTables:
+    """The five funnel tables as lazy views over the driver tables in ``sf_dir``."""
+    return FixtureTables(spark, sf_dir)
+
 
 __all__ = ["fixture_tables", "app_downloads", "signups", "ride_requests",
            "transactions", "reviews", "REVIEW_PHRASES"]

@@ -111,3 +111,17 @@ def test_ride_extract_schema(small_world):
         "avg_time_accepted_pickup:double,avg_time_ride_requested_cancelled:double,"
         "avg_time_accepted_cancelled:double,proportion_of_cancellations:double,"
         "avg_ride_duration:double,sum_purchase_amount:decimal(22,2),avg_rating:double>")
+
+
+def test_fused_stages_equal_separate_stages(small_world):
+    from tests.conftest import canon
+    t = small_world
+    fused = segments.ux_ride_stages(t)
+    separate = segments.ux_requested(t).union(segments.ux_accepted(t)) \
+        .union(segments.ux_completed(t))
+    assert canon(fused.collect()) == canon(separate.collect())
+    fused = segments.rx_ride_stages(t).union(segments.rx_paid_stages(t))
+    separate = segments.rx_requested(t)
+    for stage in segments.RIDE_STAGES[1:]:
+        separate = separate.union(stage(t))
+    assert canon(fused.collect()) == canon(separate.collect())
