@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridelens.functions.numeric import ratio
@@ -15,33 +15,60 @@ from ridelens.operators.setops import constant_row, union_all
 
 @dataclass(frozen=True)
 class FunnelStep:
-    """One funnel stage: ``count(DISTINCT key)`` over ``frame``; ``key=None``
-    marks a stage that does not apply at this grain (NULL count, one row only
-    if the frame has rows)."""
+    """One funnel stage: ``count(DISTINCT key)`` over the rows of ``frame``
+    that satisfy ``where`` (all rows if None); ``key=None`` marks a stage that
+    does not apply at this grain (NULL count, one row only if the frame has
+    rows)."""
 
     name: str
     frame: DataFrame
     key: str | None
+    where: Column | None = None
+
+
+def _single_count(number: int, step: FunnelStep) -> DataFrame:
+    tag = [F.lit(number).alias("step"), F.lit(step.name).alias("funnel_name")]
+    if step.key is None:
+        return constant_row(step.frame, *tag, F.lit(None).cast("bigint").alias("count"))
+    frame = step.frame if step.where is None else step.frame.where(step.where)
+    return frame.agg(F.countDistinct(step.key).cast("bigint").alias("count")).select(*tag, "count")
+
+
+def _shared_counts(numbered: list[tuple[int, FunnelStep]]) -> DataFrame:
+    """Stages over the same frame and key, one pass: per key, whether any row
+    reaches each stage; then per stage the number of keys that do, which is
+    ``count(DISTINCT key)`` over that stage's rows (NULL keys excluded)."""
+    first = numbered[0][1]
+    key = first.key
+    reached = [F.max(F.when(st.where if st.where is not None else F.lit(True), 1)
+                     .otherwise(0)).alias(f"_h{n}") for n, st in numbered]
+    per_key = first.frame.where(F.col(key).isNotNull()).groupBy(key).agg(*reached)
+    totals = per_key.agg(*[F.coalesce(F.sum(f"_h{n}"), F.lit(0)).cast("bigint").alias(f"_c{n}")
+                           for n, _ in numbered])
+    rows = [F.struct(F.lit(n).alias("step"), F.lit(st.name).alias("funnel_name"),
+                     F.col(f"_c{n}").alias("count")) for n, st in numbered]
+    return totals.select(F.inline(F.array(*rows)))
 
 
 def funnel_counts(steps: Sequence[FunnelStep]) -> DataFrame:
     """``step INT, funnel_name STRING, count BIGINT``, one row per stage.
 
-    Each stage is one global distinct count (partial dedup per task, shuffle
-    on the key, merge). The stage number is a literal of every branch, so the
-    SQL ``UNION`` cannot find duplicates across branches and a plain
-    concatenation is exact.
+    Each stage is a global distinct count (partial dedup per task, shuffle on
+    the key, merge). Consecutive stages over the same frame and key (e.g.
+    requested / accepted / completed rides) share one pass and one shuffle.
+    The stage number is a literal of every branch, so the SQL ``UNION`` cannot
+    find duplicates across branches and a plain concatenation is exact.
     """
-    parts = []
+    groups: list[list[tuple[int, FunnelStep]]] = []
     for number, step in enumerate(steps, start=1):
-        tag = [F.lit(number).alias("step"), F.lit(step.name).alias("funnel_name")]
-        if step.key is None:
-            parts.append(constant_row(step.frame, *tag,
-                                      F.lit(None).cast("bigint").alias("count")))
+        last = groups[-1][-1][1] if groups else None
+        if (last is not None and step.key is not None and last.key == step.key
+                and last.frame is step.frame):
+            groups[-1].append((number, step))
         else:
-            parts.append(step.frame.agg(
-                F.countDistinct(step.key).cast("bigint").alias("count")).select(*tag, "count"))
-    return union_all(parts)
+            groups.append([(number, step)])
+    return union_all([_single_count(*g[0]) if len(g) == 1 else _shared_counts(g)
+                      for g in groups])
 
 
 def funnel_ratios(counts: DataFrame, top_lag: int, count_name: str = "count") -> DataFrame:
@@ -74,8 +101,8 @@ def user_funnel_steps(t: dict[str, DataFrame]) -> list[FunnelStep]:
         FunnelStep("app_downloads", t["app_downloads"], "app_download_key"),
         FunnelStep("signups", t["signups"], "user_id"),
         FunnelStep("ride_requested", rides, "user_id"),
-        FunnelStep("ride_accepted", rides.where(F.col("accept_ts").isNotNull()), "user_id"),
-        FunnelStep("ride_completed", rides.where(F.col("dropoff_ts").isNotNull()), "user_id"),
+        FunnelStep("ride_accepted", rides, "user_id", F.col("accept_ts").isNotNull()),
+        FunnelStep("ride_completed", rides, "user_id", F.col("dropoff_ts").isNotNull()),
         FunnelStep("approved_transaction", paid, "user_id"),
         FunnelStep("reviewed", t["reviews"], "user_id"),
     ]
@@ -87,8 +114,8 @@ def ride_funnel_steps(t: dict[str, DataFrame]) -> list[FunnelStep]:
         FunnelStep("app_downloads", t["app_downloads"], None),
         FunnelStep("signups", t["signups"], None),
         FunnelStep("ride_requested", rides, "ride_id"),
-        FunnelStep("ride_accepted", rides.where(F.col("accept_ts").isNotNull()), "ride_id"),
-        FunnelStep("ride_completed", rides.where(F.col("dropoff_ts").isNotNull()), "ride_id"),
+        FunnelStep("ride_accepted", rides, "ride_id", F.col("accept_ts").isNotNull()),
+        FunnelStep("ride_completed", rides, "ride_id", F.col("dropoff_ts").isNotNull()),
         FunnelStep("approved_transaction", approved(t["transactions"]), "ride_id"),
         FunnelStep("reviewed", t["reviews"], "ride_id"),
     ]

@@ -1,14 +1,21 @@
 """Reproducible random sample of reviews (ORDER BY random() LIMIT n).
 
-The random order is a hash order - md5 of a seed and the row's ride and
+The random order is a hash order - md5 of a seed and the review's ride and
 user - so a recomputed partition after executor loss yields the same rows,
 and DuckDB can reproduce the sample exactly.
 
-At scale a plain ``orderBy(key).limit(n)`` makes every task send its own top
-n to one final task (tasks x n rows). Instead a hash-prefix threshold is
-chosen that keeps about n + 8 sqrt(n) rows; since md5 order is prefix order,
-the n smallest keys all lie below it whenever at least n rows do, which is
-checked, with the unfiltered top-n as the exact fallback.
+At scale a plain ``orderBy(key).limit(n)`` over reviews joined to rides would
+shuffle the whole rides table and make every task send its own top n to one
+final task (tasks x n rows). Instead:
+
+1. a hash-prefix threshold is chosen that keeps about n + 8 sqrt(n) reviews;
+   md5 order is prefix order, so when at least n reviews lie below it the n
+   smallest keys are all among them (checked by counting; otherwise the
+   whole table is used, so the result is always exact);
+2. only the rides of those candidates are joined: the candidate ride ids,
+   whose count was just measured, are broadcast into a semi join on the rides
+   scan when there are at most ``BROADCAST_ROWS`` of them;
+3. the exact top n is taken over the joined candidates.
 """
 
 from __future__ import annotations
@@ -22,6 +29,8 @@ from ridelens.functions.time import time_parts
 
 REFERENCE_SAMPLE_SIZE = 49999
 SAMPLE_COLUMNS = ["user_id", "year", "month", "hour", "rating", "review"]
+TIE_BREAK = ["year", "month", "hour", "rating", "review"]
+BROADCAST_ROWS = 2_000_000          # 8-byte ids: at most ~16 MB broadcast
 _PREFIX_HEX = 12
 
 
@@ -31,18 +40,25 @@ def sample_key(seed: str | int, *cols: str) -> Column:
     return F.md5(F.concat_ws("|", *parts))
 
 
+def hash_candidates(df: DataFrame, n: int, key: str) -> tuple[DataFrame, int | None]:
+    """Rows of ``df`` whose key prefix lies below a threshold that keeps at
+    least n rows (verified), or ``df`` itself when no smaller set is proven.
+    Returns the frame and its counted size (None when not filtered)."""
+    total = df.count()
+    if total <= n:
+        return df, None
+    keep = min(1.0, (n + 8.0 * math.sqrt(n) + 64.0) / total)
+    if keep >= 1.0:
+        return df, None
+    bound = format(int(keep * 16 ** _PREFIX_HEX), f"0{_PREFIX_HEX}x")
+    candidates = df.where(F.substring(F.col(key), 1, _PREFIX_HEX) < F.lit(bound))
+    size = candidates.count()
+    return (candidates, size) if size >= n else (df, None)
+
+
 def top_n_by_key(df: DataFrame, n: int, key: str, tie_break: list[str]) -> DataFrame:
-    """The n rows with the smallest ``key`` (then ``tie_break``, NULLs first),
-    exact, without funnelling tasks x n rows through one task."""
+    """The n rows with the smallest ``key`` (then ``tie_break``, NULLs first)."""
     order = [F.col(key)] + [F.col(c).asc_nulls_first() for c in tie_break]
-    total = df.count()
-    if total > n:
-        keep = min(1.0, (n + 8.0 * math.sqrt(n) + 64.0) / total)
-        if keep < 1.0:
-            bound = format(int(keep * 16 ** _PREFIX_HEX), f"0{_PREFIX_HEX}x")
-            candidates = df.where(F.substring(F.col(key), 1, _PREFIX_HEX) < F.lit(bound))
-            if candidates.count() >= n:
-                df = candidates
     return df.orderBy(*order).limit(n)
 
 
@@ -56,7 +72,16 @@ def reviews_for_sample(reviews: DataFrame, rides: DataFrame, seed: str | int) ->
 
 def review_sample(reviews: DataFrame, rides: DataFrame, n: int = REFERENCE_SAMPLE_SIZE,
                   seed: str | int = 42) -> DataFrame:
-    """``user_id, year, month, hour, rating, review`` for min(n, N) reviews."""
-    src = reviews_for_sample(reviews, rides, seed)
-    tie = ["year", "month", "hour", "rating", "review"]
-    return top_n_by_key(src, n, "_key", tie).select(*SAMPLE_COLUMNS)
+    """``user_id, year, month, hour, rating, review`` for min(n, N) reviews of
+    reviews LEFT JOIN rides, in hash order."""
+    keyed = reviews.select("ride_id", "user_id", "rating", "review",
+                           sample_key(seed, "ride_id", "user_id").alias("_key"))
+    # Every review gives at least one joined row with its own key, so n
+    # candidate reviews hold the n smallest keys of the joined rows too.
+    candidates, size = hash_candidates(keyed, n, "_key")
+    r = rides.select("ride_id", "request_ts")
+    if size is not None and size <= BROADCAST_ROWS:
+        r = r.join(F.broadcast(candidates.select("ride_id")), "ride_id", "left_semi")
+    joined = candidates.join(r, "ride_id", "left").select(
+        "user_id", *time_parts("request_ts"), "rating", "review", "_key")
+    return top_n_by_key(joined, n, "_key", TIE_BREAK).select(*SAMPLE_COLUMNS)

@@ -55,3 +55,22 @@ def test_funnel_ratios_keep_step(small_world):
     got = funnel.funnel_ratios(counts, 6, "user_count").orderBy("step")
     assert got.columns == ["step", "funnel_name", "user_count", "perc_previous", "perc_top"]
     assert [r.step for r in got.collect()] == list(range(1, 8))
+
+
+def test_shared_pass_equals_separate_counts(small_world):
+    from pyspark.sql import functions as F
+    rides = small_world["ride_requests"]
+    fused = funnel.funnel_counts([
+        funnel.FunnelStep("a", rides, "user_id"),
+        funnel.FunnelStep("b", rides, "user_id", F.col("accept_ts").isNotNull()),
+        funnel.FunnelStep("c", rides, "user_id", F.col("pickup_ts").isNotNull())])
+    separate = funnel.funnel_counts([
+        funnel.FunnelStep("a", rides, "user_id"),
+        funnel.FunnelStep("b", rides.where(F.col("accept_ts").isNotNull()), "user_id"),
+        funnel.FunnelStep("c", rides.where(F.col("pickup_ts").isNotNull()), "user_id")])
+    assert sorted(fused.collect()) == sorted(separate.collect()) == [(1, "a", 5), (2, "b", 4),
+                                                                    (3, "c", 3)]
+    empty = rides.limit(0)
+    got = funnel.funnel_counts([funnel.FunnelStep("a", empty, "user_id"),
+                                funnel.FunnelStep("b", empty, "user_id", F.lit(True))])
+    assert sorted(got.collect()) == [(1, "a", 0), (2, "b", 0)]
