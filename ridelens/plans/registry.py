@@ -6,7 +6,7 @@ and runs over whole tables and whole texts.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,8 +32,7 @@ CLASSIFIED_SCHEMA = (
     "ride_val BIGINT, price STRING, price_val BIGINT, wait_time STRING, wait_time_val BIGINT")
 
 
-def _t(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return fixture_tables(spark, sf_dir)
+Tables = Mapping[str, DataFrame]
 
 
 def _reviews_with_time(t):
@@ -50,16 +49,17 @@ def _enriched(t):
 
 # ------------------------------------------------------------ sources / sinks
 
-def q_scan_tables(spark, d):
-    return table_row_counts(_t(spark, d))
+def q_scan_tables(t):
+    return table_row_counts(t)
 
 
-def q_profile_reviews(spark, d):
-    return profile(_reviews_with_time(_t(spark, d)))
+def q_profile_reviews(t):
+    return profile(_reviews_with_time(t))
 
 
-def q_csv_roundtrip(spark, d):
-    df = _classified(_t(spark, d))
+def q_csv_roundtrip(t):
+    df = _classified(t)
+    spark = df.sparkSession
     path = csv_io.write_csv(df, new_scratch_path(spark, "classified-reviews-csv"))
     return csv_io.read_csv(spark, path, CLASSIFIED_SCHEMA,
                            empty_as_blank=keywords.LABEL_ASPECTS)
@@ -67,22 +67,21 @@ def q_csv_roundtrip(spark, d):
 
 # ------------------------------------------------------------------ filters
 
-def q_filter_stage_reached(spark, d):
-    r = _t(spark, d)["ride_requests"]
+def q_filter_stage_reached(t):
+    r = t["ride_requests"]
     return r.where(F.col("accept_ts").isNotNull()).select("ride_id", "user_id", "accept_ts")
 
 
-def q_filter_not_cancelled(spark, d):
-    r = _t(spark, d)["ride_requests"]
+def q_filter_not_cancelled(t):
+    r = t["ride_requests"]
     return r.where(F.col("cancel_ts").isNull()).select("ride_id", "user_id", "request_ts")
 
 
-def q_filter_approved(spark, d):
-    return joins.approved(_t(spark, d)["transactions"])
+def q_filter_approved(t):
+    return joins.approved(t["transactions"])
 
 
-def q_left_join_filtered(spark, d):
-    t = _t(spark, d)
+def q_left_join_filtered(t):
     tx = t["transactions"]
     r = t["ride_requests"].select("ride_id", "user_id")
     return r.join(tx, "ride_id", "left").where(F.col("charge_status") == joins.APPROVED) \
@@ -91,66 +90,59 @@ def q_left_join_filtered(spark, d):
 
 # -------------------------------------------------------------------- joins
 
-def q_join_downloads_signups(spark, d):
-    t = _t(spark, d)
+def q_join_downloads_signups(t):
     return joins.downloads_signups(t["app_downloads"], t["signups"]).select(
         "app_download_key", "platform", "download_ts", "user_id", "age_range")
 
 
-def q_join_signups_downloads(spark, d):
-    t = _t(spark, d)
+def q_join_signups_downloads(t):
     return joins.signups_downloads(t["signups"], t["app_downloads"]).select(
         "user_id", "session_id", "age_range", "platform", "download_ts")
 
 
-def q_enrich_rides(spark, d):
-    return _enriched(_t(spark, d)).select(
+def q_enrich_rides(t):
+    return _enriched(t).select(
         "ride_id", "user_id", "request_ts", "platform", "age_range", "download_ts")
 
 
-def q_join_fanout_completed(spark, d):
-    t = _t(spark, d)
+def q_join_fanout_completed(t):
     return joins.completed_with_payments(t["ride_requests"], t["transactions"], t["signups"],
                                          t["app_downloads"]).select(
         "ride_id", "user_id", "charge_status", "platform", "age_range")
 
 
-def q_payment_users(spark, d):
-    t = _t(spark, d)
+def q_payment_users(t):
     return joins.payment_users(t["transactions"], t["ride_requests"], t["signups"],
                                t["app_downloads"]).select(
         "tx_ride_id", "purchase_amount_usd", "user_id", "platform", "age_range")
 
 
-def q_review_users(spark, d):
-    t = _t(spark, d)
+def q_review_users(t):
     return joins.review_users(t["reviews"], t["ride_requests"], t["signups"],
                               t["app_downloads"]).select(
         "ride_id", "user_id", "rating", "request_ts", "platform", "age_range")
 
 
-def q_rides_paid(spark, d):
-    t = _t(spark, d)
+def q_rides_paid(t):
     return joins.rides_paid(t["ride_requests"], t["signups"], t["app_downloads"],
                             t["transactions"]).select(
         "ride_id", "user_id", "platform", "age_range", "purchase_amount_usd")
 
 
-def q_rides_reviewed(spark, d):
-    t = _t(spark, d)
+def q_rides_reviewed(t):
     return joins.rides_reviewed(t["ride_requests"], t["signups"], t["app_downloads"],
                                 t["transactions"], t["reviews"]).select(
         "ride_id", "user_id", "platform", "age_range", "purchase_amount_usd", "rating")
 
 
-def q_reviews_with_time(spark, d):
-    return _reviews_with_time(_t(spark, d))
+def q_reviews_with_time(t):
+    return _reviews_with_time(t)
 
 
 # ------------------------------------------------------------- aggregations
 
-def q_count_distinct_global(spark, d):
-    r = _t(spark, d)["ride_requests"]
+def q_count_distinct_global(t):
+    r = t["ride_requests"]
     return r.agg(F.countDistinct("user_id").cast("bigint").alias("users"),
                  F.countDistinct("ride_id").cast("bigint").alias("rides"))
 
@@ -165,47 +157,45 @@ def _request_segmented(t, rides=None):
     return e.select("*", *time_parts("request_ts"))
 
 
-def q_count_distinct_segment(spark, d):
-    return _download_segmented(_t(spark, d)).groupBy(*SEGMENTS).agg(
+def q_count_distinct_segment(t):
+    return _download_segmented(t).groupBy(*SEGMENTS).agg(
         F.countDistinct("user_id").cast("bigint").alias("user_count"))
 
 
-def q_count_segment(spark, d):
-    return _download_segmented(_t(spark, d)).groupBy(*SEGMENTS).agg(
+def q_count_segment(t):
+    return _download_segmented(t).groupBy(*SEGMENTS).agg(
         F.count("user_id").cast("bigint").alias("ride_count"))
 
 
-def q_avg_minutes_segment(spark, d):
-    t = _t(spark, d)
+def q_avg_minutes_segment(t):
     acc = t["ride_requests"].where(F.col("accept_ts").isNotNull())
     return _request_segmented(t, acc).groupBy(*SEGMENTS).agg(
         F.avg(minute_field("pickup_ts", "accept_ts")).alias("avg_time_accepted_pickup"))
 
 
-def q_avg_minutes_rounded(spark, d):
+def q_avg_minutes_rounded(t):
     m = minute_field("cancel_ts", "request_ts")
-    return _request_segmented(_t(spark, d)).groupBy(*SEGMENTS).agg(
+    return _request_segmented(t).groupBy(*SEGMENTS).agg(
         round_mean_half_up(F.sum(m), F.count(m)).alias("avg_time_ride_requested_cancelled"))
 
 
-def q_cancel_proportion(spark, d):
+def q_cancel_proportion(t):
     cancelled = F.sum(F.when(F.col("cancel_ts").isNotNull(), 1).otherwise(0))
-    return _request_segmented(_t(spark, d)).groupBy(*SEGMENTS).agg(
+    return _request_segmented(t).groupBy(*SEGMENTS).agg(
         ratio(cancelled, F.count("request_ts")).alias("proportion_of_cancellations"))
 
 
-def q_revenue_segment(spark, d):
-    df = segments.rx_paid(_t(spark, d))
+def q_revenue_segment(t):
+    df = segments.rx_paid(t)
     return df.select(*SEGMENTS, "ride_count", "sum_purchase_amount")
 
 
-def q_rating_segment(spark, d):
-    df = segments.rx_reviewed(_t(spark, d))
+def q_rating_segment(t):
+    df = segments.rx_reviewed(t)
     return df.select(*SEGMENTS, "ride_count", "avg_rating")
 
 
-def q_coalesce_after_group(spark, d):
-    t = _t(spark, d)
+def q_coalesce_after_group(t):
     done = t["ride_requests"].where(F.col("accept_ts").isNotNull()
                                     & F.col("dropoff_ts").isNotNull())
     g = _request_segmented(t, done).groupBy(*SEGMENTS).agg(
@@ -214,13 +204,13 @@ def q_coalesce_after_group(spark, d):
                                                 F.lit(segments.NOT_SPECIFIED))).distinct()
 
 
-def q_time_parts(spark, d):
-    a = _t(spark, d)["app_downloads"]
+def q_time_parts(t):
+    a = t["app_downloads"]
     return a.select("app_download_key", *time_parts("download_ts"))
 
 
-def q_interval_minutes(spark, d):
-    r = _t(spark, d)["ride_requests"]
+def q_interval_minutes(t):
+    r = t["ride_requests"]
     return r.select(
         "ride_id",
         minute_field("accept_ts", "request_ts").alias("requested_accepted"),
@@ -233,15 +223,13 @@ def q_interval_minutes(spark, d):
 
 # ----------------------------------------------------------------- set ops
 
-def q_union_distinct(spark, d):
-    t = _t(spark, d)
+def q_union_distinct(t):
     users = joins.user_segments(t["signups"], t["app_downloads"]).select("platform", "age_range")
     riders = _enriched(t).select("platform", "age_range")
     return union_distinct([users, riders])
 
 
-def q_union_constant_rows(spark, d):
-    t = _t(spark, d)
+def q_union_constant_rows(t):
     null_count = F.lit(None).cast("bigint").alias("count")
     return union_all([
         constant_row(t["app_downloads"], F.lit(1).alias("step"),
@@ -252,80 +240,79 @@ def q_union_constant_rows(spark, d):
 
 # ------------------------------------------------------------------ funnels
 
-def q_funnel_ratios(spark, d):
-    counts = funnel.funnel_counts(funnel.user_funnel_steps(_t(spark, d)))
+def q_funnel_ratios(t):
+    counts = funnel.funnel_counts(funnel.user_funnel_steps(t))
     return funnel.funnel_ratios(counts, 6, "user_count")
 
 
-def q_user_funnel(spark, d):
-    return funnel.user_funnel(_t(spark, d))
+def q_user_funnel(t):
+    return funnel.user_funnel(t)
 
 
-def q_ride_funnel(spark, d):
-    return funnel.ride_funnel(_t(spark, d))
+def q_ride_funnel(t):
+    return funnel.ride_funnel(t)
 
 
-def q_stage_conversion(spark, d):
-    return funnel.stage_conversion(_t(spark, d))
+def q_stage_conversion(t):
+    return funnel.stage_conversion(t)
 
 
 # ----------------------------------------------------------------- extracts
 
 def _stage_query(stage):
-    return lambda spark, d: stage(_t(spark, d))
+    return stage
 
 
 # ------------------------------------------------------------------ reviews
 
-def q_review_sample(spark, d):
-    t = _t(spark, d)
+def q_review_sample(t):
     return sampling.review_sample(t["reviews"], t["ride_requests"], n=SAMPLE_SIZE,
                                   seed=SAMPLE_SEED)
 
 
-def q_keyword_flags(spark, d):
-    return keywords.keyword_flags(_reviews_with_time(_t(spark, d)))
+def q_keyword_flags(t):
+    return keywords.keyword_flags(_reviews_with_time(t))
 
 
-def q_aspect_labels(spark, d):
-    return keywords.aspect_labels(keywords.keyword_flags(_reviews_with_time(_t(spark, d))))
+def q_aspect_labels(t):
+    return keywords.aspect_labels(keywords.keyword_flags(_reviews_with_time(t)))
 
 
-def q_classified_reviews(spark, d):
-    return _classified(_t(spark, d))
+def q_classified_reviews(t):
+    return _classified(t)
 
 
-def q_flag_value_counts(spark, d):
-    return keywords.flag_value_counts(keywords.keyword_flags(_reviews_with_time(_t(spark, d))))
+def q_flag_value_counts(t):
+    return keywords.flag_value_counts(keywords.keyword_flags(_reviews_with_time(t)))
 
 
-def q_keyword_counts(spark, d):
-    return keywords.keyword_counts(_reviews_with_time(_t(spark, d)))
+def q_keyword_counts(t):
+    return keywords.keyword_counts(_reviews_with_time(t))
 
 
-def q_top_keywords(spark, d):
-    return keywords.top_keywords(keywords.keyword_counts(_reviews_with_time(_t(spark, d))))
+def q_top_keywords(t):
+    return keywords.top_keywords(keywords.keyword_counts(_reviews_with_time(t)))
 
 
-def q_sentiment_rollup(spark, d):
-    return keywords.sentiment_rollup(_classified(_t(spark, d)))
+def q_sentiment_rollup(t):
+    return keywords.sentiment_rollup(_classified(t))
 
 
 # ---------------------------------------------------------------- summaries
 
-def q_platform_summary(spark, d):
-    return summaries.platform_summary(_t(spark, d))
+def q_platform_summary(t):
+    return summaries.platform_summary(t)
 
 
-def q_age_value_summary(spark, d):
-    return summaries.age_value_summary(_t(spark, d))
+def q_age_value_summary(t):
+    return summaries.age_value_summary(t)
 
 
-def q_hourly_demand(spark, d):
-    return summaries.hourly_demand(_t(spark, d))
+def q_hourly_demand(t):
+    return summaries.hourly_demand(t)
 
 
-QUERIES: dict[str, Query] = {
+BUILDERS: dict[str, Callable[[Tables], DataFrame]] = {
     "scan_tables": q_scan_tables,
     "profile_reviews": q_profile_reviews,
     "csv_roundtrip": q_csv_roundtrip,
@@ -385,3 +372,14 @@ QUERIES: dict[str, Query] = {
     "age_value_summary": q_age_value_summary,
     "hourly_demand": q_hourly_demand,
 }
+
+
+def _on_fixtures(build: Callable[[Tables], DataFrame]) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return build(fixture_tables(spark, sf_dir))
+    query.__name__ = build.__name__
+    return query
+
+
+# key -> (spark, sf_dir) -> DataFrame over the fixture views of the driver tables
+QUERIES: dict[str, Query] = {key: _on_fixtures(b) for key, b in BUILDERS.items()}
