@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ridelens.functions.numeric import ratio, round_mean_half_up
+from ridelens.functions.text import sql_name, sql_string
 from ridelens.functions.time import minute_field, time_parts
 from ridelens.operators.joins import (approved_per_ride, transaction_multiplicity,
                                       user_segments)
@@ -133,14 +134,20 @@ def _stacked(grouped: DataFrame, stages: list[tuple[int, str, str, dict[str, Col
     in: ``stages`` holds (number, name, row-count column, output columns by
     name); every stage row carries the full schema, absent columns NULL."""
     fields = [f for f in StructType.fromDDL(schema).fields if f.name not in SEGMENT_KEYS]
-    entries = []
-    for step, name, present, values in stages:
-        cols = {"funnel_step": F.lit(step), "funnel_name": F.lit(name), **values}
-        entries.append(F.struct(
-            F.col(present).alias("_present"),
-            *[(cols[f.name] if f.name in cols else F.lit(None)).cast(f.dataType).alias(f.name)
-              for f in fields]))
-    rows = grouped.select(*SEGMENT_KEYS, F.inline(F.array(*entries)))
+    values, structs = [], []
+    for i, (step, name, present, cols) in enumerate(stages):
+        given = {"funnel_step": str(step), "funnel_name": sql_string(name)}
+        for field, col in cols.items():
+            values.append(col.alias(f"_v{i}_{field}"))
+            given[field] = sql_name(f"_v{i}_{field}")
+        parts = [f"'_present', {sql_name(present)}"] + [
+            f"{sql_string(f.name)}, CAST({given.get(f.name, 'NULL')} AS "
+            f"{f.dataType.simpleString()})" for f in fields]
+        structs.append("named_struct(" + ", ".join(parts) + ")")
+    presents = list(dict.fromkeys(present for _, _, present, _ in stages))
+    pre = grouped.select(*SEGMENT_KEYS, *presents, *values)
+    rows = pre.selectExpr(*[sql_name(k) for k in SEGMENT_KEYS],
+                          "inline(array(" + ", ".join(structs) + "))")
     return align(rows.where(F.col("_present") > 0), schema)
 
 

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ridelens.functions.text import sql_name
+
 
 def align(df: DataFrame, schema: StructType | str) -> DataFrame:
     """Project ``df`` onto ``schema``: present columns are cast, absent ones
@@ -16,9 +18,9 @@ def align(df: DataFrame, schema: StructType | str) -> DataFrame:
     if isinstance(schema, str):
         schema = StructType.fromDDL(schema)
     present = set(df.columns)
-    return df.select([
-        (F.col(f.name) if f.name in present else F.lit(None)).cast(f.dataType).alias(f.name)
-        for f in schema.fields])
+    return df.selectExpr(*[
+        f"CAST({sql_name(f.name) if f.name in present else 'NULL'} AS "
+        f"{f.dataType.simpleString()}) AS {sql_name(f.name)}" for f in schema.fields])
 
 
 def union_all(frames: Sequence[DataFrame]) -> DataFrame:
