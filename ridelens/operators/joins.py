@@ -64,9 +64,19 @@ def approved_per_ride(transactions: DataFrame) -> DataFrame:
 
 def reviews_with_time(reviews: DataFrame, rides: DataFrame) -> DataFrame:
     """J9 + X2: reviews LEFT JOIN rides, with the ride request's calendar parts."""
+    return with_request_time(reviews.select("ride_id", "user_id", "rating", "review"), rides)
+
+
+def with_request_time(reviews: DataFrame, rides: DataFrame) -> DataFrame:
+    """``reviews`` (any columns, including ``ride_id``) LEFT JOIN rides: the
+    review columns with ``year, month, hour`` of the ride request after
+    ``user_id`` and ``ride_id`` dropped. Per-row work on the reviews (labels,
+    phrase counts) can run before this join, so only its results - not the
+    text - need to travel to the join when the text is not in the output."""
     r = rides.select("ride_id", "request_ts")
+    rest = [c for c in reviews.columns if c not in ("ride_id", "user_id")]
     return reviews.join(r, "ride_id", "left").select(
-        "user_id", *time_parts("request_ts"), "rating", "review")
+        "user_id", *time_parts("request_ts"), *rest)
 
 
 def completed_with_payments(rides: DataFrame, transactions: DataFrame,

@@ -139,6 +139,33 @@ def flag_value_counts(flagged: DataFrame, flags: Sequence[str] | None = None) ->
     return sums.selectExpr(_unpivot_sql(rows)).where(F.col("n") > 0)
 
 
+def keyword_count_columns(df: DataFrame, text_col: str = "review",
+                          dictionary: Dictionary = DEFAULT_DICTIONARY) -> DataFrame:
+    """Per row: the other columns plus ``_k<i>``, the non-overlapping
+    occurrences of distinct phrase i in the lower-cased text (text dropped).
+    Per-row, so it can run before any join and the join carries counts."""
+    distinct = list(dict.fromkeys(p for *_, p in dictionary_rows(dictionary)))
+    keep = [sql_name(c) for c in df.columns if c != text_col]
+    lowered = df.select(*[F.col(c) for c in df.columns if c != text_col],
+                        F.lower(F.col(text_col)).alias("_t"))
+    return lowered.selectExpr(*keep, *[f"{phrase_occurrences_sql('_t', p)} AS _k{i}"
+                                       for i, p in enumerate(distinct)])
+
+
+def keyword_totals(counted: DataFrame, dictionary: Dictionary = DEFAULT_DICTIONARY) -> DataFrame:
+    """``aspect, sentiment, pos, phrase, n`` from :func:`keyword_count_columns`
+    rows: one aggregate of the per-phrase sums, unpivoted to one row per
+    dictionary entry."""
+    rows = dictionary_rows(dictionary)
+    distinct = list(dict.fromkeys(p for _, _, _, p in rows))
+    slot = {p: f"_k{i}" for i, p in enumerate(distinct)}
+    totals = counted.selectExpr(*[f"coalesce(sum(_k{i}), 0L) AS _k{i}"
+                                  for i in range(len(distinct))])
+    return totals.selectExpr(_unpivot_sql([
+        [("aspect", sql_string(a)), ("sentiment", sql_string(s)), ("pos", str(i)),
+         ("phrase", sql_string(p)), ("n", slot[p])] for a, s, i, p in rows]))
+
+
 def keyword_counts(df: DataFrame, text_col: str = "review",
                    dictionary: Dictionary = DEFAULT_DICTIONARY) -> DataFrame:
     """C9 (counts): ``aspect, sentiment, pos, phrase, n`` - non-overlapping
@@ -148,15 +175,8 @@ def keyword_counts(df: DataFrame, text_col: str = "review",
     One aggregate with one sum per distinct phrase, lower() evaluated once per
     row; the single result row is unpivoted to one row per dictionary entry.
     """
-    rows = dictionary_rows(dictionary)
-    distinct = list(dict.fromkeys(p for _, _, _, p in rows))
-    slot = {p: f"_k{i}" for i, p in enumerate(distinct)}
-    lowered = df.select(F.lower(F.col(text_col)).alias("_t"))
-    totals = lowered.selectExpr(*[f"coalesce(sum({phrase_occurrences_sql('_t', p)}), 0L)"
-                                  f" AS {slot[p]}" for p in distinct])
-    return totals.selectExpr(_unpivot_sql([
-        [("aspect", sql_string(a)), ("sentiment", sql_string(s)), ("pos", str(i)),
-         ("phrase", sql_string(p)), ("n", slot[p])] for a, s, i, p in rows]))
+    return keyword_totals(keyword_count_columns(df.select(text_col), text_col, dictionary),
+                          dictionary)
 
 
 def top_keywords(counts: DataFrame, k: int = 5) -> DataFrame:

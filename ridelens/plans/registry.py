@@ -39,8 +39,18 @@ def _reviews_with_time(t):
     return joins.reviews_with_time(t["reviews"], t["ride_requests"])
 
 
+def _reviews(t):
+    return t["reviews"].select("ride_id", "user_id", "rating", "review")
+
+
+def _timed(t, per_review):
+    """Per-row review work first, then the rides join: the join moves the
+    results (and the text only where the output keeps it)."""
+    return joins.with_request_time(per_review, t["ride_requests"])
+
+
 def _classified(t):
-    return keywords.classify_reviews(_reviews_with_time(t))
+    return _timed(t, keywords.classify_reviews(_reviews(t)))
 
 
 def _enriched(t):
@@ -271,11 +281,11 @@ def q_review_sample(t):
 
 
 def q_keyword_flags(t):
-    return keywords.keyword_flags(_reviews_with_time(t))
+    return _timed(t, keywords.keyword_flags(_reviews(t)))
 
 
 def q_aspect_labels(t):
-    return keywords.aspect_labels(keywords.keyword_flags(_reviews_with_time(t)))
+    return _timed(t, keywords.aspect_labels(keywords.keyword_flags(_reviews(t))))
 
 
 def q_classified_reviews(t):
@@ -283,19 +293,22 @@ def q_classified_reviews(t):
 
 
 def q_flag_value_counts(t):
-    return keywords.flag_value_counts(keywords.keyword_flags(_reviews_with_time(t)))
+    flags = keywords.keyword_flags(_reviews(t)).drop("review")
+    return keywords.flag_value_counts(_timed(t, flags))
 
 
 def q_keyword_counts(t):
-    return keywords.keyword_counts(_reviews_with_time(t))
+    counted = keywords.keyword_count_columns(_reviews(t).select("ride_id", "user_id", "review"))
+    return keywords.keyword_totals(_timed(t, counted))
 
 
 def q_top_keywords(t):
-    return keywords.top_keywords(keywords.keyword_counts(_reviews_with_time(t)))
+    return keywords.top_keywords(q_keyword_counts(t))
 
 
 def q_sentiment_rollup(t):
-    return keywords.sentiment_rollup(_classified(t))
+    labels = keywords.classify_reviews(_reviews(t)).drop("review")
+    return keywords.sentiment_rollup(_timed(t, labels))
 
 
 # ---------------------------------------------------------------- summaries

@@ -44,8 +44,11 @@ def scratch_dir(spark: SparkSession) -> str:
     Only when the setting is absent and the session runs in local mode (tests,
     single-machine runs) is a fresh local folder created and registered.
     """
+    current = spark.conf.get("spark.checkpoint.dir", None)
+    if current:
+        return current
     sc = spark.sparkContext
-    current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    current = sc.getCheckpointDir()
     if current:
         return current
     if not sc.master.startswith("local"):

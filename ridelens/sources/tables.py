@@ -65,8 +65,12 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     input, where the scan already has at least that many partitions; the
     check plans the scan without reading it."""
     spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    try:
+        cores = spark.sparkContext.defaultParallelism
+        partitions = df.rdd.getNumPartitions()
+    except Exception:   # no RDD view of the plan (e.g. Spark Connect): leave as is
         return df
-    target = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if partitions >= cores:
+        return df
+    target = int(spark.conf.get("spark.sql.shuffle.partitions", str(cores)))
     return df.repartition(max(cores, target), *keys)

@@ -55,6 +55,13 @@ def skewed_world(spark, rides=3000, users=300):
         (i % 5 + 1).cast("int").alias("rating"),
         F.concat(F.element_at(phrases, (i % len(REVIEW_PHRASES) + 1).cast("int")), F.lit(" #"),
                  i.cast("string")).alias("review"))
+    # duplicated ride ids (two requests sharing ids 7 and 8, another user and time):
+    # every join on ride_id fans out
+    dup = ride_requests.where(F.col("ride_id").isin(7, 8)).select(
+        "ride_id", (F.col("user_id") + 5).alias("user_id"),
+        F.timestamp_add("HOUR", F.lit(30), F.col("request_ts")).alias("request_ts"),
+        "accept_ts", "pickup_ts", "dropoff_ts", "cancel_ts")
+    ride_requests = ride_requests.unionByName(dup)
     return {"app_downloads": downloads, "signups": signups, "ride_requests": ride_requests,
             "transactions": transactions, "reviews": reviews}
 
