@@ -72,3 +72,14 @@ def test_results_equal_on_parquet_tables(spark, parquet_tables):
     views = fixture_tables(spark, SF_SMALL)
     for op in (funnel.user_funnel, segments.ride_extract, segments.user_extract):
         assert canon(op(parquet_tables).collect()) == canon(op(views).collect())
+
+
+def test_command_line_runs_on_parquet_tables(spark, parquet_tables):
+    from ridelens.__main__ import main
+    root = new_scratch_path(spark, "funnel-tables-cli")
+    from ridelens.sources.fixtures import fixture_tables
+    for name, df in fixture_tables(spark, SF_SMALL).items():
+        df.write.parquet(f"{root}/{name}")
+    out = new_scratch_path(spark, "cli-out")
+    main(["user_funnel", "--tables", root, "--out", out])
+    assert spark.read.parquet(out).count() == 7
