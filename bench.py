@@ -1,7 +1,7 @@
 """Headline-query timings at $BENCH_SF_DIR (default /root/testdata/sf0.1).
 
 Protocol: local[$BENCH_CPUS], AQE on, UI off; per query one warm-up run, then
-the median of $BENCH_REPEATS runs, each forced with the ``noop`` sink (full
+the median of $BENCH_REPEATS (default 5) runs, each forced with the ``noop`` sink (full
 execution, nothing collected). Prints one JSON line.
 """
 
@@ -31,7 +31,7 @@ def run_once(spark, key, sf_dir):
 def main():
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    repeats = int(os.environ.get("BENCH_REPEATS", "3"))
+    repeats = int(os.environ.get("BENCH_REPEATS", "5"))
     keys = sys.argv[1:] or HEADLINE
     spark = get_session(f"local[{cpus}]", app_name="ridelens-bench", conf={
         "spark.sql.shuffle.partitions": os.environ.get("BENCH_SHUFFLE_PARTITIONS", str(int(cpus) * 2)),

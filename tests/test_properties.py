@@ -52,3 +52,16 @@ def test_extract_totals_cover_funnel_counts(spark):
              6: "approved_transaction", 7: "reviewed"}
     for step, name in pairs.items():
         assert ext[step] >= fun[name], name
+
+
+def test_declared_base_schemas_match_files(spark):
+    import os
+
+    from pyspark.sql.types import StructType
+
+    from ridelens.sources.fixtures import BASE_SCHEMAS
+    for sf in ("sf0.001", "sf0.01", "sf0.1"):
+        for name, ddl in BASE_SCHEMAS.items():
+            stored = spark.read.parquet(os.path.join("/root/testdata", sf, f"{name}.parquet"))
+            for field in StructType.fromDDL(ddl).fields:
+                assert stored.schema[field.name].dataType == field.dataType, (sf, name, field)
