@@ -41,12 +41,6 @@ def _tag(step: int, name: str) -> list[Column]:
     return [F.lit(step).alias("funnel_step"), F.lit(name).alias("funnel_name")]
 
 
-def _weighted_count(col: str, weight: str) -> Column:
-    """``count(col)`` over rows that stand for ``weight`` joined rows each."""
-    return F.sum(F.when(F.col(col).isNotNull(), F.col(weight)).otherwise(F.lit(0))) \
-            .cast("bigint")
-
-
 def _segmented(df: DataFrame, ts: str) -> DataFrame:
     """Add the calendar parts of ``ts`` next to the other columns."""
     return df.select("*", *time_parts(ts))
@@ -54,14 +48,35 @@ def _segmented(df: DataFrame, ts: str) -> DataFrame:
 
 # ---------------------------------------------------------------- user grain
 
-def _user_stage(step: int, name: str, df: DataFrame, user_col: str,
-                weight: str | None = None, rides: bool = True) -> DataFrame:
-    aggs = [F.countDistinct(user_col).cast("bigint").alias("user_count")]
-    if rides:
-        rows = (_weighted_count(user_col, weight) if weight
-                else F.count(user_col).cast("bigint"))
-        aggs.append(rows.alias("ride_count"))
-    out = df.groupBy(*SEGMENT_KEYS).agg(*aggs)
+def _dimension_stage(step: int, name: str, df: DataFrame, key: str) -> DataFrame:
+    """Stages 1-2 (user-level tables): ``count(DISTINCT key)`` per segment."""
+    out = df.groupBy(*SEGMENT_KEYS).agg(F.countDistinct(key).cast("bigint").alias("user_count"))
+    return align(out.select(*_tag(step, name), "*"), USER_EXTRACT_SCHEMA)
+
+
+def _per_user_segments(rows: DataFrame, t: dict[str, DataFrame],
+                       measures: dict[str, Column]) -> DataFrame:
+    """Ride-level ``rows`` (with ``user_id``) summed per user *before* the
+    user dimension is joined: the map-side combine collapses a user holding a
+    third of all rides, so the join sees one row per user on each side. The
+    joined rows are summed again per (segment, user) - co-partitioned with
+    the join on user_id, no extra shuffle - which keeps the counts exact if
+    the dimension holds several rows for one user."""
+    per_user = rows.groupBy("user_id").agg(*[m.alias(k) for k, m in measures.items()])
+    joined = _rides_by_user(per_user, t)
+    return joined.groupBy(*SEGMENT_KEYS, "user_id").agg(*[F.sum(k).alias(k) for k in measures])
+
+
+def _user_stage(step: int, name: str, rows: DataFrame, t: dict[str, DataFrame],
+                weight: str | None = None) -> DataFrame:
+    """Stages 3-7: per segment ``count(DISTINCT user_id)`` and ``count(user_id)``
+    over ride-level rows, each row standing for ``weight`` joined rows."""
+    w = F.col(weight) if weight else F.lit(1)
+    per = _per_user_segments(rows, t, {"_n": F.count(F.lit(1)), "_w": F.sum(w)})
+    known = F.col("user_id").isNotNull()
+    out = per.groupBy(*SEGMENT_KEYS).agg(
+        F.sum(F.when(known, 1).otherwise(0)).cast("bigint").alias("user_count"),
+        F.sum(F.when(known, F.col("_w")).otherwise(0)).cast("bigint").alias("ride_count"))
     return align(out.select(*_tag(step, name), "*"), USER_EXTRACT_SCHEMA)
 
 
@@ -70,14 +85,13 @@ def ux_downloads(t: dict[str, DataFrame]) -> DataFrame:
     s = t["signups"].select("session_id", "age_range")
     a = t["app_downloads"]
     df = a.join(s, a.app_download_key == s.session_id, "left")
-    return _user_stage(1, "downloads", _segmented(df, "download_ts"),
-                       "app_download_key", rides=False)
+    return _dimension_stage(1, "downloads", _segmented(df, "download_ts"), "app_download_key")
 
 
 def ux_signups(t: dict[str, DataFrame]) -> DataFrame:
     """Stage 2: signups LEFT JOIN downloads."""
     df = user_segments(t["signups"], t["app_downloads"])
-    return _user_stage(2, "signups", _segmented(df, "download_ts"), "user_id", rides=False)
+    return _dimension_stage(2, "signups", _segmented(df, "download_ts"), "user_id")
 
 
 def _rides_by_user(rides: DataFrame, t: dict[str, DataFrame]) -> DataFrame:
@@ -87,12 +101,12 @@ def _rides_by_user(rides: DataFrame, t: dict[str, DataFrame]) -> DataFrame:
 
 def ux_requested(t: dict[str, DataFrame]) -> DataFrame:
     rides = t["ride_requests"].select("user_id")
-    return _user_stage(3, "ride_requested", _rides_by_user(rides, t), "user_id")
+    return _user_stage(3, "ride_requested", rides, t)
 
 
 def ux_accepted(t: dict[str, DataFrame]) -> DataFrame:
     rides = t["ride_requests"].where(F.col("accept_ts").isNotNull()).select("user_id")
-    return _user_stage(4, "ride_accepted", _rides_by_user(rides, t), "user_id")
+    return _user_stage(4, "ride_accepted", rides, t)
 
 
 def ux_completed(t: dict[str, DataFrame]) -> DataFrame:
@@ -102,7 +116,7 @@ def ux_completed(t: dict[str, DataFrame]) -> DataFrame:
     mult = transaction_multiplicity(t["transactions"])
     weighted = rides.join(mult, "ride_id", "left") \
         .select("user_id", F.coalesce(F.col("n_tx"), F.lit(1)).alias("w"))
-    return _user_stage(5, "ride_completed", _rides_by_user(weighted, t), "user_id", "w")
+    return _user_stage(5, "ride_completed", weighted, t, "w")
 
 
 def ux_payment(t: dict[str, DataFrame]) -> DataFrame:
@@ -111,7 +125,7 @@ def ux_payment(t: dict[str, DataFrame]) -> DataFrame:
     paid = approved_per_ride(t["transactions"]).select("ride_id", "n_tx")
     rides = t["ride_requests"].select("ride_id", "user_id")
     df = paid.join(rides, "ride_id", "left").select("user_id", "n_tx")
-    return _user_stage(6, "payment", _rides_by_user(df, t), "user_id", "n_tx")
+    return _user_stage(6, "payment", df, t, "n_tx")
 
 
 def ux_review(t: dict[str, DataFrame]) -> DataFrame:
@@ -122,7 +136,7 @@ def ux_review(t: dict[str, DataFrame]) -> DataFrame:
         .groupBy("ride_id").agg(F.count(F.lit(1)).alias("n_rides"))
     re = reviews.join(mult, "ride_id", "left") \
         .select("user_id", F.coalesce(F.col("n_rides"), F.lit(1)).alias("w"))
-    return _user_stage(7, "review", _rides_by_user(re, t), "user_id", "w")
+    return _user_stage(7, "review", re, t, "w")
 
 
 USER_STAGES = [ux_downloads, ux_signups, ux_requested, ux_accepted, ux_completed,
@@ -155,10 +169,10 @@ def _stacked(grouped: DataFrame, stages: list[tuple[int, str, str, dict[str, Col
 def ux_ride_stages(t: dict[str, DataFrame]) -> DataFrame:
     """Stages 3-5 (requested, accepted, completed) from one pass over rides.
 
-    The rides join the per-ride transaction multiplicity and the user
-    dimension once; a first aggregate per (segment, user) - co-partitioned
-    with the join on user_id, so no extra shuffle - keeps per-stage row
-    counts, a second per segment turns them into each stage's
+    The rides join the per-ride transaction multiplicity, are summed per user
+    and then per (segment, user) (:func:`_per_user_segments`), keeping
+    per-stage row counts; a second aggregate per segment turns them into each
+    stage's
     ``count(DISTINCT user_id)`` and ``count(user_id)``. Equal to stacking
     :func:`ux_requested`, :func:`ux_accepted` and :func:`ux_completed`.
     """
@@ -166,10 +180,9 @@ def ux_ride_stages(t: dict[str, DataFrame]) -> DataFrame:
     rides = t["ride_requests"].select("ride_id", "user_id", "accept_ts", "cancel_ts") \
         .join(mult, "ride_id", "left")
     w5 = F.when(F.col("cancel_ts").isNull(), F.coalesce(F.col("n_tx"), F.lit(1))).otherwise(0)
-    per_user = _rides_by_user(rides, t).groupBy(*SEGMENT_KEYS, "user_id").agg(
-        F.count(F.lit(1)).alias("r3"),
-        F.count("accept_ts").alias("r4"),
-        F.sum(w5).alias("r5"))
+    per_user = _per_user_segments(rides, t, {"r3": F.count(F.lit(1)),
+                                             "r4": F.count("accept_ts"),
+                                             "r5": F.sum(w5)})
     known = F.col("user_id").isNotNull()
     aggs = []
     for k in ("3", "4", "5"):
