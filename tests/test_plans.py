@@ -83,3 +83,35 @@ def test_command_line_runs_on_parquet_tables(spark, parquet_tables):
     out = new_scratch_path(spark, "cli-out")
     main(["user_funnel", "--tables", root, "--out", out])
     assert spark.read.parquet(out).count() == 7
+
+
+def test_hot_user_is_split_or_pre_aggregated(spark):
+    """A user with a third of the rides: the ride extract's join is split by
+    AQE (its aggregate is keyed by ride), the user extract sums rides per user
+    before joining (its aggregate reuses the user_id partitioning)."""
+    from tests.test_worlds import skewed_world
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+            "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k",
+            "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    saved = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        w = skewed_world(spark, rides=30000, users=300)
+        rx = segments.rx_ride_stages(w)
+        rx.collect()
+        assert "SortMergeJoin(skew=true)" in executed(rx)
+        ux = segments.ux_ride_stages(w)
+        ux.collect()
+        plan = optimized(ux)
+        join = plan.index("Join LeftOuter, (user_id")
+        assert re.search(r"Aggregate \[user_id#\d+L\]", plan[join:])
+    finally:
+        for k, v in saved.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
