@@ -54,7 +54,7 @@ def _dimension_stage(step: int, name: str, df: DataFrame, key: str) -> DataFrame
     return align(out.select(*_tag(step, name), "*"), USER_EXTRACT_SCHEMA)
 
 
-def _per_user_segments(rows: DataFrame, t: dict[str, DataFrame],
+def per_user_segments(rows: DataFrame, t: dict[str, DataFrame],
                        measures: dict[str, Column]) -> DataFrame:
     """Ride-level ``rows`` (with ``user_id``) summed per user *before* the
     user dimension is joined: the map-side combine collapses a user holding a
@@ -72,7 +72,7 @@ def _user_stage(step: int, name: str, rows: DataFrame, t: dict[str, DataFrame],
     """Stages 3-7: per segment ``count(DISTINCT user_id)`` and ``count(user_id)``
     over ride-level rows, each row standing for ``weight`` joined rows."""
     w = F.col(weight) if weight else F.lit(1)
-    per = _per_user_segments(rows, t, {"_n": F.count(F.lit(1)), "_w": F.sum(w)})
+    per = per_user_segments(rows, t, {"_n": F.count(F.lit(1)), "_w": F.sum(w)})
     known = F.col("user_id").isNotNull()
     out = per.groupBy(*SEGMENT_KEYS).agg(
         F.sum(F.when(known, 1).otherwise(0)).cast("bigint").alias("user_count"),
@@ -170,7 +170,7 @@ def ux_ride_stages(t: dict[str, DataFrame]) -> DataFrame:
     """Stages 3-5 (requested, accepted, completed) from one pass over rides.
 
     The rides join the per-ride transaction multiplicity, are summed per user
-    and then per (segment, user) (:func:`_per_user_segments`), keeping
+    and then per (segment, user) (:func:`per_user_segments`), keeping
     per-stage row counts; a second aggregate per segment turns them into each
     stage's
     ``count(DISTINCT user_id)`` and ``count(user_id)``. Equal to stacking
@@ -180,7 +180,7 @@ def ux_ride_stages(t: dict[str, DataFrame]) -> DataFrame:
     rides = t["ride_requests"].select("ride_id", "user_id", "accept_ts", "cancel_ts") \
         .join(mult, "ride_id", "left")
     w5 = F.when(F.col("cancel_ts").isNull(), F.coalesce(F.col("n_tx"), F.lit(1))).otherwise(0)
-    per_user = _per_user_segments(rides, t, {"r3": F.count(F.lit(1)),
+    per_user = per_user_segments(rides, t, {"r3": F.count(F.lit(1)),
                                              "r4": F.count("accept_ts"),
                                              "r5": F.sum(w5)})
     known = F.col("user_id").isNotNull()

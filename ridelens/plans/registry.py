@@ -157,24 +157,28 @@ def q_count_distinct_global(t):
                  F.countDistinct("ride_id").cast("bigint").alias("rides"))
 
 
-def _download_segmented(t):
-    return _enriched(t).select("*", *time_parts("download_ts"))
-
-
 def _request_segmented(t, rides=None):
     rides = t["ride_requests"] if rides is None else rides
     e = joins.enrich_rides(rides, t["signups"], t["app_downloads"])
     return e.select("*", *time_parts("request_ts"))
 
 
+def _rides_per_user_segment(t):
+    # rides summed per user before the user dimension is joined (hot users)
+    rides = t["ride_requests"].select("user_id")
+    return segments.per_user_segments(rides, t, {"rides": F.count(F.lit(1))})
+
+
 def q_count_distinct_segment(t):
-    return _download_segmented(t).groupBy(*SEGMENTS).agg(
-        F.countDistinct("user_id").cast("bigint").alias("user_count"))
+    known = F.col("user_id").isNotNull()
+    return _rides_per_user_segment(t).groupBy(*SEGMENTS).agg(
+        F.sum(F.when(known, 1).otherwise(0)).cast("bigint").alias("user_count"))
 
 
 def q_count_segment(t):
-    return _download_segmented(t).groupBy(*SEGMENTS).agg(
-        F.count("user_id").cast("bigint").alias("ride_count"))
+    known = F.col("user_id").isNotNull()
+    return _rides_per_user_segment(t).groupBy(*SEGMENTS).agg(
+        F.sum(F.when(known, F.col("rides")).otherwise(0)).cast("bigint").alias("ride_count"))
 
 
 def q_avg_minutes_segment(t):
