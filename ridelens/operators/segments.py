@@ -1,11 +1,15 @@
 """Segmented funnel extracts at user and ride grain (the BI extracts).
 
-Segments are platform, age group and calendar year/month/hour. Each stage is
-one grouped aggregate; wide tables (transactions, reviews, rides used only
-for their multiplicity) are pre-aggregated per ride before they are joined,
-so shuffles carry one row per ride and fan-out is applied as a weight. All
-counts stay exact: ``count(col)`` over fanned-out rows equals the sum of the
-per-row multiplicities, ``count(DISTINCT col)`` ignores them.
+Segments are platform, age group and calendar year/month/hour. Wide tables
+(transactions, reviews, rides used only for their multiplicity) are
+pre-aggregated per ride before they are joined, so shuffles carry one row per
+ride and fan-out is applied as a weight; user-grain stages sum the rides per
+user before the user dimension is joined, so a hot user collapses map-side.
+Stages reading the same rows share one pass (``ux_ride_stages``,
+``rx_ride_stages``, ``rx_paid_stages``); the single-stage functions remain
+for callers that need one stage. All counts stay exact: ``count(col)`` over
+fanned-out rows equals the sum of the per-row multiplicities,
+``count(DISTINCT col)`` ignores them.
 """
 
 from __future__ import annotations
@@ -55,7 +59,7 @@ def _dimension_stage(step: int, name: str, df: DataFrame, key: str) -> DataFrame
 
 
 def per_user_segments(rows: DataFrame, t: dict[str, DataFrame],
-                       measures: dict[str, Column]) -> DataFrame:
+                      measures: dict[str, Column]) -> DataFrame:
     """Ride-level ``rows`` (with ``user_id``) summed per user *before* the
     user dimension is joined: the map-side combine collapses a user holding a
     third of all rides, so the join sees one row per user on each side. The

@@ -1,7 +1,10 @@
-"""Registry of named queries: key -> callable(spark, sf_dir) -> DataFrame.
+"""Registry of named queries, one per operator key of SURVEY §2.
 
-Every query reads the driver tables in ``sf_dir`` through the fixture views
-and runs over whole tables and whole texts.
+``BUILDERS`` maps a key to a function of the five funnel tables (any mapping
+of name -> DataFrame: Parquet or JDBC tables, hand-made test tables);
+``QUERIES`` maps the same key to ``(spark, sf_dir) -> DataFrame`` over the
+fixture views of the driver tables. Every query runs over whole tables and
+whole texts.
 """
 
 from __future__ import annotations
