@@ -1,6 +1,7 @@
 """Run one registered query over the five funnel tables and write the result.
 
-    spark-submit -m ridelens user_extract --tables s3://.../funnel --out s3://.../x
+    spark-submit --py-files ridelens.zip ridelens/__main__.py user_extract \
+        --tables s3://.../funnel --out s3://.../x
     python -m ridelens ride_extract --tables /data/funnel --out /tmp/x --format csv
 
 ``--tables`` holds one Parquet folder (or file) per table name. The write is
