@@ -93,10 +93,11 @@ def _presented(counts: DataFrame, top_lag: int, count_name: str) -> DataFrame:
 def user_funnel_steps(t: dict[str, DataFrame]) -> list[FunnelStep]:
     rides = t["ride_requests"]
     # count(DISTINCT r.user_id) over approved transactions LEFT JOIN rides only
-    # sees users owning a ride with an approved transaction: a semi join, so
-    # transaction fan-out never reaches the shuffle.
-    paid = rides.select("ride_id", "user_id").join(
-        approved(t["transactions"]).select("ride_id"), "ride_id", "left_semi")
+    # sees users owning a ride with an approved transaction: a semi join on
+    # the distinct paid ride ids (deduplicated map-side, so a ride with a
+    # third of all transactions collapses before the shuffle).
+    paid_ids = approved(t["transactions"]).select("ride_id").distinct()
+    paid = rides.select("ride_id", "user_id").join(paid_ids, "ride_id", "left_semi")
     return [
         FunnelStep("app_downloads", t["app_downloads"], "app_download_key"),
         FunnelStep("signups", t["signups"], "user_id"),
