@@ -72,21 +72,15 @@ def with_request_time(reviews: DataFrame, rides: DataFrame) -> DataFrame:
     review columns with ``year, month, hour`` of the ride request after
     ``user_id`` and ``ride_id`` dropped. Per-row work on the reviews (labels,
     phrase counts) can run before this join, so only its results - not the
-    text - need to travel to the join when the text is not in the output."""
-    r = rides_of(rides.select("ride_id", "request_ts"), reviews)
+    text - need to travel to the join when the text is not in the output.
+    Both sides reach the join as plain shuffles (or the rides as a broadcast
+    when AQE measures them small), so AQE can split the partition of a ride
+    id that holds a third of the reviews."""
+    r = rides.select("ride_id", "request_ts")
+    lead = ["user_id"] if "user_id" in reviews.columns else []
     rest = [c for c in reviews.columns if c not in ("ride_id", "user_id")]
     return reviews.join(r, "ride_id", "left").select(
-        "user_id", *time_parts("request_ts"), *rest)
-
-
-def rides_of(rides: DataFrame, referencing: DataFrame) -> DataFrame:
-    """Rides whose ``ride_id`` occurs in ``referencing``: a semi join on the
-    distinct ids. It cannot change a later join on ride_id, but when the ids
-    are few (reviews are a small share of rides) AQE broadcasts them, the rides
-    scan is filtered map-side, and the reduced rides can in turn be broadcast
-    instead of shuffling the referencing rows."""
-    ids = referencing.select("ride_id").where(F.col("ride_id").isNotNull()).distinct()
-    return rides.join(ids, "ride_id", "left_semi")
+        *lead, *time_parts("request_ts"), *rest)
 
 
 def completed_with_payments(rides: DataFrame, transactions: DataFrame,

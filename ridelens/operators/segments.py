@@ -21,8 +21,8 @@ from pyspark.sql.types import StructType
 from ridelens.functions.numeric import ratio, round_mean_half_up
 from ridelens.functions.text import sql_name, sql_string
 from ridelens.functions.time import minute_field, time_parts
-from ridelens.operators.joins import (approved_per_ride, rides_of,
-                                      transaction_multiplicity, user_segments)
+from ridelens.operators.joins import (approved_per_ride, transaction_multiplicity,
+                                      user_segments)
 from ridelens.operators.setops import align, union_all
 
 SEGMENT_KEYS = ["platform", "age_range", "year", "month", "hour"]
@@ -135,12 +135,12 @@ def ux_payment(t: dict[str, DataFrame]) -> DataFrame:
 def ux_review(t: dict[str, DataFrame]) -> DataFrame:
     """Stage 7: reviews LEFT JOIN rides (multiplicity only), segments through
     the review's own user."""
-    reviews = t["reviews"].select("ride_id", "user_id")
-    mult = rides_of(t["ride_requests"].select("ride_id"), reviews) \
-        .groupBy("ride_id").agg(F.count(F.lit(1)).alias("n_rides"))
-    re = reviews.join(mult, "ride_id", "left") \
-        .select("user_id", F.coalesce(F.col("n_rides"), F.lit(1)).alias("w"))
-    return _user_stage(7, "review", re, t, "w")
+    # The join stays a plain one (ride ids only): both inputs are shuffles, so
+    # AQE can split a ride id that holds a third of the reviews; the rows are
+    # then summed per user before the user dimension is joined.
+    re = t["reviews"].select("ride_id", "user_id") \
+        .join(t["ride_requests"].select("ride_id"), "ride_id", "left").select("user_id")
+    return _user_stage(7, "review", re, t)
 
 
 USER_STAGES = [ux_downloads, ux_signups, ux_requested, ux_accepted, ux_completed,

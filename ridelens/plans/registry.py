@@ -299,6 +299,11 @@ def q_classified_reviews(t):
     return _classified(t)
 
 
+# The review aggregates below join per-review results (not the text) to the
+# rides. Their aggregate after the join is global or keyed by time and label,
+# so a ride id held by a third of the reviews is a skewed join partition that
+# AQE's skew join splits without adding a shuffle.
+
 def q_flag_value_counts(t):
     flags = keywords.keyword_flags(_reviews(t)).drop("review")
     return keywords.flag_value_counts(_timed(t, flags))

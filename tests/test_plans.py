@@ -109,6 +109,15 @@ def test_hot_user_is_split_or_pre_aggregated(spark):
         plan = optimized(ux)
         join = plan.index("Join LeftOuter, (user_id")
         assert re.search(r"Aggregate \[user_id#\d+L\]", plan[join:])
+        # a ride id with a third of the reviews: the reviews-rides join is split
+        from ridelens.plans.registry import BUILDERS
+        for key in ("sentiment_rollup", "classified_reviews", "keyword_counts"):
+            df = BUILDERS[key](w)
+            df.collect()
+            assert "SortMergeJoin(skew=true)" in executed(df), key
+        review_stage = segments.ux_review(w)
+        review_stage.collect()
+        assert "SortMergeJoin(skew=true)" in executed(review_stage)
     finally:
         for k, v in saved.items():
             if v is None:
