@@ -14,6 +14,8 @@ fanned-out rows equals the sum of the per-row multiplicities,
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -41,6 +43,22 @@ RIDE_EXTRACT_SCHEMA = (
     "avg_ride_duration DOUBLE, sum_purchase_amount DECIMAL(22,2), avg_rating DOUBLE")
 
 
+def check_keys(keys: Sequence[str]) -> Sequence[str]:
+    """Segment columns must be a subset of ``SEGMENT_KEYS``."""
+    unknown = set(keys) - set(SEGMENT_KEYS)
+    if unknown:
+        raise ValueError(f"unknown segment columns {sorted(unknown)}; use {SEGMENT_KEYS}")
+    return keys
+
+
+def extract_schema(schema: str, keys: Sequence[str]) -> str:
+    """The extract schema with only the chosen segment columns (in order)."""
+    check_keys(keys)
+    fields = StructType.fromDDL(schema).fields
+    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields
+                     if f.name not in SEGMENT_KEYS or f.name in keys)
+
+
 def _tag(step: int, name: str) -> list[Column]:
     return [F.lit(step).alias("funnel_step"), F.lit(name).alias("funnel_name")]
 
@@ -52,14 +70,16 @@ def _segmented(df: DataFrame, ts: str) -> DataFrame:
 
 # ---------------------------------------------------------------- user grain
 
-def _dimension_stage(step: int, name: str, df: DataFrame, key: str) -> DataFrame:
+def _dimension_stage(step: int, name: str, df: DataFrame, key: str,
+                     keys: Sequence[str] = SEGMENT_KEYS) -> DataFrame:
     """Stages 1-2 (user-level tables): ``count(DISTINCT key)`` per segment."""
-    out = df.groupBy(*SEGMENT_KEYS).agg(F.countDistinct(key).cast("bigint").alias("user_count"))
-    return align(out.select(*_tag(step, name), "*"), USER_EXTRACT_SCHEMA)
+    out = df.groupBy(*keys).agg(F.countDistinct(key).cast("bigint").alias("user_count"))
+    return align(out.select(*_tag(step, name), "*"), extract_schema(USER_EXTRACT_SCHEMA, keys))
 
 
 def per_user_segments(rows: DataFrame, t: dict[str, DataFrame],
-                      measures: dict[str, Column]) -> DataFrame:
+                      measures: dict[str, Column],
+                      keys: Sequence[str] = SEGMENT_KEYS) -> DataFrame:
     """Ride-level ``rows`` (with ``user_id``) summed per user *before* the
     user dimension is joined: the map-side combine collapses a user holding a
     third of all rides, so the join sees one row per user on each side. The
@@ -68,34 +88,36 @@ def per_user_segments(rows: DataFrame, t: dict[str, DataFrame],
     the dimension holds several rows for one user."""
     per_user = rows.groupBy("user_id").agg(*[m.alias(k) for k, m in measures.items()])
     joined = _rides_by_user(per_user, t)
-    return joined.groupBy(*SEGMENT_KEYS, "user_id").agg(*[F.sum(k).alias(k) for k in measures])
+    return joined.groupBy(*keys, "user_id").agg(*[F.sum(k).alias(k) for k in measures])
 
 
 def _user_stage(step: int, name: str, rows: DataFrame, t: dict[str, DataFrame],
-                weight: str | None = None) -> DataFrame:
+                weight: str | None = None, keys: Sequence[str] = SEGMENT_KEYS) -> DataFrame:
     """Stages 3-7: per segment ``count(DISTINCT user_id)`` and ``count(user_id)``
     over ride-level rows, each row standing for ``weight`` joined rows."""
     w = F.col(weight) if weight else F.lit(1)
-    per = per_user_segments(rows, t, {"_n": F.count(F.lit(1)), "_w": F.sum(w)})
+    per = per_user_segments(rows, t, {"_n": F.count(F.lit(1)), "_w": F.sum(w)}, keys)
     known = F.col("user_id").isNotNull()
-    out = per.groupBy(*SEGMENT_KEYS).agg(
+    out = per.groupBy(*keys).agg(
         F.sum(F.when(known, 1).otherwise(0)).cast("bigint").alias("user_count"),
         F.sum(F.when(known, F.col("_w")).otherwise(0)).cast("bigint").alias("ride_count"))
-    return align(out.select(*_tag(step, name), "*"), USER_EXTRACT_SCHEMA)
+    return align(out.select(*_tag(step, name), "*"), extract_schema(USER_EXTRACT_SCHEMA, keys))
 
 
-def ux_downloads(t: dict[str, DataFrame]) -> DataFrame:
+def ux_downloads(t: dict[str, DataFrame],
+                 keys: Sequence[str] = SEGMENT_KEYS) -> DataFrame:
     """Stage 1: downloads LEFT JOIN signups, by download time."""
     s = t["signups"].select("session_id", "age_range")
     a = t["app_downloads"]
     df = a.join(s, a.app_download_key == s.session_id, "left")
-    return _dimension_stage(1, "downloads", _segmented(df, "download_ts"), "app_download_key")
+    return _dimension_stage(1, "downloads", _segmented(df, "download_ts"), "app_download_key", keys)
 
 
-def ux_signups(t: dict[str, DataFrame]) -> DataFrame:
+def ux_signups(t: dict[str, DataFrame],
+               keys: Sequence[str] = SEGMENT_KEYS) -> DataFrame:
     """Stage 2: signups LEFT JOIN downloads."""
     df = user_segments(t["signups"], t["app_downloads"])
-    return _dimension_stage(2, "signups", _segmented(df, "download_ts"), "user_id")
+    return _dimension_stage(2, "signups", _segmented(df, "download_ts"), "user_id", keys)
 
 
 def _rides_by_user(rides: DataFrame, t: dict[str, DataFrame]) -> DataFrame:
@@ -103,36 +125,41 @@ def _rides_by_user(rides: DataFrame, t: dict[str, DataFrame]) -> DataFrame:
                                  "user_id", "left"), "download_ts")
 
 
-def ux_requested(t: dict[str, DataFrame]) -> DataFrame:
+def ux_requested(t: dict[str, DataFrame],
+                 keys: Sequence[str] = SEGMENT_KEYS) -> DataFrame:
     rides = t["ride_requests"].select("user_id")
-    return _user_stage(3, "ride_requested", rides, t)
+    return _user_stage(3, "ride_requested", rides, t, keys=keys)
 
 
-def ux_accepted(t: dict[str, DataFrame]) -> DataFrame:
+def ux_accepted(t: dict[str, DataFrame],
+                keys: Sequence[str] = SEGMENT_KEYS) -> DataFrame:
     rides = t["ride_requests"].where(F.col("accept_ts").isNotNull()).select("user_id")
-    return _user_stage(4, "ride_accepted", rides, t)
+    return _user_stage(4, "ride_accepted", rides, t, keys=keys)
 
 
-def ux_completed(t: dict[str, DataFrame]) -> DataFrame:
+def ux_completed(t: dict[str, DataFrame],
+                 keys: Sequence[str] = SEGMENT_KEYS) -> DataFrame:
     """Stage 5: rides LEFT JOIN transactions (multiplicity only) WHERE
     cancel_ts IS NULL; each ride weighs max(1, its transaction rows)."""
     rides = t["ride_requests"].where(F.col("cancel_ts").isNull()).select("ride_id", "user_id")
     mult = transaction_multiplicity(t["transactions"])
     weighted = rides.join(mult, "ride_id", "left") \
         .select("user_id", F.coalesce(F.col("n_tx"), F.lit(1)).alias("w"))
-    return _user_stage(5, "ride_completed", weighted, t, "w")
+    return _user_stage(5, "ride_completed", weighted, t, "w", keys)
 
 
-def ux_payment(t: dict[str, DataFrame]) -> DataFrame:
+def ux_payment(t: dict[str, DataFrame],
+               keys: Sequence[str] = SEGMENT_KEYS) -> DataFrame:
     """Stage 6: approved transactions (per ride) LEFT JOIN rides; orphan
     transactions land in the all-NULL segment with zero counts."""
     paid = approved_per_ride(t["transactions"]).select("ride_id", "n_tx")
     rides = t["ride_requests"].select("ride_id", "user_id")
     df = paid.join(rides, "ride_id", "left").select("user_id", "n_tx")
-    return _user_stage(6, "payment", df, t, "n_tx")
+    return _user_stage(6, "payment", df, t, "n_tx", keys)
 
 
-def ux_review(t: dict[str, DataFrame]) -> DataFrame:
+def ux_review(t: dict[str, DataFrame],
+              keys: Sequence[str] = SEGMENT_KEYS) -> DataFrame:
     """Stage 7: reviews LEFT JOIN rides (multiplicity only), segments through
     the review's own user."""
     # The join stays a plain one (ride ids only): both inputs are shuffles, so
@@ -140,7 +167,7 @@ def ux_review(t: dict[str, DataFrame]) -> DataFrame:
     # then summed per user before the user dimension is joined.
     re = t["reviews"].select("ride_id", "user_id") \
         .join(t["ride_requests"].select("ride_id"), "ride_id", "left").select("user_id")
-    return _user_stage(7, "review", re, t)
+    return _user_stage(7, "review", re, t, keys=keys)
 
 
 USER_STAGES = [ux_downloads, ux_signups, ux_requested, ux_accepted, ux_completed,
@@ -148,7 +175,7 @@ USER_STAGES = [ux_downloads, ux_signups, ux_requested, ux_accepted, ux_completed
 
 
 def _stacked(grouped: DataFrame, stages: list[tuple[int, str, str, dict[str, Column]]],
-             schema: str) -> DataFrame:
+             schema: str, keys: Sequence[str] = SEGMENT_KEYS) -> DataFrame:
     """One output row per (segment, stage) for the stages the segment has rows
     in: ``stages`` holds (number, name, row-count column, output columns by
     name); every stage row carries the full schema, absent columns NULL."""
@@ -164,13 +191,14 @@ def _stacked(grouped: DataFrame, stages: list[tuple[int, str, str, dict[str, Col
             f"{f.dataType.simpleString()})" for f in fields]
         structs.append("named_struct(" + ", ".join(parts) + ")")
     presents = list(dict.fromkeys(present for _, _, present, _ in stages))
-    pre = grouped.select(*SEGMENT_KEYS, *presents, *values)
-    rows = pre.selectExpr(*[sql_name(k) for k in SEGMENT_KEYS],
+    pre = grouped.select(*keys, *presents, *values)
+    rows = pre.selectExpr(*[sql_name(k) for k in keys],
                           "inline(array(" + ", ".join(structs) + "))")
-    return align(rows.where(F.col("_present") > 0), schema)
+    return align(rows.where(F.col("_present") > 0), extract_schema(schema, keys))
 
 
-def ux_ride_stages(t: dict[str, DataFrame]) -> DataFrame:
+def ux_ride_stages(t: dict[str, DataFrame],
+                   keys: Sequence[str] = SEGMENT_KEYS) -> DataFrame:
     """Stages 3-5 (requested, accepted, completed) from one pass over rides.
 
     The rides join the per-ride transaction multiplicity, are summed per user
@@ -186,7 +214,7 @@ def ux_ride_stages(t: dict[str, DataFrame]) -> DataFrame:
     w5 = F.when(F.col("cancel_ts").isNull(), F.coalesce(F.col("n_tx"), F.lit(1))).otherwise(0)
     per_user = per_user_segments(rides, t, {"r3": F.count(F.lit(1)),
                                              "r4": F.count("accept_ts"),
-                                             "r5": F.sum(w5)})
+                                             "r5": F.sum(w5)}, keys)
     known = F.col("user_id").isNotNull()
     aggs = []
     for k in ("3", "4", "5"):
@@ -194,19 +222,22 @@ def ux_ride_stages(t: dict[str, DataFrame]) -> DataFrame:
         aggs += [F.sum(r).alias("n" + k),
                  F.sum(F.when(known & (r > 0), 1).otherwise(0)).cast("bigint").alias("u" + k),
                  F.sum(F.when(known, r).otherwise(0)).cast("bigint").alias("c" + k)]
-    grouped = per_user.groupBy(*SEGMENT_KEYS).agg(*aggs)
+    grouped = per_user.groupBy(*keys).agg(*aggs)
     stages = [(int(k), name, "n" + k, {"user_count": F.col("u" + k),
                                         "ride_count": F.col("c" + k)})
               for k, name in (("3", "ride_requested"), ("4", "ride_accepted"),
                               ("5", "ride_completed"))]
-    return _stacked(grouped, stages, USER_EXTRACT_SCHEMA)
+    return _stacked(grouped, stages, USER_EXTRACT_SCHEMA, keys)
 
 
-def user_extract(t: dict[str, DataFrame]) -> DataFrame:
+def user_extract(t: dict[str, DataFrame],
+                 keys: Sequence[str] = SEGMENT_KEYS) -> DataFrame:
     """All seven stages stacked, ordered by stage. Stage number and group keys
     are all in the output, so rows are unique and UNION equals UNION ALL.
     Stages 3-5 share one pass over the rides (:func:`ux_ride_stages`)."""
-    parts = [ux_downloads(t), ux_signups(t), ux_ride_stages(t), ux_payment(t), ux_review(t)]
+    check_keys(keys)
+    parts = [ux_downloads(t, keys), ux_signups(t, keys), ux_ride_stages(t, keys),
+             ux_payment(t, keys), ux_review(t, keys)]
     return union_all(parts).orderBy("funnel_step")
 
 
@@ -217,13 +248,14 @@ def _enriched_rides(rides: DataFrame, t: dict[str, DataFrame]) -> DataFrame:
                                  "user_id", "left").drop("download_ts"), "request_ts")
 
 
-def _ride_stage(step: int, name: str, df: DataFrame, *measures: Column) -> DataFrame:
+def _ride_stage(step: int, name: str, df: DataFrame, *measures: Column,
+                keys: Sequence[str] = SEGMENT_KEYS) -> DataFrame:
     """Group on the *raw* age group, then COALESCE it: a stored
     'Not specified' and a NULL age stay separate groups that print alike."""
-    out = df.groupBy(*SEGMENT_KEYS).agg(
+    out = df.groupBy(*keys).agg(
         F.countDistinct("ride_id").cast("bigint").alias("ride_count"), *measures)
     out = out.withColumn("age_range", F.coalesce(F.col("age_range"), F.lit(NOT_SPECIFIED)))
-    return align(out.select(*_tag(step, name), "*"), RIDE_EXTRACT_SCHEMA)
+    return align(out.select(*_tag(step, name), "*"), extract_schema(RIDE_EXTRACT_SCHEMA, keys))
 
 
 def _avg_minutes(later: str, earlier: str) -> Column:
@@ -234,42 +266,47 @@ def _completed(rides: DataFrame) -> DataFrame:
     return rides.where(F.col("accept_ts").isNotNull() & F.col("dropoff_ts").isNotNull())
 
 
-def rx_requested(t: dict[str, DataFrame]) -> DataFrame:
+def rx_requested(t: dict[str, DataFrame],
+                 keys: Sequence[str] = SEGMENT_KEYS) -> DataFrame:
     df = _enriched_rides(t["ride_requests"], t)
     m = minute_field("cancel_ts", "request_ts")
     return _ride_stage(
         3, "ride_requested", df,
         round_mean_half_up(F.sum(m), F.count(m)).alias("avg_time_ride_requested_cancelled"),
         ratio(F.sum(F.when(F.col("cancel_ts").isNotNull(), 1).otherwise(0)),
-              F.count("request_ts")).alias("proportion_of_cancellations"))
+              F.count("request_ts")).alias("proportion_of_cancellations"), keys=keys)
 
 
-def rx_accepted(t: dict[str, DataFrame]) -> DataFrame:
+def rx_accepted(t: dict[str, DataFrame],
+                keys: Sequence[str] = SEGMENT_KEYS) -> DataFrame:
     df = _enriched_rides(t["ride_requests"].where(F.col("accept_ts").isNotNull()), t)
     return _ride_stage(
         4, "ride_accepted", df,
         _avg_minutes("accept_ts", "request_ts").alias("avg_time_requested_accepted"),
         _avg_minutes("pickup_ts", "accept_ts").alias("avg_time_accepted_pickup"),
-        _avg_minutes("cancel_ts", "accept_ts").alias("avg_time_accepted_cancelled"))
+        _avg_minutes("cancel_ts", "accept_ts").alias("avg_time_accepted_cancelled"), keys=keys)
 
 
-def rx_completed(t: dict[str, DataFrame]) -> DataFrame:
+def rx_completed(t: dict[str, DataFrame],
+                 keys: Sequence[str] = SEGMENT_KEYS) -> DataFrame:
     df = _enriched_rides(_completed(t["ride_requests"]), t)
     return _ride_stage(
         5, "ride_completed", df,
         _avg_minutes("pickup_ts", "request_ts").alias("avg_time_requested_pickup"),
-        _avg_minutes("dropoff_ts", "pickup_ts").alias("avg_ride_duration"))
+        _avg_minutes("dropoff_ts", "pickup_ts").alias("avg_ride_duration"), keys=keys)
 
 
-def rx_paid(t: dict[str, DataFrame]) -> DataFrame:
+def rx_paid(t: dict[str, DataFrame],
+            keys: Sequence[str] = SEGMENT_KEYS) -> DataFrame:
     """Stage 6: completed rides with approved transactions (the filter makes
     the join inner); revenue = sum over rides of their approved amount."""
     paid = approved_per_ride(t["transactions"]).select("ride_id", "amount")
     df = _enriched_rides(_completed(t["ride_requests"]).join(paid, "ride_id", "inner"), t)
-    return _ride_stage(6, "payment", df, F.sum("amount").alias("sum_purchase_amount"))
+    return _ride_stage(6, "payment", df, F.sum("amount").alias("sum_purchase_amount"), keys=keys)
 
 
-def rx_reviewed(t: dict[str, DataFrame]) -> DataFrame:
+def rx_reviewed(t: dict[str, DataFrame],
+                keys: Sequence[str] = SEGMENT_KEYS) -> DataFrame:
     """Stage 7: stage 6 LEFT JOIN reviews; counts *paid* rides, only the mean
     rating depends on reviews. Mean over the fanned-out rows:
     sum(n_tx * rating_sum) / sum(n_tx * rating_n)."""
@@ -281,17 +318,20 @@ def rx_reviewed(t: dict[str, DataFrame]) -> DataFrame:
     df = _enriched_rides(rides, t)
     total = F.sum(F.col("n_tx") * F.col("rating_sum"))
     count = F.sum(F.col("n_tx") * F.col("rating_n"))
-    return _ride_stage(7, "ride reviewed", df, ratio(total, count).alias("avg_rating"))
+    return _ride_stage(7, "ride reviewed", df, ratio(total, count).alias("avg_rating"), keys=keys)
 
 
 RIDE_STAGES = [rx_requested, rx_accepted, rx_completed, rx_paid, rx_reviewed]
 
 
 def _coalesced_age(df: DataFrame) -> DataFrame:
+    if "age_range" not in df.columns:
+        return df
     return df.withColumn("age_range", F.coalesce(F.col("age_range"), F.lit(NOT_SPECIFIED)))
 
 
-def rx_ride_stages(t: dict[str, DataFrame]) -> DataFrame:
+def rx_ride_stages(t: dict[str, DataFrame],
+                   keys: Sequence[str] = SEGMENT_KEYS) -> DataFrame:
     """Stages 3-5 at ride grain from one pass over the enriched rides.
 
     A first aggregate per (segment, ride) keeps per-stage row counts and the
@@ -311,7 +351,7 @@ def rx_ride_stages(t: dict[str, DataFrame]) -> DataFrame:
         "rp": F.when(done, minute_field("pickup_ts", "request_ts")),
         "du": F.when(done, minute_field("dropoff_ts", "pickup_ts")),
     }
-    per_ride = df.groupBy(*SEGMENT_KEYS, "ride_id").agg(
+    per_ride = df.groupBy(*keys, "ride_id").agg(
         F.count(F.lit(1)).alias("r3"),
         F.count("accept_ts").alias("r4"),
         F.sum(F.when(done, 1).otherwise(0)).alias("r5"),
@@ -321,7 +361,7 @@ def rx_ride_stages(t: dict[str, DataFrame]) -> DataFrame:
           for a in (F.sum(m).alias(name + "_s"), F.count(m).alias(name + "_n"))])
     known = F.col("ride_id").isNotNull()
     sums = ["cancelled", "requested"] + [n + sfx for n in fields for sfx in ("_s", "_n")]
-    grouped = per_ride.groupBy(*SEGMENT_KEYS).agg(
+    grouped = per_ride.groupBy(*keys).agg(
         *[F.sum("r" + k).alias("n" + k) for k in "345"],
         *[F.sum(F.when(known & (F.col("r" + k) > 0), 1).otherwise(0)).cast("bigint")
           .alias("u" + k) for k in "345"],
@@ -342,10 +382,11 @@ def rx_ride_stages(t: dict[str, DataFrame]) -> DataFrame:
             "avg_time_requested_pickup": ratio(c("rp_s"), c("rp_n")),
             "avg_ride_duration": ratio(c("du_s"), c("du_n"))}),
     ]
-    return _coalesced_age(_stacked(grouped, stages, RIDE_EXTRACT_SCHEMA))
+    return _coalesced_age(_stacked(grouped, stages, RIDE_EXTRACT_SCHEMA, keys))
 
 
-def rx_paid_stages(t: dict[str, DataFrame]) -> DataFrame:
+def rx_paid_stages(t: dict[str, DataFrame],
+                   keys: Sequence[str] = SEGMENT_KEYS) -> DataFrame:
     """Stages 6-7 at ride grain from one pass: both count the same paid rides,
     stage 6 sums their approved amount, stage 7 averages the ratings over the
     (transaction x review) rows. Equal to stacking :func:`rx_paid` and
@@ -355,7 +396,7 @@ def rx_paid_stages(t: dict[str, DataFrame]) -> DataFrame:
         F.sum("rating").alias("rating_sum"), F.count("rating").alias("rating_n"))
     rides = _completed(t["ride_requests"]).join(paid, "ride_id", "inner") \
         .join(rated, "ride_id", "left")
-    grouped = _enriched_rides(rides, t).groupBy(*SEGMENT_KEYS).agg(
+    grouped = _enriched_rides(rides, t).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
         F.countDistinct("ride_id").cast("bigint").alias("ride_count"),
         F.sum("amount").alias("amount"),
@@ -367,11 +408,13 @@ def rx_paid_stages(t: dict[str, DataFrame]) -> DataFrame:
         (7, "ride reviewed", "n", {"ride_count": c("ride_count"),
                                    "avg_rating": ratio(c("rating_total"), c("rating_count"))}),
     ]
-    return _coalesced_age(_stacked(grouped, stages, RIDE_EXTRACT_SCHEMA))
+    return _coalesced_age(_stacked(grouped, stages, RIDE_EXTRACT_SCHEMA, keys))
 
 
-def ride_extract(t: dict[str, DataFrame]) -> DataFrame:
+def ride_extract(t: dict[str, DataFrame],
+                 keys: Sequence[str] = SEGMENT_KEYS) -> DataFrame:
     """Stages 3-7 at ride grain, SQL UNION: duplicates from the coalesced age
     group are removed (UNION ALL would keep them). Two passes: stages 3-5 over
     all rides, stages 6-7 over the paid ones."""
-    return union_all([rx_ride_stages(t), rx_paid_stages(t)]).distinct()
+    check_keys(keys)
+    return union_all([rx_ride_stages(t, keys), rx_paid_stages(t, keys)]).distinct()

@@ -125,3 +125,53 @@ def test_fused_stages_equal_separate_stages(small_world):
     for stage in segments.RIDE_STAGES[1:]:
         separate = separate.union(stage(t))
     assert canon(fused.collect()) == canon(separate.collect())
+
+
+def test_segment_subsets(spark, small_world):
+    from tests.conftest import canon
+    t = small_world
+    keys = ["platform", "year"]
+    ux = segments.user_extract(t, keys)
+    assert ux.columns == ["funnel_step", "funnel_name", "platform", "year", "user_count",
+                          "ride_count"]
+    separate = segments.ux_downloads(t, keys)
+    for stage in segments.USER_STAGES[1:]:
+        separate = separate.union(stage(t, keys))
+    assert canon(ux.collect()) == canon(separate.collect())
+    rx = segments.ride_extract(t, ["age_range", "hour"])
+    separate = segments.rx_requested(t, ["age_range", "hour"])
+    for stage in segments.RIDE_STAGES[1:]:
+        separate = separate.union(stage(t, ["age_range", "hour"]))
+    assert canon(rx.collect()) == canon(separate.distinct().collect())
+    import pytest
+    with pytest.raises(ValueError):
+        segments.user_extract(t, ["platform", "weekday"])
+
+
+def test_segment_subsets_against_duckdb(spark):
+    import duckdb
+
+    from tests.test_worlds import skewed_world
+    w = skewed_world(spark)
+    con = duckdb.connect()
+    for name, df in w.items():
+        con.register(name, df.toArrow())
+    got = segments.ux_requested(w, ["platform", "year"]).collect()
+    want = con.sql("""
+        SELECT 3, 'ride_requested', a.platform, extract(year FROM a.download_ts),
+               count(DISTINCT r.user_id), count(r.user_id)
+        FROM ride_requests r LEFT JOIN signups s ON r.user_id = s.user_id
+        LEFT JOIN app_downloads a ON s.session_id = a.app_download_key
+        GROUP BY 3, 4""").fetchall()
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+    got = segments.rx_accepted(w, ["age_range", "hour"]).select(
+        "age_range", "hour", "ride_count", "avg_time_accepted_pickup").collect()
+    want = con.sql("""
+        SELECT COALESCE(s.age_range, 'Not specified'), extract(hour FROM r.request_ts),
+               count(DISTINCT r.ride_id),
+               CAST(sum(extract(minute FROM (r.pickup_ts - r.accept_ts))) AS DOUBLE)
+                 / NULLIF(count(extract(minute FROM (r.pickup_ts - r.accept_ts))), 0)
+        FROM ride_requests r LEFT JOIN signups s ON r.user_id = s.user_id
+        WHERE r.accept_ts IS NOT NULL
+        GROUP BY s.age_range, extract(hour FROM r.request_ts)""").fetchall()
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
