@@ -10,9 +10,10 @@ from __future__ import annotations
 
 import os
 from collections.abc import Mapping
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from pyspark.sql import DataFrame, SparkSession
+
+from ridelens.functions.text import sql_string
 from ridelens.sources.tables import spread
 
 # Fixed values of the fixture binding (FIXTURES.md): platform by key % 3,
@@ -46,20 +47,19 @@ BASE_SCHEMAS = {
 }
 
 
-def _pick(index: Column, values: list) -> Column:
-    """``values[index]`` as a CASE chain (NULL entries give NULL)."""
-    expr = None
-    for i, value in enumerate(values):
-        if value is None:
-            continue
-        expr = (F.when(index == i, F.lit(value)) if expr is None
-                else expr.when(index == i, F.lit(value)))
-    return expr
+def _pick(index: str, values: list) -> str:
+    """SQL ``values[index]`` as a CASE (NULL entries give NULL)."""
+    whens = " ".join(f"WHEN {i} THEN {sql_string(v)}"
+                     for i, v in enumerate(values) if v is not None)
+    return f"CASE {index} {whens} END"
+
 
+def _plus_seconds(ts: str, seconds: str) -> str:
+    return f"timestampadd(SECOND, {seconds}, {ts})"
 
-def _plus_seconds(ts: Column, seconds: Column) -> Column:
-    return F.timestamp_add("SECOND", seconds, ts)
 
+# Each view is one projection written as Spark SQL expressions (one call into
+# the JVM per view); the DuckDB texts in ridelens.plans.oracle mirror them.
 
 def base_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """The driver tables the binding reads, with declared column types."""
@@ -68,62 +68,53 @@ def base_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 
 def app_downloads(customer: DataFrame) -> DataFrame:
-    k = F.col("c_custkey")
-    epoch = F.expr(f"TIMESTAMP_NTZ '{DOWNLOAD_EPOCH}'")
-    return customer.select(
-        k.alias("app_download_key"),
-        _pick(k % 3, PLATFORMS).alias("platform"),
-        F.timestamp_add("HOUR", F.lit(744) * (k % 4) + k % 6, epoch).alias("download_ts"))
+    return customer.selectExpr(
+        "c_custkey AS app_download_key",
+        f"{_pick('c_custkey % 3', PLATFORMS)} AS platform",
+        f"timestampadd(HOUR, 744 * (c_custkey % 4) + c_custkey % 6, "
+        f"TIMESTAMP_NTZ '{DOWNLOAD_EPOCH}') AS download_ts")
 
 
 def signups(customer: DataFrame) -> DataFrame:
-    k = F.col("c_custkey")
-    return customer.where(k % 8 != 0).select(
-        k.alias("user_id"),
-        k.alias("session_id"),
-        _pick(F.col("c_nationkey") % 6, AGE_RANGES).alias("age_range"))
+    return customer.where("c_custkey % 8 <> 0").selectExpr(
+        "c_custkey AS user_id", "c_custkey AS session_id",
+        f"{_pick('c_nationkey % 6', AGE_RANGES)} AS age_range")
 
 
 def ride_requests(orders: DataFrame) -> DataFrame:
-    k = F.col("o_orderkey")
-    status = F.col("o_orderstatus")
-    request = _plus_seconds(F.col("o_orderdate"), F.lit(3600) * (k % 5) + k % 3600)
-    return orders.select(
-        k.alias("ride_id"),
-        F.col("o_custkey").alias("user_id"),
-        request.alias("request_ts"),
-        F.when(status != "P", _plus_seconds(request, F.lit(60) * (k % 80 + 7) + k % 60))
-         .alias("accept_ts"),
-        F.when(status == "O", _plus_seconds(request, F.lit(60) * (k % 90 + 20) + k % 60))
-         .alias("pickup_ts"),
-        F.when((status == "O") & (k % 9 != 0),
-               _plus_seconds(request, F.lit(60) * (k % 150 + 120))).alias("dropoff_ts"),
-        F.when((status == "P") | ((status == "F") & (k % 4 != 0)),
-               _plus_seconds(request, F.lit(60) * (k % 95) + 30)).alias("cancel_ts"))
+    request = _plus_seconds("o_orderdate", "3600 * (o_orderkey % 5) + o_orderkey % 3600")
+    k = "o_orderkey"
+    return orders.selectExpr(
+        f"{k} AS ride_id", "o_custkey AS user_id", f"{request} AS request_ts",
+        f"CASE WHEN o_orderstatus <> 'P' THEN "
+        f"{_plus_seconds(request, f'60 * ({k} % 80 + 7) + {k} % 60')} END AS accept_ts",
+        f"CASE WHEN o_orderstatus = 'O' THEN "
+        f"{_plus_seconds(request, f'60 * ({k} % 90 + 20) + {k} % 60')} END AS pickup_ts",
+        f"CASE WHEN o_orderstatus = 'O' AND {k} % 9 <> 0 THEN "
+        f"{_plus_seconds(request, f'60 * ({k} % 150 + 120)')} END AS dropoff_ts",
+        f"CASE WHEN o_orderstatus = 'P' OR (o_orderstatus = 'F' AND {k} % 4 <> 0) THEN "
+        f"{_plus_seconds(request, f'60 * ({k} % 95) + 30')} END AS cancel_ts")
 
 
 def transactions(lineitem: DataFrame) -> DataFrame:
-    k = F.col("l_orderkey")
-    return lineitem.select(
-        F.when(F.col("l_linenumber") == 7, F.lit(-1) - k).otherwise(k).alias("ride_id"),
-        F.col("l_extendedprice").cast("decimal(12,2)").alias("purchase_amount_usd"),
-        F.when(F.col("l_returnflag") == "R", F.lit("Declined")).otherwise(F.lit("Approved"))
-         .alias("charge_status"))
+    return lineitem.selectExpr(
+        "CASE WHEN l_linenumber = 7 THEN -1 - l_orderkey ELSE l_orderkey END AS ride_id",
+        "CAST(l_extendedprice AS DECIMAL(12,2)) AS purchase_amount_usd",
+        "CASE WHEN l_returnflag = 'R' THEN 'Declined' ELSE 'Approved' END AS charge_status")
 
 
 def reviews(documents: DataFrame, orders: DataFrame) -> DataFrame:
     """Reviews: an opening phrase from ``REVIEW_PHRASES`` followed by the whole
     document text, so keyword work scales with the real text volume."""
     d = spread(documents.select("doc_id", "text"), "doc_id")
-    o = orders.select(F.col("o_orderkey"), F.col("o_custkey"))
-    doc = F.col("doc_id")
-    phrase = _pick(doc % 11, REVIEW_PHRASES)
-    phrase = F.when(doc % 13 == 0, F.upper(phrase)).otherwise(phrase)
-    return (d.join(o, d.doc_id * 17 == o.o_orderkey, "left")
-             .select((doc * 17).alias("ride_id"),
-                     F.coalesce(F.col("o_custkey"), doc).alias("user_id"),
-                     (doc % 5 + 1).cast("int").alias("rating"),
-                     F.concat(phrase, F.lit(" "), F.col("text")).alias("review")))
+    o = orders.select("o_orderkey", "o_custkey")
+    phrase = _pick("doc_id % 11", REVIEW_PHRASES)
+    return d.join(o, d.doc_id * 17 == o.o_orderkey, "left").selectExpr(
+        "doc_id * 17 AS ride_id",
+        "coalesce(o_custkey, doc_id) AS user_id",
+        "CAST(doc_id % 5 + 1 AS INT) AS rating",
+        f"concat(CASE WHEN doc_id % 13 = 0 THEN upper({phrase}) ELSE {phrase} END, ' ', text)"
+        " AS review")
 
 
 class FixtureTables(Mapping):
