@@ -154,3 +154,31 @@ def test_csv_roundtrip_keeps_quotes_newlines_and_blanks(spark):
                            empty_as_blank=keywords.LABEL_ASPECTS)
     assert sorted(map(tuple, back.collect()), key=lambda r: r[0]) == \
            sorted(map(tuple, classified.collect()), key=lambda r: r[0])
+
+
+def test_reads_a_pandas_written_csv(spark):
+    # The analysis hands files written by pandas (quotes doubled, NULL and
+    # '' both written as nothing); labels read back as '' via empty_as_blank
+    import os
+
+    import pandas as pd
+
+    from ridelens.plans.registry import CLASSIFIED_SCHEMA
+    rows = [
+        {"user_id": 1, "year": 2022, "month": 5, "hour": 8, "rating": 5,
+         "review": 'said "fine",\nthen left', "app": "", "app_val": 0, "driver": "positive",
+         "driver_val": 1, "ride": "", "ride_val": 0, "price": "", "price_val": 0,
+         "wait_time": "negative", "wait_time_val": 1},
+        {"user_id": 2, "year": None, "month": None, "hour": None, "rating": 1,
+         "review": "rude", "app": "", "app_val": 0, "driver": "negative", "driver_val": 1,
+         "ride": "", "ride_val": 0, "price": "", "price_val": 0, "wait_time": "",
+         "wait_time_val": 0},
+    ]
+    folder = new_scratch_path(spark, "pandas-csv")
+    local = folder.removeprefix("file:")
+    os.makedirs(local)
+    frame = pd.DataFrame(rows).astype({"year": "Int64", "month": "Int64", "hour": "Int64"})
+    frame.to_csv(os.path.join(local, "review_wrangled_data.csv"), index=False)
+    got = csv_io.read_csv(spark, folder, CLASSIFIED_SCHEMA,
+                          empty_as_blank=keywords.LABEL_ASPECTS).orderBy("user_id").collect()
+    assert [r.asDict() for r in got] == rows
