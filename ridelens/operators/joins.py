@@ -68,9 +68,10 @@ def reviews_with_time(reviews: DataFrame, rides: DataFrame) -> DataFrame:
 
 
 def with_request_time(reviews: DataFrame, rides: DataFrame) -> DataFrame:
-    """``reviews`` (any columns, including ``ride_id``) LEFT JOIN rides: the
-    review columns with ``year, month, hour`` of the ride request after
-    ``user_id`` and ``ride_id`` dropped. Per-row work on the reviews (labels,
+    """``reviews`` (any columns, including ``ride_id``) LEFT JOIN rides.
+    Output: ``user_id`` (if present), ``year, month, hour`` of the ride
+    request, then the other review columns; ``ride_id`` is dropped. Per-row
+    work on the reviews (labels,
     phrase counts) can run before this join, so only its results - not the
     text - need to travel to the join when the text is not in the output.
     Both sides reach the join as plain shuffles (or the rides as a broadcast
