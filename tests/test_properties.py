@@ -65,3 +65,14 @@ def test_declared_base_schemas_match_files(spark):
             stored = spark.read.parquet(os.path.join("/root/testdata", sf, f"{name}.parquet"))
             for field in StructType.fromDDL(ddl).fields:
                 assert stored.schema[field.name].dataType == field.dataType, (sf, name, field)
+
+
+def test_parquet_loader_and_profiles(spark):
+    from ridelens.sources.profile import profile
+    from ridelens.sources.tables import load_parquet_tables, table_row_counts
+    t = load_parquet_tables(spark, SF_SMALL, names=("customer", "orders"))   # <name>.parquet
+    counts = {r.table_name: r.row_count for r in table_row_counts(t).collect()}
+    assert counts == {"customer": 150, "orders": 1500}
+    prof = {r.column: (r.dtype, r.non_null, r.total) for r in profile(t["customer"]).collect()}
+    assert prof["c_custkey"] == ("bigint", 150, 150)
+    assert set(prof) == set(t["customer"].columns)
