@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -90,7 +90,7 @@ def _presented(counts: DataFrame, top_lag: int, count_name: str) -> DataFrame:
     return funnel_ratios(counts, top_lag, count_name).orderBy("step").drop("step")
 
 
-def user_funnel_steps(t: dict[str, DataFrame]) -> list[FunnelStep]:
+def user_funnel_steps(t: Mapping[str, DataFrame]) -> list[FunnelStep]:
     rides = t["ride_requests"]
     # count(DISTINCT r.user_id) over approved transactions LEFT JOIN rides only
     # sees users owning a ride with an approved transaction: a semi join on
@@ -109,7 +109,7 @@ def user_funnel_steps(t: dict[str, DataFrame]) -> list[FunnelStep]:
     ]
 
 
-def ride_funnel_steps(t: dict[str, DataFrame]) -> list[FunnelStep]:
+def ride_funnel_steps(t: Mapping[str, DataFrame]) -> list[FunnelStep]:
     rides = t["ride_requests"]
     return [
         FunnelStep("app_downloads", t["app_downloads"], None),
@@ -122,19 +122,19 @@ def ride_funnel_steps(t: dict[str, DataFrame]) -> list[FunnelStep]:
     ]
 
 
-def user_funnel(t: dict[str, DataFrame], top_lag: int = 6) -> DataFrame:
+def user_funnel(t: Mapping[str, DataFrame], top_lag: int = 6) -> DataFrame:
     """``funnel_name, user_count, perc_previous, perc_top`` in stage order."""
     return _presented(funnel_counts(user_funnel_steps(t)), top_lag, "user_count")
 
 
-def ride_funnel(t: dict[str, DataFrame], top_lag: int = 4) -> DataFrame:
+def ride_funnel(t: Mapping[str, DataFrame], top_lag: int = 4) -> DataFrame:
     """``funnel_name, ride_count, perc_previous, perc_top`` in stage order.
     Stages 1-2 are NULL at ride grain; an empty source drops its row (and so
     shifts every lag), as in the SQL it mirrors."""
     return _presented(funnel_counts(ride_funnel_steps(t)), top_lag, "ride_count")
 
 
-def stage_conversion(t: dict[str, DataFrame]) -> DataFrame:
+def stage_conversion(t: Mapping[str, DataFrame]) -> DataFrame:
     """Users completing after acceptance, ride requests accepted.
     ``metric, numerator, denominator, ratio``."""
     users = funnel_counts(user_funnel_steps(t)[2:5])   # requested, accepted, completed

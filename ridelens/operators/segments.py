@@ -14,7 +14,7 @@ fanned-out rows equals the sum of the per-row multiplicities,
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -77,7 +77,7 @@ def _dimension_stage(step: int, name: str, df: DataFrame, key: str,
     return align(out.select(*_tag(step, name), "*"), extract_schema(USER_EXTRACT_SCHEMA, keys))
 
 
-def per_user_segments(rows: DataFrame, t: dict[str, DataFrame],
+def per_user_segments(rows: DataFrame, t: Mapping[str, DataFrame],
                       measures: dict[str, Column],
                       keys: Sequence[str] = SEGMENT_KEYS) -> DataFrame:
     """Ride-level ``rows`` (with ``user_id``) summed per user *before* the
@@ -91,7 +91,7 @@ def per_user_segments(rows: DataFrame, t: dict[str, DataFrame],
     return joined.groupBy(*keys, "user_id").agg(*[F.sum(k).alias(k) for k in measures])
 
 
-def _user_stage(step: int, name: str, rows: DataFrame, t: dict[str, DataFrame],
+def _user_stage(step: int, name: str, rows: DataFrame, t: Mapping[str, DataFrame],
                 weight: str | None = None, keys: Sequence[str] = SEGMENT_KEYS) -> DataFrame:
     """Stages 3-7: per segment ``count(DISTINCT user_id)`` and ``count(user_id)``
     over ride-level rows, each row standing for ``weight`` joined rows."""
@@ -104,7 +104,7 @@ def _user_stage(step: int, name: str, rows: DataFrame, t: dict[str, DataFrame],
     return align(out.select(*_tag(step, name), "*"), extract_schema(USER_EXTRACT_SCHEMA, keys))
 
 
-def ux_downloads(t: dict[str, DataFrame],
+def ux_downloads(t: Mapping[str, DataFrame],
                  keys: Sequence[str] = SEGMENT_KEYS) -> DataFrame:
     """Stage 1: downloads LEFT JOIN signups, by download time."""
     s = t["signups"].select("session_id", "age_range")
@@ -113,31 +113,31 @@ def ux_downloads(t: dict[str, DataFrame],
     return _dimension_stage(1, "downloads", _segmented(df, "download_ts"), "app_download_key", keys)
 
 
-def ux_signups(t: dict[str, DataFrame],
+def ux_signups(t: Mapping[str, DataFrame],
                keys: Sequence[str] = SEGMENT_KEYS) -> DataFrame:
     """Stage 2: signups LEFT JOIN downloads."""
     df = user_segments(t["signups"], t["app_downloads"])
     return _dimension_stage(2, "signups", _segmented(df, "download_ts"), "user_id", keys)
 
 
-def _rides_by_user(rides: DataFrame, t: dict[str, DataFrame]) -> DataFrame:
+def _rides_by_user(rides: DataFrame, t: Mapping[str, DataFrame]) -> DataFrame:
     return _segmented(rides.join(user_segments(t["signups"], t["app_downloads"]),
                                  "user_id", "left"), "download_ts")
 
 
-def ux_requested(t: dict[str, DataFrame],
+def ux_requested(t: Mapping[str, DataFrame],
                  keys: Sequence[str] = SEGMENT_KEYS) -> DataFrame:
     rides = t["ride_requests"].select("user_id")
     return _user_stage(3, "ride_requested", rides, t, keys=keys)
 
 
-def ux_accepted(t: dict[str, DataFrame],
+def ux_accepted(t: Mapping[str, DataFrame],
                 keys: Sequence[str] = SEGMENT_KEYS) -> DataFrame:
     rides = t["ride_requests"].where(F.col("accept_ts").isNotNull()).select("user_id")
     return _user_stage(4, "ride_accepted", rides, t, keys=keys)
 
 
-def ux_completed(t: dict[str, DataFrame],
+def ux_completed(t: Mapping[str, DataFrame],
                  keys: Sequence[str] = SEGMENT_KEYS) -> DataFrame:
     """Stage 5: rides LEFT JOIN transactions (multiplicity only) WHERE
     cancel_ts IS NULL; each ride weighs max(1, its transaction rows)."""
@@ -148,7 +148,7 @@ def ux_completed(t: dict[str, DataFrame],
     return _user_stage(5, "ride_completed", weighted, t, "w", keys)
 
 
-def ux_payment(t: dict[str, DataFrame],
+def ux_payment(t: Mapping[str, DataFrame],
                keys: Sequence[str] = SEGMENT_KEYS) -> DataFrame:
     """Stage 6: approved transactions (per ride) LEFT JOIN rides; orphan
     transactions land in the all-NULL segment with zero counts."""
@@ -158,7 +158,7 @@ def ux_payment(t: dict[str, DataFrame],
     return _user_stage(6, "payment", df, t, "n_tx", keys)
 
 
-def ux_review(t: dict[str, DataFrame],
+def ux_review(t: Mapping[str, DataFrame],
               keys: Sequence[str] = SEGMENT_KEYS) -> DataFrame:
     """Stage 7: reviews LEFT JOIN rides (multiplicity only), segments through
     the review's own user."""
@@ -197,7 +197,7 @@ def _stacked(grouped: DataFrame, stages: list[tuple[int, str, str, dict[str, Col
     return align(rows.where(F.col("_present") > 0), extract_schema(schema, keys))
 
 
-def ux_ride_stages(t: dict[str, DataFrame],
+def ux_ride_stages(t: Mapping[str, DataFrame],
                    keys: Sequence[str] = SEGMENT_KEYS) -> DataFrame:
     """Stages 3-5 (requested, accepted, completed) from one pass over rides.
 
@@ -230,7 +230,7 @@ def ux_ride_stages(t: dict[str, DataFrame],
     return _stacked(grouped, stages, USER_EXTRACT_SCHEMA, keys)
 
 
-def user_extract(t: dict[str, DataFrame],
+def user_extract(t: Mapping[str, DataFrame],
                  keys: Sequence[str] = SEGMENT_KEYS) -> DataFrame:
     """All seven stages stacked, ordered by stage. Stage number and group keys
     are all in the output, so rows are unique and UNION equals UNION ALL.
@@ -243,7 +243,7 @@ def user_extract(t: dict[str, DataFrame],
 
 # ---------------------------------------------------------------- ride grain
 
-def _enriched_rides(rides: DataFrame, t: dict[str, DataFrame]) -> DataFrame:
+def _enriched_rides(rides: DataFrame, t: Mapping[str, DataFrame]) -> DataFrame:
     return _segmented(rides.join(user_segments(t["signups"], t["app_downloads"]),
                                  "user_id", "left").drop("download_ts"), "request_ts")
 
@@ -266,7 +266,7 @@ def _completed(rides: DataFrame) -> DataFrame:
     return rides.where(F.col("accept_ts").isNotNull() & F.col("dropoff_ts").isNotNull())
 
 
-def rx_requested(t: dict[str, DataFrame],
+def rx_requested(t: Mapping[str, DataFrame],
                  keys: Sequence[str] = SEGMENT_KEYS) -> DataFrame:
     df = _enriched_rides(t["ride_requests"], t)
     m = minute_field("cancel_ts", "request_ts")
@@ -277,7 +277,7 @@ def rx_requested(t: dict[str, DataFrame],
               F.count("request_ts")).alias("proportion_of_cancellations"), keys=keys)
 
 
-def rx_accepted(t: dict[str, DataFrame],
+def rx_accepted(t: Mapping[str, DataFrame],
                 keys: Sequence[str] = SEGMENT_KEYS) -> DataFrame:
     df = _enriched_rides(t["ride_requests"].where(F.col("accept_ts").isNotNull()), t)
     return _ride_stage(
@@ -287,7 +287,7 @@ def rx_accepted(t: dict[str, DataFrame],
         _avg_minutes("cancel_ts", "accept_ts").alias("avg_time_accepted_cancelled"), keys=keys)
 
 
-def rx_completed(t: dict[str, DataFrame],
+def rx_completed(t: Mapping[str, DataFrame],
                  keys: Sequence[str] = SEGMENT_KEYS) -> DataFrame:
     df = _enriched_rides(_completed(t["ride_requests"]), t)
     return _ride_stage(
@@ -296,7 +296,7 @@ def rx_completed(t: dict[str, DataFrame],
         _avg_minutes("dropoff_ts", "pickup_ts").alias("avg_ride_duration"), keys=keys)
 
 
-def rx_paid(t: dict[str, DataFrame],
+def rx_paid(t: Mapping[str, DataFrame],
             keys: Sequence[str] = SEGMENT_KEYS) -> DataFrame:
     """Stage 6: completed rides with approved transactions (the filter makes
     the join inner); revenue = sum over rides of their approved amount."""
@@ -305,7 +305,7 @@ def rx_paid(t: dict[str, DataFrame],
     return _ride_stage(6, "payment", df, F.sum("amount").alias("sum_purchase_amount"), keys=keys)
 
 
-def rx_reviewed(t: dict[str, DataFrame],
+def rx_reviewed(t: Mapping[str, DataFrame],
                 keys: Sequence[str] = SEGMENT_KEYS) -> DataFrame:
     """Stage 7: stage 6 LEFT JOIN reviews; counts *paid* rides, only the mean
     rating depends on reviews. Mean over the fanned-out rows:
@@ -330,7 +330,7 @@ def _coalesced_age(df: DataFrame) -> DataFrame:
     return df.withColumn("age_range", F.coalesce(F.col("age_range"), F.lit(NOT_SPECIFIED)))
 
 
-def rx_ride_stages(t: dict[str, DataFrame],
+def rx_ride_stages(t: Mapping[str, DataFrame],
                    keys: Sequence[str] = SEGMENT_KEYS) -> DataFrame:
     """Stages 3-5 at ride grain from one pass over the enriched rides.
 
@@ -385,7 +385,7 @@ def rx_ride_stages(t: dict[str, DataFrame],
     return _coalesced_age(_stacked(grouped, stages, RIDE_EXTRACT_SCHEMA, keys))
 
 
-def rx_paid_stages(t: dict[str, DataFrame],
+def rx_paid_stages(t: Mapping[str, DataFrame],
                    keys: Sequence[str] = SEGMENT_KEYS) -> DataFrame:
     """Stages 6-7 at ride grain from one pass: both count the same paid rides,
     stage 6 sums their approved amount, stage 7 averages the ratings over the
@@ -411,7 +411,7 @@ def rx_paid_stages(t: dict[str, DataFrame],
     return _coalesced_age(_stacked(grouped, stages, RIDE_EXTRACT_SCHEMA, keys))
 
 
-def ride_extract(t: dict[str, DataFrame],
+def ride_extract(t: Mapping[str, DataFrame],
                  keys: Sequence[str] = SEGMENT_KEYS) -> DataFrame:
     """Stages 3-7 at ride grain, SQL UNION: duplicates from the coalesced age
     group are removed (UNION ALL would keep them). Two passes: stages 3-5 over

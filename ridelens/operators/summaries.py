@@ -3,6 +3,8 @@ hour of day), computed from the base tables, not re-aggregated from extracts."""
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from ridelens.functions.numeric import ratio
 from ridelens.operators.joins import approved_per_ride, user_segments
 
 
-def _per_user_by(t: dict[str, DataFrame], key: str) -> DataFrame:
+def _per_user_by(t: Mapping[str, DataFrame], key: str) -> DataFrame:
     """Per user: ride rows, completed rides and approved amount (amount
     pre-aggregated per ride, so no transaction fan-out), summed per user
     *before* the user dimension is joined - a user with a third of all rides
@@ -31,7 +33,7 @@ def _users() -> F.Column:
     return F.sum(F.when(F.col("user_id").isNotNull(), 1).otherwise(0)).cast("bigint")
 
 
-def platform_summary(t: dict[str, DataFrame]) -> DataFrame:
+def platform_summary(t: Mapping[str, DataFrame]) -> DataFrame:
     """``platform, users, ride_requests, completed_rides, revenue``."""
     return _per_user_by(t, "platform").groupBy("platform").agg(
         _users().alias("users"),
@@ -40,14 +42,14 @@ def platform_summary(t: dict[str, DataFrame]) -> DataFrame:
         F.sum("amount").cast("decimal(38,2)").alias("revenue"))
 
 
-def age_value_summary(t: dict[str, DataFrame]) -> DataFrame:
+def age_value_summary(t: Mapping[str, DataFrame]) -> DataFrame:
     """``age_range, users, revenue, revenue_per_user`` by the stored age group."""
     out = _per_user_by(t, "age_range").groupBy("age_range").agg(
         _users().alias("users"), F.sum("amount").cast("decimal(38,2)").alias("revenue"))
     return out.select("*", ratio(F.col("revenue"), F.col("users")).alias("revenue_per_user"))
 
 
-def hourly_demand(t: dict[str, DataFrame]) -> DataFrame:
+def hourly_demand(t: Mapping[str, DataFrame]) -> DataFrame:
     """``hour, requests, accepted, completed, cancelled`` by request hour."""
     r = t["ride_requests"]
     return r.groupBy(F.hour("request_ts").cast("bigint").alias("hour")).agg(
