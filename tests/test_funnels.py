@@ -74,3 +74,22 @@ def test_shared_pass_equals_separate_counts(small_world):
     got = funnel.funnel_counts([funnel.FunnelStep("a", empty, "user_id"),
                                 funnel.FunnelStep("b", empty, "user_id", F.lit(True))])
     assert sorted(got.collect()) == [(1, "a", 0), (2, "b", 0)]
+
+
+def test_shared_pass_matches_python_on_random_rides(spark):
+    import random
+
+    from pyspark.sql import functions as F
+    rng = random.Random(7)
+    rows = []
+    for ride in range(3000):
+        user = None if rng.random() < 0.05 else (1 if rng.random() < 0.3 else rng.randint(2, 400))
+        rows.append((ride, user, rng.random() < 0.6, rng.random() < 0.4))
+    rides = spark.createDataFrame(rows, "ride_id BIGINT, user_id BIGINT, a BOOLEAN, d BOOLEAN")
+    got = funnel.funnel_counts([
+        funnel.FunnelStep("requested", rides, "user_id"),
+        funnel.FunnelStep("accepted", rides, "user_id", F.col("a")),
+        funnel.FunnelStep("completed", rides, "user_id", F.col("a") & F.col("d"))])
+    want = [len({u for _, u, a, d in rows if u is not None and cond(a, d)})
+            for cond in (lambda a, d: True, lambda a, d: a, lambda a, d: a and d)]
+    assert [r["count"] for r in got.orderBy("step").collect()] == want
