@@ -1,6 +1,8 @@
 """DuckDB texts of the operator queries that SQL can express."""
 
+from ridelens.llm import curriculum_mix as mixing
 from ridelens.llm import secret_entropy as secrets
+from ridelens.llm.common import WORD
 
 
 def _quoted(pattern: str) -> str:
@@ -53,3 +55,29 @@ def secrets_sql() -> str:
            coalesce(n_hex, 0) n_hex, coalesce(n_entropy, 0) n_entropy,
            sha256(coalesce(base, '')) base_sha256, coalesce(spans, '') spans
     FROM d LEFT JOIN g USING (doc_id)"""
+
+
+def mix_sql() -> str:
+    """Targets from the water level; taken words from prefix sums over each source."""
+    weights, limit = list(mixing.WEIGHTS), mixing.REPEAT_LIMIT
+    taken = " + ".join(f"greatest(0, least(size, floor(target)::BIGINT - {e} * source_size - start))"
+                       for e in range(limit))
+    return f"""
+    WITH d AS (SELECT doc_id, source,
+            len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT size,
+            md5(coalesce(doc_id::VARCHAR, '')) by_id, md5(coalesce(text, '')) by_text FROM documents),
+    t AS (SELECT source, sum(size)::BIGINT source_size FROM d GROUP BY source),
+    r AS (SELECT *, {weights}[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(weights)} + 1] weight,
+            {limit} * source_size AS most FROM t),
+    q AS (SELECT *, most::DOUBLE / weight ratio FROM r),
+    l AS (SELECT *, row_number() OVER (ORDER BY ratio, source NULLS LAST) place,
+            (sum(source_size) OVER () - coalesce(sum(most) OVER (ORDER BY ratio, source NULLS LAST
+               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
+            / sum(weight) OVER (ORDER BY ratio, source NULLS LAST
+               ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) level FROM q),
+    g AS (SELECT source, source_size, least(most::DOUBLE, weight *
+            (SELECT level FROM l WHERE level <= ratio ORDER BY place LIMIT 1)) target FROM l),
+    p AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY by_id, by_text
+            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT start FROM d)
+    SELECT doc_id, size, source_size, target, ({taken})::BIGINT taken
+    FROM p JOIN g ON p.source IS NOT DISTINCT FROM g.source"""

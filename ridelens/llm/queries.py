@@ -5,22 +5,37 @@ table and returns the full result.
 """
 
 from ridelens.llm import oracle
+from ridelens.llm.curriculum_mix import mix_report
 from ridelens.llm.secret_entropy import secret_report
+from ridelens.llm.simhash_gray import near_duplicates
 
 
 def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_simhash_gray(spark, sf_dir):
+    """Fingerprint and near-duplicate class of every document."""
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_secret_entropy(spark, sf_dir):
     """Secrets of every document: pattern spans and high-entropy spans."""
     return secret_report(table(spark, sf_dir, "documents"))
 
 
+def op6_curriculum_mix(spark, sf_dir):
+    """Source targets and the words taken of every document."""
+    return mix_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op2_simhash_gray": op2_simhash_gray,
     "op5_secret_entropy": op5_secret_entropy,
+    "op6_curriculum_mix": op6_curriculum_mix,
 }
 
 ORACLE = {
     "op5_secret_entropy": oracle.secrets_sql(),
+    "op6_curriculum_mix": oracle.mix_sql(),
 }
