@@ -1,6 +1,7 @@
 """DuckDB texts of the operator queries that SQL can express."""
 
 from ridelens.llm import curriculum_mix as mixing
+from ridelens.llm import line_chunks as lines
 from ridelens.llm import secret_entropy as secrets
 from ridelens.llm.common import WORD
 
@@ -81,3 +82,25 @@ def mix_sql() -> str:
             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT start FROM d)
     SELECT doc_id, size, source_size, target, ({taken})::BIGINT taken
     FROM p JOIN g ON p.source IS NOT DISTINCT FROM g.source"""
+
+
+def lines_sql() -> str:
+    """Chunk boundaries from lagged line hashes; repeated chunk texts by their rank."""
+    rolled = " + ".join(["h"] + [f"{lines.BASE ** k} * coalesce(lag(h, {k}) OVER w, 0)"
+                                 for k in range(1, lines.WINDOW)])
+    return f"""
+    WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) t FROM documents),
+    l AS (SELECT doc_id, unnest(t) line, generate_subscripts(t, 1) i FROM d),
+    h AS (SELECT *, ('0x' || substr(md5(line), 1, 8))::BIGINT h FROM l),
+    r AS (SELECT *, (({rolled}) % {lines.DIVISOR} = 0)::INT stop FROM h
+          WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+    c AS (SELECT *, coalesce(sum(stop) OVER (PARTITION BY doc_id ORDER BY i
+            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) place FROM r),
+    b AS (SELECT doc_id, place, count(*) n, string_agg(line, chr(10) ORDER BY i) body
+          FROM c GROUP BY doc_id, place),
+    k AS (SELECT *, n >= {lines.MIN_LINES}
+            AND row_number() OVER (PARTITION BY body ORDER BY doc_id, place) > 1 gone FROM b)
+    SELECT doc_id, count(*) FILTER (gone) removed_chunks,
+           coalesce(sum(n) FILTER (gone), 0)::BIGINT removed_lines,
+           md5(coalesce(string_agg(body, chr(10) ORDER BY place) FILTER (NOT gone), '')) text_md5
+    FROM k GROUP BY doc_id"""

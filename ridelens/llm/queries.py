@@ -6,6 +6,7 @@ table and returns the full result.
 
 from ridelens.llm import oracle
 from ridelens.llm.curriculum_mix import mix_report
+from ridelens.llm.line_chunks import line_report
 from ridelens.llm.secret_entropy import secret_report
 from ridelens.llm.simhash_gray import near_duplicates
 
@@ -19,6 +20,11 @@ def op2_simhash_gray(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_line_chunks(spark, sf_dir):
+    """What every document loses to globally repeated chunks of lines."""
+    return line_report(table(spark, sf_dir, "documents"))
+
+
 def op5_secret_entropy(spark, sf_dir):
     """Secrets of every document: pattern spans and high-entropy spans."""
     return secret_report(table(spark, sf_dir, "documents"))
@@ -31,11 +37,13 @@ def op6_curriculum_mix(spark, sf_dir):
 
 QUERIES = {
     "op2_simhash_gray": op2_simhash_gray,
+    "op3_line_chunks": op3_line_chunks,
     "op5_secret_entropy": op5_secret_entropy,
     "op6_curriculum_mix": op6_curriculum_mix,
 }
 
 ORACLE = {
+    "op3_line_chunks": oracle.lines_sql(),
     "op5_secret_entropy": oracle.secrets_sql(),
     "op6_curriculum_mix": oracle.mix_sql(),
 }
