@@ -7,6 +7,7 @@ table and returns the full result.
 from ridelens.llm import oracle
 from ridelens.llm.curriculum_mix import mix_report
 from ridelens.llm.line_chunks import line_report
+from ridelens.llm.qgram_decontam import leak_report
 from ridelens.llm.secret_entropy import secret_report
 from ridelens.llm.simhash_gray import near_duplicates
 
@@ -35,11 +36,17 @@ def op6_curriculum_mix(spark, sf_dir):
     return mix_report(table(spark, sf_dir, "documents"))
 
 
+def op9_qgram_decontam(spark, sf_dir):
+    """Benchmark items that every document leaks, within the edit budget."""
+    return leak_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op2_simhash_gray": op2_simhash_gray,
     "op3_line_chunks": op3_line_chunks,
     "op5_secret_entropy": op5_secret_entropy,
     "op6_curriculum_mix": op6_curriculum_mix,
+    "op9_qgram_decontam": op9_qgram_decontam,
 }
 
 ORACLE = {
