@@ -10,6 +10,7 @@ from ridelens.llm.line_chunks import line_report
 from ridelens.llm.qgram_decontam import leak_report
 from ridelens.llm.secret_entropy import secret_report
 from ridelens.llm.simhash_gray import near_duplicates
+from ridelens.llm.toxic_ssk import toxic_report
 
 
 def table(spark, sf_dir, name):
@@ -36,6 +37,11 @@ def op6_curriculum_mix(spark, sf_dir):
     return mix_report(table(spark, sf_dir, "documents"))
 
 
+def op8_toxic_ssk(spark, sf_dir):
+    """Toxicity score of every document by a string-kernel SVM."""
+    return toxic_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_qgram_decontam(spark, sf_dir):
     """Benchmark items that every document leaks, within the edit budget."""
     return leak_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -46,6 +52,7 @@ QUERIES = {
     "op3_line_chunks": op3_line_chunks,
     "op5_secret_entropy": op5_secret_entropy,
     "op6_curriculum_mix": op6_curriculum_mix,
+    "op8_toxic_ssk": op8_toxic_ssk,
     "op9_qgram_decontam": op9_qgram_decontam,
 }
 

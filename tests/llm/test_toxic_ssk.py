@@ -1,0 +1,116 @@
+import random
+import zlib
+from itertools import combinations
+
+import numpy as np
+import pytest
+
+from ridelens.llm import toxic_ssk as op
+
+SCHEMA = "doc_id BIGINT, text STRING, toxicity STRING, toxic STRING, chosen INT"
+
+
+def brute_scaled(word):
+    """Weights of the spread subsequences of a folded word, by all index choices."""
+    found = {}
+    for at in combinations(range(len(word)), op.ORDER):
+        spread = at[-1] - at[0] + 1
+        if spread <= op.SPAN:
+            key = "".join(word[i] for i in at)
+            found[key] = found.get(key, 0) + op.DECAY ** spread
+    norm = sum(op.DECAY ** (2 * (at[-1] - at[0] + 1)) for at in combinations(range(len(word)), op.ORDER)
+               if at[-1] - at[0] < op.SPAN) ** .5
+    return {k: v / norm for k, v in found.items()}
+
+
+def key_of(letters):
+    return sum((ord(c) - 96) << (5 * (op.ORDER - 1 - k)) for k, c in enumerate(letters))
+
+
+def test_kernel_and_collapsed_scores_against_brute_force():
+    rng = random.Random(1)
+    some = ["".join(rng.choices("abcd", k=rng.randrange(4, 15))) for _ in range(30)]
+    raw = [bytes(ord(c) - 96 for c in w) for w in some]
+    for w, r in zip(some, raw):
+        keys, weights = op.subsequences(r)
+        got = {}
+        for k, v in zip(keys.tolist(), weights.tolist()):
+            got[k] = got.get(k, 0) + v
+        want = {key_of(k): v for k, v in brute_scaled(w).items()}
+        assert got == pytest.approx(want)
+    table = np.random.default_rng(2).normal(size=op.SEQUENCES)
+    letters, starts, sizes = op.words(op.codes_of(" ".join(some)))
+    scores = op.unit_scores(letters, starts, sizes, table)
+    for w, s in zip(some, scores):
+        assert s == pytest.approx(sum(v * table[key_of(k)] for k, v in brute_scaled(w).items()))
+
+
+def read(text):
+    letters, starts, sizes = op.words(op.codes_of(text))
+    return ["".join(chr(96 + c) for c in letters[a:a + n]) for a, n in zip(starts, sizes)]
+
+
+def test_words_are_folded():
+    assert read("Idíot, i.d.i-o_t  1d10t \n i d i o t. a b x") == ["idiot", "idiot", "idiot", "idiotabx"]
+    assert read("a b cd  e f g") == ["a", "b", "cd", "efg"]
+    assert read("") == read(" \t") == read("...!") == read("　") == []
+
+
+def test_long_words_are_read_in_windows():
+    starts, sizes = op.units(np.array([0, 40]), np.array([40, 3]))
+    assert all(n <= op.UNIT for n in sizes)
+    assert {i for a, n in zip(starts, sizes) for i in range(a, a + n)} == set(range(43))
+
+
+def corpus(rng, n):
+    syllables = ["th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha", "at", "en", "es", "of", "or"]
+    word = lambda: "".join(rng.choices(syllables, k=rng.randrange(1, 5)))
+    rows = []
+    for i in range(n):
+        words = [word() for _ in range(rng.randrange(5, 80))]
+        toxic = i % 3 == 0
+        for _ in range(rng.randrange(1, 4) if toxic else 0):
+            words.insert(rng.randrange(len(words)), rng.choice(["bloop", "Grumpkin", "zarvo", "snivvel"]))
+        rows.append((i, ". ".join(" ".join(words[k:k + 9]) for k in range(0, len(words), 9)), int(toxic)))
+    return rows
+
+
+def test_held_out_accuracy_and_gapped_insults(spark):
+    rows = corpus(random.Random(3), 900)
+    docs = spark.createDataFrame([(i, t, "x", "y", 1) for i, t, _ in rows], SCHEMA)
+    told = [(i, y) for i, _, y in rows] + [(None, 1), (3, 0), (3, 1), (5, 7), (7, None)]
+    labels = spark.createDataFrame(told, "doc_id BIGINT, toxic INT")
+    got = {r.doc_id: r for r in op.toxic_report(docs, labels).collect()}
+    held = [(got[i], y) for i, _, y in rows if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert all(got[i].held_out == (zlib.crc32(str(i).encode()) % 4 == 2) for i, *_ in rows)
+    assert all(r.predicted == (r.score >= op.THRESHOLD) and 0 <= r.score <= 1 for r, _ in held)
+    assert sum(r.predicted == y for r, y in held) > .97 * len(held)
+
+    model = op.train(docs, labels)
+    for text in ("thon gruumpkin hed", "thon g r u m p k i n hed", "thon grump.kin hed", "ZARVO", "blooop"):
+        assert model.score(text) >= op.THRESHOLD, text
+    assert model.score(None) == model.score("") == model.score(" .. ") < op.THRESHOLD
+    long = "thonher " * 200_000
+    assert model.score(long) < op.THRESHOLD <= model.score(long + "zarvo")
+
+    kept = op.drop_toxic(docs, labels)
+    assert kept.columns == docs.columns
+    left = {r.doc_id for r in kept.collect()}
+    assert sum((i in left) == (y == 0) for i, _, y in rows) > .97 * len(rows)
+
+
+def test_blocks_of_a_long_text(monkeypatch):
+    model = np.random.default_rng(2).normal(size=op.SEQUENCES)
+    text = corpus(random.Random(4), 40)[3][1] * 3
+    whole = op.strongest(text, model)
+    monkeypatch.setattr(op, "BLOCK_CHARS", 10)
+    assert op.strongest(text, model) == pytest.approx(whole)
+
+
+@pytest.mark.parametrize("told", [[], [(1, 0)], [(1, 1)]])
+def test_without_both_labels_nothing_is_toxic(spark, told):
+    docs = spark.createDataFrame([(1, "some words here"), (2, None), (None, "x")], "doc_id BIGINT, text STRING")
+    labels = spark.createDataFrame(told, "doc_id BIGINT, toxic INT")
+    assert [r.score for r in op.toxic_report(docs, labels).collect()] == [0.0] * 3
+    assert op.drop_toxic(docs, labels).count() == 3
+    assert op.toxic_report(docs.limit(0), labels).collect() == []
