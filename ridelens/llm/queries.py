@@ -6,8 +6,10 @@ table and returns the full result.
 
 from ridelens.llm import oracle
 from ridelens.llm.curriculum_mix import mix_report
+from ridelens.llm.lang_crf import language_report
 from ridelens.llm.line_chunks import line_report
 from ridelens.llm.qgram_decontam import leak_report
+from ridelens.llm.risk_quality import quality_report
 from ridelens.llm.secret_entropy import secret_report
 from ridelens.llm.simhash_gray import near_duplicates
 from ridelens.llm.toxic_ssk import toxic_report
@@ -27,6 +29,11 @@ def op3_line_chunks(spark, sf_dir):
     return line_report(table(spark, sf_dir, "documents"))
 
 
+def op4_lang_crf(spark, sf_dir):
+    """Language of every document by a conditional random field over its words."""
+    return language_report(table(spark, sf_dir, "documents"))
+
+
 def op5_secret_entropy(spark, sf_dir):
     """Secrets of every document: pattern spans and high-entropy spans."""
     return secret_report(table(spark, sf_dir, "documents"))
@@ -37,6 +44,11 @@ def op6_curriculum_mix(spark, sf_dir):
     return mix_report(table(spark, sf_dir, "documents"))
 
 
+def op7_risk_quality(spark, sf_dir):
+    """Quality measures of every document and the risk-controlled verdict."""
+    return quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_toxic_ssk(spark, sf_dir):
     """Toxicity score of every document by a string-kernel SVM."""
     return toxic_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -50,8 +62,10 @@ def op9_qgram_decontam(spark, sf_dir):
 QUERIES = {
     "op2_simhash_gray": op2_simhash_gray,
     "op3_line_chunks": op3_line_chunks,
+    "op4_lang_crf": op4_lang_crf,
     "op5_secret_entropy": op5_secret_entropy,
     "op6_curriculum_mix": op6_curriculum_mix,
+    "op7_risk_quality": op7_risk_quality,
     "op8_toxic_ssk": op8_toxic_ssk,
     "op9_qgram_decontam": op9_qgram_decontam,
 }
