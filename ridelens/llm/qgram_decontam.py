@@ -92,6 +92,7 @@ class Index:
         self.edits = np.array([e for e, _ in plan], np.int64)
         self.bound = np.array([b for _, b in plan], np.int64)
         self.short = [i for i, t in enumerate(self.texts) if len(t) < Q]
+        self.stride = max(map(len, self.texts), default=1)
         self.longest = max((len(t) + e for t, (e, _) in zip(self.texts, plan)), default=0)
         return self
 
@@ -113,7 +114,8 @@ def candidates(codes: np.ndarray, index: Index) -> Iterator[tuple[int, int, int]
     # an upper bound first: items with too few shared q-grams in the whole text
     enough = np.bincount(item, minlength=len(index.bound)) >= index.bound
     keep = enough[item]
-    item, diagonal = item[keep], (at[source] - index.place[posting])[keep]
+    item, place = item[keep], index.place[posting[keep]]
+    diagonal = at[source[keep]] - place
     if not len(item):
         return
     step = index.edits[item] + 1
@@ -122,7 +124,13 @@ def candidates(codes: np.ndarray, index: Index) -> Iterator[tuple[int, int, int]
     width = band.max() - lowest + 1
     # a diagonal lies in the band that begins at its own step and in the one before
     code = np.concatenate([item * width + band - lowest, item * width + band - 1 - lowest])
-    code, count = np.unique(code, return_counts=True)
+    codes_met, which, count = np.unique(code, return_inverse=True, return_counts=True)
+    full = (count >= index.bound[codes_met // width])[which]
+    if not full.any():
+        return
+    # each of the item's q-grams counts once, however often the band repeats it
+    once = np.unique(code[full] * index.stride + np.concatenate([place, place])[full])
+    code, count = np.unique(once // index.stride, return_counts=True)
     item, band = code // width, code % width + lowest
     for i, b in zip(*(x[count >= index.bound[item]] for x in (item, band))):
         size = index.edits[i] + 1
@@ -152,10 +160,21 @@ def align(item: np.ndarray, region: np.ndarray, low: int, high: int, most: int)
     return int(row[end]), int(columns[end])
 
 
+def found_at(text: bytes, wanted: bytes, start: int) -> int:
+    """Place at or after ``start`` where ``wanted`` stands in ``text`` (UTF-32), or -1."""
+    at = text.find(wanted, 4 * start)
+    while at % 4 and at >= 0:
+        at = text.find(wanted, at + 1)
+    return at // 4 if at >= 0 else -1
+
+
 def verified(codes: np.ndarray, item: np.ndarray, low: int, high: int, most: int):
     """(start, stop, distance) of the item's best alignment on the band, or None."""
     first, last = max(0, low - most), min(len(codes), high + len(item) + most)
     region = codes[first:last]
+    same = found_at(region.tobytes(), item.tobytes(), 0)
+    if same >= 0:                                       # no edit: nothing to align
+        return first + same, first + same + len(item), 0
     found = align(item, region, low - first, high - first, most)
     if found is None:
         return None
@@ -179,10 +198,9 @@ def leaks(text: str, index: Index) -> list[tuple[int, int, int, int]]:
                 best.setdefault(i, []).append((begin + span[0], begin + span[1], span[2]))
     plain = codes.tobytes() if index.short else b""
     for i in index.short:
-        wanted, at = index.texts[i].tobytes(), -4
-        while (at := plain.find(wanted, at + 4 - (at % 4 if at >= 0 else 0))) >= 0:
-            if at % 4 == 0:
-                best.setdefault(i, []).append((at // 4, at // 4 + len(index.texts[i]), 0))
+        wanted, at = index.texts[i].tobytes(), -1
+        while (at := found_at(plain, wanted, at + 1)) >= 0:
+            best.setdefault(i, []).append((at, at + len(index.texts[i]), 0))
     found = []
     for i, spans in best.items():
         kept: list[tuple[int, int, int]] = []
