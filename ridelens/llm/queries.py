@@ -5,6 +5,7 @@ table and returns the full result.
 """
 
 from ridelens.llm import oracle
+from ridelens.llm.chain_dedup import passage_report
 from ridelens.llm.curriculum_mix import mix_report
 from ridelens.llm.lang_crf import language_report
 from ridelens.llm.line_chunks import line_report
@@ -59,6 +60,11 @@ def op9_qgram_decontam(spark, sf_dir):
     return leak_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_chain_dedup(spark, sf_dir):
+    """Fuzzy passages that every document shares with others."""
+    return passage_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_simhash_gray": op2_simhash_gray,
     "op3_line_chunks": op3_line_chunks,
@@ -68,6 +74,7 @@ QUERIES = {
     "op7_risk_quality": op7_risk_quality,
     "op8_toxic_ssk": op8_toxic_ssk,
     "op9_qgram_decontam": op9_qgram_decontam,
+    "op10_chain_dedup": op10_chain_dedup,
 }
 
 ORACLE = {
