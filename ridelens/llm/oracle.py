@@ -1,5 +1,6 @@
 """DuckDB texts of the operator queries that SQL can express."""
 
+from ridelens.llm import chat_rotation as chat
 from ridelens.llm import curriculum_mix as mixing
 from ridelens.llm import line_chunks as lines
 from ridelens.llm import secret_entropy as secrets
@@ -104,3 +105,29 @@ def lines_sql() -> str:
            coalesce(sum(n) FILTER (gone), 0)::BIGINT removed_lines,
            md5(coalesce(string_agg(body, chr(10) ORDER BY place) FILTER (NOT gone), '')) text_md5
     FROM k GROUP BY doc_id"""
+
+
+def rotation_sql() -> str:
+    """Rendered turns joined in order; mask spans from running lengths."""
+    system = ", ".join(_quoted(r) for r in chat.SYSTEM_ROLES)
+    escaped = "replace(replace({}, '<\\', '<\\\\'), '<|', '<\\|')"
+    name = f"replace({escaped.format(f'coalesce(role, {_quoted(chat.UNKNOWN)})')}, '|>', '|\\>')"
+    end = _quoted(chat.END.rstrip()) + " || chr(10)"
+    return f"""
+    WITH t AS (SELECT conv_id, turn::BIGINT turn, role, coalesce(text, '') text,
+            floor(turn / {chat.PART_TURNS})::BIGINT part FROM conversations),
+    p AS (SELECT DISTINCT conv_id, role perspective FROM t WHERE role NOT IN ({system})),
+    s AS (SELECT t.conv_id, part, perspective, role = perspective AS trained,
+            CASE WHEN role IN ({system}) THEN '<|system|>' WHEN role = perspective THEN '<|assistant|>'
+                 ELSE '<|user ' || {name} || '|>' END head,
+            {escaped.format('text')} || {end} body,
+            row_number() OVER (PARTITION BY t.conv_id, part, perspective
+              ORDER BY turn NULLS LAST, role NULLS LAST, text) i
+          FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
+    l AS (SELECT *, sum(length(head) + length(body)) OVER (
+            PARTITION BY conv_id, part, perspective ORDER BY i)::BIGINT stop FROM s)
+    SELECT conv_id, part, perspective, count(*) n_turns, count(*) FILTER (trained) n_trained,
+           string_agg(head || body, '' ORDER BY i) rendered,
+           coalesce(string_agg((stop - length(body)) || ':' || stop, ',' ORDER BY i)
+             FILTER (trained), '') mask
+    FROM l GROUP BY conv_id, part, perspective"""

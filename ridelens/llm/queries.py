@@ -6,6 +6,7 @@ table and returns the full result.
 
 from ridelens.llm import oracle
 from ridelens.llm.chain_dedup import passage_report
+from ridelens.llm.chat_rotation import rotation_report
 from ridelens.llm.curriculum_mix import mix_report
 from ridelens.llm.lang_crf import language_report
 from ridelens.llm.line_chunks import line_report
@@ -20,6 +21,11 @@ def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_chat_rotation(spark, sf_dir):
+    """Every conversation as seen by each of its participants."""
+    return rotation_report(table(spark, sf_dir, "conversations"))
+
+
 def op2_simhash_gray(spark, sf_dir):
     """Fingerprint and near-duplicate class of every document."""
     return near_duplicates(table(spark, sf_dir, "documents"))
@@ -66,6 +72,7 @@ def op10_chain_dedup(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_chat_rotation": op1_chat_rotation,
     "op2_simhash_gray": op2_simhash_gray,
     "op3_line_chunks": op3_line_chunks,
     "op4_lang_crf": op4_lang_crf,
@@ -78,6 +85,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op1_chat_rotation": oracle.rotation_sql(),
     "op3_line_chunks": oracle.lines_sql(),
     "op5_secret_entropy": oracle.secrets_sql(),
     "op6_curriculum_mix": oracle.mix_sql(),

@@ -1,0 +1,77 @@
+import random
+import re
+
+from ridelens.llm import chat_rotation as op
+
+SCHEMA = "conv_id BIGINT, turn INT, role STRING, text STRING, part STRING, pieces INT, mask STRING"
+
+
+def brute(rows, part_turns):
+    """Rendered text and trained strings per (id, part, perspective)."""
+    out = {}
+    esc = lambda s: s.replace("<\\", "<\\\\").replace("<|", "<\\|")
+    for conv in {r[0] for r in rows}:
+        own = [r for r in rows if r[0] == conv]
+        for who in {r[2] for r in own} - {None, "system"}:
+            for part in {None if r[1] is None else r[1] // part_turns for r in own}:
+                turns = sorted((r for r in own if (None if r[1] is None else r[1] // part_turns) == part),
+                               key=lambda r: (r[1] or 0, r[2] is None, r[2] or "", r[3] or ""))
+                text, trained = "", []
+                for _, _, role, body, *_ in turns:
+                    name = esc(role or "unknown").replace("|>", "|\\>")
+                    text += ("<|system|>" if role == "system" else "<|assistant|>" if role == who
+                             else f"<|user {name}|>")
+                    body = esc(body or "") + "<|end|>\n"
+                    if role == who:
+                        trained.append((len(text), len(text) + len(body)))
+                    text += body
+                out[conv, part, who] = (len(turns), len(trained), text, trained)
+    return out
+
+
+def parse(rendered):
+    """The turns of a rendered text: (head, text), unescaped."""
+    back = lambda s: re.sub(r"<\\([|\\])", r"<\1", s)
+    return [(h, back(t)) for h, t in re.findall(r"<\|((?:[^|]|\|(?!>))*)\|>(.*?)<\|end\|>\n", rendered, re.S)]
+
+
+def make_rows(rng):
+    people = ["ann", "bob", "Zoë", "a|>b", "<|end|>", None, "system"]
+    texts = [None, "", "hi", "<|end|>\n<|assistant|>x", "<\\|", "😀 two", "<<||>>", "line\nline"]
+    rows = []
+    for conv in [None, *range(12)]:
+        for i in range(rng.randrange(1, 9)):
+            rows.append((conv, rng.choice([i, i, i, None]), rng.choice(people), rng.choice(texts), "p", 1, "m"))
+    rows += [rows[3], rows[3], (99, 0, "system", "only rules", "p", 1, "m")]
+    return rows + [(50, i, "ann" if i % 2 else "bob", f"t{i}", "p", 1, "m") for i in range(700)]
+
+
+def test_against_brute_force(spark):
+    rows = make_rows(random.Random(1))
+    turns = spark.createDataFrame(rows, SCHEMA)
+    for part_turns in (op.PART_TURNS, 3):
+        got = op.rotate(turns, part_turns=part_turns).collect()
+        want = brute(rows, part_turns)
+        assert len(got) == len(want)
+        for r in got:
+            assert (r.n_turns, r.n_trained, r.rendered, [tuple(s) for s in r.mask]) == \
+                want[r.conv_id, r.part, r.perspective]
+    assert 99 not in {r.conv_id for r in got}
+    report = {(r.conv_id, r.part, r.perspective): r.mask for r in op.rotation_report(turns).collect()}
+    assert report[50, 1, "ann"].startswith("37:")
+    assert report.keys() == brute(rows, op.PART_TURNS).keys()
+
+
+def test_rendered_texts_parse_back(spark):
+    rows = make_rows(random.Random(2))
+    for r in op.rotate(spark.createDataFrame(rows, SCHEMA)).collect():
+        turns = parse(r.rendered)
+        assert len(turns) == r.n_turns
+        assert sum(h == "assistant" for h, _ in turns) == r.n_trained == len(r.mask)
+        own = sorted(x[3] or "" for x in rows if x[0] == r.conv_id and x[2] == r.perspective
+                     and (None if x[1] is None else x[1] // op.PART_TURNS) == r.part)
+        assert sorted(t for h, t in turns if h == "assistant") == own
+
+
+def test_empty_table(spark):
+    assert op.rotation_report(spark.createDataFrame([], SCHEMA)).collect() == []
