@@ -100,12 +100,15 @@ def repeats(docs: DataFrame, chunk_hash=F.xxhash64) -> DataFrame:
                        F.aggregate("gone.n_lines", F.lit(0), lambda a, n: a + n).alias("lines"))
 
 
-def remove_repeats(docs: DataFrame, chunk_hash=F.xxhash64) -> DataFrame:
+COUNTS = ("removed_chunks", "removed_lines")
+
+
+def remove_repeats(docs: DataFrame, chunk_hash=F.xxhash64, counts: tuple = COUNTS) -> DataFrame:
     """``docs`` with the repeated chunks cut out of ``text``, and the numbers of removed
-    chunks and lines in the columns ``removed_chunks`` and ``removed_lines``."""
+    chunks and lines in the columns ``counts`` (replacing any of that name), if given."""
     gone = repeats(docs, chunk_hash).select(
         F.col("doc_id").alias("gone_id"), F.col("by_text").alias("gone_text"), "places", "lines")
-    names = [c for c in docs.columns if c.lower() not in ("removed_chunks", "removed_lines")]
+    names = [c for c in docs.columns if c.lower() not in counts]
     rows = docs.select(F.struct(*names).alias("row"))
     both = rows.join(gone, F.col("row.doc_id").eqNullSafe(F.col("gone_id"))
                      & (F.xxhash64(text_of("row.text")) == F.col("gone_text")), "left")
@@ -114,10 +117,12 @@ def remove_repeats(docs: DataFrame, chunk_hash=F.xxhash64) -> DataFrame:
         F.array_except(F.sequence(F.lit(0), F.size(p) - 1), F.col("places")),
         lambda k: F.element_at(p, k + 1)["body"]), "\n"))
     text = F.when(F.col("places").isNull(), F.col("row.text")).otherwise(kept)
-    return both.select(
-        *[(text if c.lower() == "text" else F.col("row")[c]).alias(c) for c in names],
-        F.coalesce(F.size("places"), F.lit(0)).cast("long").alias("removed_chunks"),
-        F.coalesce("lines", F.lit(0)).cast("long").alias("removed_lines"))
+    numbers = [F.coalesce(F.size("places"), F.lit(0)).cast("long"), F.coalesce("lines", F.lit(0)).cast("long")]
+    result = F.struct(*[(text if c.lower() == "text" else F.col("row")[c]).alias(c) for c in names],
+                      *[number.alias(name) for number, name in zip(numbers, counts)])
+    # Through a generator, so that what is built on the text (a Python UDF, say) takes it
+    # as a column and not as the whole expression.
+    return both.select(F.inline(F.array(result)))
 
 
 def line_report(docs: DataFrame) -> DataFrame:
