@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import argparse
 
+from ridelens.operators.sampling import REFERENCE_SAMPLE_SIZE, review_sample
 from ridelens.plans.registry import BUILDERS
 from ridelens.session import get_session
 from ridelens.sources import csv as csv_io
@@ -25,9 +26,16 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("--out", required=True, help="output folder")
     parser.add_argument("--format", choices=["parquet", "csv"], default="parquet")
     parser.add_argument("--mode", default="errorifexists")
+    parser.add_argument("--n", type=int, default=REFERENCE_SAMPLE_SIZE,
+                        help="reviews to draw (review_sample only)")
+    parser.add_argument("--seed", default="42", help="seed of the draw (review_sample only)")
     args = parser.parse_args(argv)
     spark = get_session()
-    df = BUILDERS[args.query](load_parquet_tables(spark, args.tables))
+    tables = load_parquet_tables(spark, args.tables)
+    if args.query == "review_sample":
+        df = review_sample(tables["reviews"], tables["ride_requests"], n=args.n, seed=args.seed)
+    else:
+        df = BUILDERS[args.query](tables)
     if args.format == "csv":
         csv_io.write_csv(df, args.out, mode=args.mode)
     else:

@@ -12,11 +12,6 @@ def ratio(numerator: Column, denominator: Column) -> Column:
     return numerator.cast("double") / F.nullif(denominator, F.lit(0)).cast("double")
 
 
-def mean_of(total: Column, count: Column) -> Column:
-    """Mean from an exact integer total and a count, as one IEEE division."""
-    return ratio(total, count)
-
-
 def _exact_div(a: Column, b: Column) -> Column:
     """``a div b`` for non-negative BIGINTs below 2**53: ``a - a % b`` is an
     exact multiple of ``b``, so the double quotient is an exact integer."""

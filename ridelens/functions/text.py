@@ -54,19 +54,18 @@ def sql_name(name: str) -> str:
 
 def contains_any_sql(folded: str, phrases: Sequence[str]) -> str:
     """SQL boolean: the case-folded text column (see :func:`fold_case`)
-    contains one of the phrases, ignoring case. ASCII phrases use a plain
-    substring search; others fall back to a ``(?iu)`` regex on the same text."""
+    contains one of the phrases, ignoring case; no phrases, no match. ASCII
+    phrases use a plain substring search; others fall back to a ``(?iu)`` regex
+    on the same text."""
     col = sql_name(folded)
     tests = [f"contains({col}, {sql_string(p.lower())})" for p in phrases if _is_ascii(p)]
     other = [p for p in phrases if not _is_ascii(p)]
     if other:
         tests.append(f"{col} RLIKE {sql_string('(?iu)' + alternation(other))}")
-    return "(" + " OR ".join(tests) + ")"
+    return "(" + " OR ".join(tests or ["false"]) + ")"
 
 
-def contains_any(folded: str, phrases: Sequence[str]) -> Column:
-    """Column form of :func:`contains_any_sql`."""
-    return F.expr(contains_any_sql(folded, phrases))
+MASK_BITS = 62
 
 
 def phrase_mask(folded: str, groups: Sequence[Sequence[str]]) -> Column:
@@ -74,8 +73,8 @@ def phrase_mask(folded: str, groups: Sequence[Sequence[str]]) -> Column:
     ``groups[i]`` (ignoring case); a NULL text gives 0. One column holds every
     flag, so the substring searches run once per row however many flags are
     read from it. Built as one SQL expression (one call into the JVM)."""
-    if len(groups) > 62:
-        raise ValueError("at most 62 phrase groups per mask")
+    if len(groups) > MASK_BITS:
+        raise ValueError(f"at most {MASK_BITS} phrase groups per mask")
     terms = [f"CASE WHEN {contains_any_sql(folded, phrases)} THEN {1 << i}L ELSE 0L END"
              for i, phrases in enumerate(groups)]
     return F.expr(" + ".join(terms) if terms else "0L")
@@ -86,10 +85,6 @@ def mask_bit_sql(mask: str, i: int) -> str:
     return f"CAST(shiftright({sql_name(mask)}, {i}) & 1L AS INT)"
 
 
-def mask_bit(mask: str, i: int) -> Column:
-    return F.expr(mask_bit_sql(mask, i))
-
-
 def any_phrase(text: str | Column, phrases: Sequence[str]) -> Column:
     """1 if the text contains any phrase as a substring, ignoring case with
     Unicode folding; 0 otherwise, including for a NULL text. For one-off use;
@@ -100,8 +95,8 @@ def any_phrase(text: str | Column, phrases: Sequence[str]) -> Column:
     other = [p for p in phrases if not _is_ascii(p)]
     if other:
         tests.append(folded.rlike("(?iu)" + alternation(other)))
-    cond = tests[0]
-    for t in tests[1:]:
+    cond = F.lit(False)
+    for t in tests:
         cond = cond | t
     return F.coalesce(cond, F.lit(False)).cast("int")
 

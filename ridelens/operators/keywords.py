@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ridelens.functions.text import (fold_case, mask_bit_sql, phrase_mask,
+from ridelens.functions.text import (MASK_BITS, fold_case, mask_bit_sql, phrase_mask,
                                      phrase_occurrences_sql, sql_name, sql_string)
 
 # The default keyword dictionary (aspect -> sentiment -> phrases),
@@ -54,17 +54,22 @@ DEFAULT_DICTIONARY: dict[str, dict[str, list[str]]] = {
         "negative": ["stranded", "late", "incorrect", "wrong", "last minute"],
     },
 }
-# Sentiments in label priority order; aspect order of the flag and label columns.
+Dictionary = Mapping[str, Mapping[str, Sequence[str]]]
+
+# Every aspect and sentiment comes from the dictionary in use: label columns in its
+# order, flag columns by aspect name, labels by the sentiments' order in the aspect.
 SENTIMENTS = ["positive", "satisfactory", "negative"]
-FLAG_ASPECTS = ["app", "driver", "price", "ride", "wait_time"]
-LABEL_ASPECTS = ["app", "driver", "ride", "price", "wait_time"]
+LABEL_ASPECTS = list(DEFAULT_DICTIONARY)
+FLAG_ASPECTS = sorted(DEFAULT_DICTIONARY)
 
-Dictionary = Mapping[str, Mapping[str, Sequence[str]]]
+
+def flag_entries(dictionary: Dictionary = DEFAULT_DICTIONARY) -> list[tuple[str, str]]:
+    """``(aspect, sentiment)`` of every flag column, in column order."""
+    return [(a, s) for a in sorted(dictionary) for s in dictionary[a]]
 
 
-def flag_columns(aspects: Sequence[str] = FLAG_ASPECTS,
-                 sentiments: Sequence[str] = SENTIMENTS) -> list[str]:
-    return [f"{a}_{s}" for a in aspects for s in sentiments]
+def flag_columns(dictionary: Dictionary = DEFAULT_DICTIONARY) -> list[str]:
+    return [f"{a}_{s}" for a, s in flag_entries(dictionary)]
 
 
 def dictionary_rows(dictionary: Dictionary = DEFAULT_DICTIONARY) -> list[tuple[str, str, int, str]]:
@@ -74,48 +79,46 @@ def dictionary_rows(dictionary: Dictionary = DEFAULT_DICTIONARY) -> list[tuple[s
 
 
 def keyword_flags(df: DataFrame, text_col: str = "review",
-                  dictionary: Dictionary = DEFAULT_DICTIONARY,
-                  aspects: Sequence[str] = FLAG_ASPECTS,
-                  sentiments: Sequence[str] = SENTIMENTS) -> DataFrame:
+                  dictionary: Dictionary = DEFAULT_DICTIONARY) -> DataFrame:
     """One 0/1 column ``<aspect>_<sentiment>`` per dictionary entry: does
-    the text contain any of its phrases (substring, any case)? NULL text -> 0.
+    the text contain any of its phrases (substring, any case)? NULL text -> 0,
+    an entry without phrases -> 0.
 
-    The text is case-folded once per row, all entries are searched into one
-    bit mask, and the flags are bits of it: three projections that Catalyst
-    keeps apart because the folded text and the mask are read many times.
+    The text is case-folded once per row, all entries are searched into bit
+    masks (one per 62 entries), and the flags are bits of them: three
+    projections that Catalyst keeps apart because the folded text and the masks
+    are read many times.
     """
-    entries = [(a, s) for a in aspects for s in sentiments]
-    if len(entries) > 62:
-        raise ValueError("at most 62 aspect x sentiment entries")
+    entries = flag_entries(dictionary)
     keep = [sql_name(c) for c in df.columns]
     folded = df.select("*", fold_case(F.col(text_col)).alias("_folded"))
-    masked = folded.select(*[F.col(c) for c in df.columns],
-                           phrase_mask("_folded", [dictionary[a][s] for a, s in entries])
-                           .alias("_mask"))
-    return masked.selectExpr(*keep, *[f"{mask_bit_sql('_mask', i)} AS {sql_name(f'{a}_{s}')}"
-                                      for i, (a, s) in enumerate(entries)])
+    masks = [phrase_mask("_folded", [dictionary[a][s] for a, s in entries[i:i + MASK_BITS]])
+             .alias(f"_mask{i // MASK_BITS}") for i in range(0, len(entries), MASK_BITS)]
+    masked = folded.select(*[F.col(c) for c in df.columns], *masks)
+    return masked.selectExpr(*keep, *[
+        f"{mask_bit_sql(f'_mask{i // MASK_BITS}', i % MASK_BITS)} AS {sql_name(f'{a}_{s}')}"
+        for i, (a, s) in enumerate(entries)])
 
 
-def aspect_labels(df: DataFrame, aspects: Sequence[str] = LABEL_ASPECTS,
-                  sentiments: Sequence[str] = SENTIMENTS) -> DataFrame:
+def aspect_labels(df: DataFrame, dictionary: Dictionary = DEFAULT_DICTIONARY) -> DataFrame:
     """C7 (first half): per aspect the first sentiment flagged in priority
     order (else ``''``) and ``<aspect>_val`` = 1 if labelled."""
     labels = []
-    for a in aspects:
+    for a in dictionary:
         whens = " ".join(f"WHEN {sql_name(f'{a}_{s}')} = 1 THEN {sql_string(s)}"
-                         for s in sentiments)
-        labels.append(f"CASE {whens} ELSE '' END AS {sql_name(a)}")
+                         for s in dictionary[a])
+        labels.append((f"CASE {whens} ELSE '' END" if whens else "''") + f" AS {sql_name(a)}")
     out = df.selectExpr("*", *labels)
-    vals = [e for a in aspects
+    vals = [e for a in dictionary
             for e in (sql_name(a), f"CAST({sql_name(a)} <> '' AS BIGINT) AS {sql_name(a + '_val')}")]
     return out.selectExpr(*[sql_name(c) for c in df.columns], *vals)
 
 
 def classify_reviews(df: DataFrame, text_col: str = "review",
                      dictionary: Dictionary = DEFAULT_DICTIONARY) -> DataFrame:
-    """Flags -> labels, then the 15 flag columns dropped."""
+    """Flags -> labels, then the flag columns dropped."""
     flagged = keyword_flags(df, text_col, dictionary)
-    return aspect_labels(flagged).drop(*flag_columns())
+    return aspect_labels(flagged, dictionary).drop(*flag_columns(dictionary))
 
 
 def _unpivot_sql(rows: Sequence[Sequence[tuple[str, str]]]) -> str:
@@ -127,7 +130,8 @@ def _unpivot_sql(rows: Sequence[Sequence[tuple[str, str]]]) -> str:
 
 def flag_value_counts(flagged: DataFrame, flags: Sequence[str] | None = None) -> DataFrame:
     """``flag, value, n`` - frequency of each 0/1 value per flag column,
-    values with no rows omitted. One pass of sums, then a 2*15-row unpivot."""
+    values with no rows omitted. One pass of sums, then an unpivot of two rows a
+    flag. ``flags`` are by default those of the default dictionary."""
     flags = list(flags or flag_columns())
     sums = flagged.selectExpr("count(1) AS _rows",
                               *[f"coalesce(sum({sql_name(c)}), 0L) AS _s{i}"
@@ -191,7 +195,8 @@ def top_keywords(counts: DataFrame, k: int = 5) -> DataFrame:
 def sentiment_rollup(classified: DataFrame, time_cols: Sequence[str] = ("year", "month", "hour"),
                      aspects: Sequence[str] = LABEL_ASPECTS) -> DataFrame:
     """Rows with a NULL key dropped, grouped by calendar parts and the
-    five labels, with the five ``_val`` sums; ordered by the keys."""
+    aspects' labels, with their ``_val`` sums; ordered by the keys. ``aspects``
+    are those of the dictionary the labels were made with."""
     keys = [*time_cols, *aspects]
     # One IS NOT NULL per key, not dropna(): Catalyst folds the test to true
     # for the never-NULL labels instead of re-evaluating them below the

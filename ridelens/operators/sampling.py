@@ -1,8 +1,10 @@
 """Reproducible random sample of reviews (ORDER BY random() LIMIT n).
 
-The random order is a hash order - md5 of a seed and the review's ride and
-user - so a recomputed partition after executor loss yields the same rows,
-and DuckDB can reproduce the sample exactly.
+The random order is a hash order - md5 of a seed and all of the review's
+columns, so that the reviews of one ride or user are drawn one by one - and a
+recomputed partition after executor loss yields the same rows, and DuckDB can
+reproduce the sample exactly. Equal reviews share a key; a table with a review
+id can name it as ``key_cols`` instead.
 
 At scale a plain ``orderBy(key).limit(n)`` over reviews joined to rides would
 shuffle the whole rides table and make every task send its own top n to one
@@ -12,15 +14,15 @@ final task (tasks x n rows). Instead:
    md5 order is prefix order, so when at least n reviews lie below it the n
    smallest keys are all among them (checked by counting; otherwise the
    whole table is used, so the result is always exact);
-2. only the rides of those candidates are joined: the candidate ride ids,
-   whose count was just measured, are broadcast into a semi join on the rides
-   scan when there are at most ``BROADCAST_ROWS`` of them;
+2. only the rides of those candidates are joined (a semi join on the candidate
+   ride ids, which AQE broadcasts if they measure small);
 3. the exact top n is taken over the joined candidates.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +32,7 @@ from ridelens.functions.time import time_parts
 REFERENCE_SAMPLE_SIZE = 49999
 SAMPLE_COLUMNS = ["user_id", "year", "month", "hour", "rating", "review"]
 TIE_BREAK = ["year", "month", "hour", "rating", "review"]
-BROADCAST_ROWS = 2_000_000          # 8-byte ids: at most ~16 MB broadcast
+KEY_COLUMNS = ["ride_id", "user_id", "rating", "review"]
 _PREFIX_HEX = 12
 
 
@@ -62,26 +64,27 @@ def top_n_by_key(df: DataFrame, n: int, key: str, tie_break: list[str]) -> DataF
     return df.orderBy(*order).limit(n)
 
 
-def reviews_for_sample(reviews: DataFrame, rides: DataFrame, seed: str | int) -> DataFrame:
+def reviews_for_sample(reviews: DataFrame, rides: DataFrame, seed: str | int,
+                       key_cols: Sequence[str] = KEY_COLUMNS) -> DataFrame:
     """reviews LEFT JOIN rides with request calendar parts and the sample key."""
     r = rides.select("ride_id", "request_ts")
     return reviews.join(r, "ride_id", "left").select(
         "user_id", *time_parts("request_ts"), "rating", "review",
-        sample_key(seed, "ride_id", "user_id").alias("_key"))
+        sample_key(seed, *key_cols).alias("_key"))
 
 
 def review_sample(reviews: DataFrame, rides: DataFrame, n: int = REFERENCE_SAMPLE_SIZE,
-                  seed: str | int = 42) -> DataFrame:
+                  seed: str | int = 42, key_cols: Sequence[str] = KEY_COLUMNS) -> DataFrame:
     """``user_id, year, month, hour, rating, review`` for min(n, N) reviews of
-    reviews LEFT JOIN rides, in hash order."""
+    reviews LEFT JOIN rides, in hash order of ``key_cols``."""
     keyed = reviews.select("ride_id", "user_id", "rating", "review",
-                           sample_key(seed, "ride_id", "user_id").alias("_key"))
+                           sample_key(seed, *key_cols).alias("_key"))
     # Every review gives at least one joined row with its own key, so n
     # candidate reviews hold the n smallest keys of the joined rows too.
     candidates, size = hash_candidates(keyed, n, "_key")
     r = rides.select("ride_id", "request_ts")
-    if size is not None and size <= BROADCAST_ROWS:
-        r = r.join(F.broadcast(candidates.select("ride_id")), "ride_id", "left_semi")
+    if size is not None:
+        r = r.join(candidates.select("ride_id"), "ride_id", "left_semi")
     joined = candidates.join(r, "ride_id", "left").select(
         "user_id", *time_parts("request_ts"), "rating", "review", "_key")
     return top_n_by_key(joined, n, "_key", TIE_BREAK).select(*SAMPLE_COLUMNS)

@@ -254,7 +254,7 @@ def _ride_stage(step: int, name: str, df: DataFrame, *measures: Column,
     'Not specified' and a NULL age stay separate groups that print alike."""
     out = df.groupBy(*keys).agg(
         F.countDistinct("ride_id").cast("bigint").alias("ride_count"), *measures)
-    out = out.withColumn("age_range", F.coalesce(F.col("age_range"), F.lit(NOT_SPECIFIED)))
+    out = _coalesced_age(out)
     return align(out.select(*_tag(step, name), "*"), extract_schema(RIDE_EXTRACT_SCHEMA, keys))
 
 

@@ -32,8 +32,9 @@ def get_session(master: str | None = None, app_name: str = "ridelens",
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     # Runtime-settable SQL options also apply to an already running session.
+    # (static ones, like the warehouse folder, hold from the session's start only).
     for key, value in {**SESSION_DEFAULTS, **(conf or {})}.items():
-        if key.startswith("spark.sql."):
+        if key.startswith("spark.sql.") and spark.conf.isModifiable(key):
             spark.conf.set(key, value)
     return spark
 
@@ -51,7 +52,7 @@ def scratch_dir(spark: SparkSession) -> str:
     current = sc.getCheckpointDir()
     if current:
         return current
-    if not sc.master.startswith("local"):
+    if sc.master != "local" and not sc.master.startswith("local["):
         raise RuntimeError(
             "spark.checkpoint.dir is not set; point it at a shared folder "
             "(HDFS/S3/ABFS) so intermediate files survive executor loss")

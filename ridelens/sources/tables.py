@@ -56,21 +56,3 @@ def table_row_counts(tables: dict[str, DataFrame]) -> DataFrame:
                .select(F.lit(name).alias("table_name"), "row_count")
              for name, df in tables.items()]
     return reduce(DataFrame.unionAll, parts)
-
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash-distribute a scan that yields fewer partitions than the cluster
-    has cores (one large row group, a handful of files) so CPU-heavy per-row
-    work that follows runs on every core. A no-op for a normally split large
-    input, where the scan already has at least that many partitions; the
-    check plans the scan without reading it."""
-    spark = df.sparkSession
-    try:
-        cores = spark.sparkContext.defaultParallelism
-        partitions = df.rdd.getNumPartitions()
-    except Exception:   # no RDD view of the plan (e.g. Spark Connect): leave as is
-        return df
-    if partitions >= cores:
-        return df
-    target = int(spark.conf.get("spark.sql.shuffle.partitions", str(cores)))
-    return df.repartition(max(cores, target), *keys)

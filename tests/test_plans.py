@@ -6,8 +6,8 @@ import re
 
 import pytest
 
-import __spark_entry__ as entry
 from ridelens.operators import funnel, segments
+from ridelens.plans.registry import QUERIES
 from ridelens.session import new_scratch_path
 from ridelens.sources.tables import load_parquet_tables
 from tests.conftest import SF_SMALL, canon
@@ -24,20 +24,41 @@ def optimized(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
-@pytest.mark.parametrize("key", sorted(entry.queries()))
+@pytest.mark.parametrize("key", sorted(QUERIES))
 def test_no_python_or_cartesian(spark, key):
-    plan = executed(entry.queries()[key](spark, SF_SMALL))
+    plan = executed(QUERIES[key](spark, SF_SMALL))
     for node in FORBIDDEN:
         assert node not in plan, (key, node)
 
 
+@pytest.mark.parametrize("key", sorted(QUERIES))
+def test_no_forced_repartition_or_broadcast(spark, key):
+    query = QUERIES[key](spark, SF_SMALL)
+    assert "REPARTITION" not in executed(query), key
+    assert "strategy=broadcast" not in optimized(query), key
+
+
+def test_distinct_counts_do_not_expand_the_rides(spark):
+    plan = executed(QUERIES["count_distinct_global"](spark, SF_SMALL))
+    assert "Expand" not in plan
+
+
+def test_review_text_and_counts_stay_out_of_joins(spark):
+    """Ride ids are unique here, so counting needs no join of the reviews to the rides
+    (one join makes the reviews themselves), and a profile joins no text."""
+    for key in ("keyword_counts", "top_keywords", "flag_value_counts"):
+        assert optimized(QUERIES[key](spark, SF_SMALL)).count("Join ") == 1, key
+    plan = optimized(QUERIES["profile_reviews"](spark, SF_SMALL))
+    assert "substring(concat(" in plan.replace("Substring", "substring")
+
+
 def test_filtered_left_join_becomes_inner(spark):
-    plan = optimized(entry.queries()["rides_paid"](spark, SF_SMALL))
+    plan = optimized(QUERIES["rides_paid"](spark, SF_SMALL))
     assert "Join Inner" in plan
 
 
 def test_scans_read_only_needed_columns(spark):
-    plan = executed(entry.queries()["filter_approved"](spark, SF_SMALL))
+    plan = executed(QUERIES["filter_approved"](spark, SF_SMALL))
     schemas = re.findall(r"ReadSchema: (struct<[^>]*>)", plan)
     assert schemas == ["struct<l_orderkey:bigint,l_linenumber:int,l_extendedprice:double,"
                        "l_returnflag:string>"]
@@ -45,7 +66,7 @@ def test_scans_read_only_needed_columns(spark):
 
 def test_text_search_runs_once_per_row(spark):
     for key in ["classified_reviews", "sentiment_rollup", "flag_value_counts"]:
-        plan = optimized(entry.queries()[key](spark, SF_SMALL))
+        plan = optimized(QUERIES[key](spark, SF_SMALL))
         assert plan.count("Contains(") == 84, key
 
 
@@ -83,6 +104,10 @@ def test_command_line_runs_on_parquet_tables(spark, parquet_tables):
     out = new_scratch_path(spark, "cli-out")
     main(["user_funnel", "--tables", root, "--out", out])
     assert spark.read.parquet(out).count() == 7
+    for extra, rows in (([], spark.read.parquet(f"{root}/reviews").count()), (["--n", "9", "--seed", "x"], 9)):
+        out = new_scratch_path(spark, "cli-sample")
+        main(["review_sample", "--tables", root, "--out", out, *extra])
+        assert spark.read.parquet(out).count() == rows
 
 
 def test_hot_user_is_split_or_pre_aggregated(spark):

@@ -76,3 +76,9 @@ def test_parquet_loader_and_profiles(spark):
     prof = {r.column: (r.dtype, r.non_null, r.total) for r in profile(t["customer"]).collect()}
     assert prof["c_custkey"] == ("bigint", 150, 150)
     assert set(prof) == set(t["customer"].columns)
+
+
+def test_session_takes_static_settings(spark):
+    from ridelens.session import get_session
+    again = get_session(conf={"spark.sql.warehouse.dir": "/tmp/elsewhere", "spark.sql.shuffle.partitions": "8"})
+    assert again.conf.get("spark.sql.shuffle.partitions") == "8"

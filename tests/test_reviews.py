@@ -123,7 +123,7 @@ def test_sample_matches_brute_force(spark, small_world):
     for n in (1, 2, 3, 10):
         got = sampling.review_sample(t["reviews"], t["ride_requests"], n=n, seed=7).collect()
         revs = t["reviews"].collect()
-        key = lambda r: hashlib.md5(f"7|{r.ride_id}|{r.user_id}".encode()).hexdigest()  # noqa
+        key = lambda r: hashlib.md5(f"7|{r.ride_id}|{r.user_id}|{r.rating}|{r.review}".encode()).hexdigest()  # noqa
         want = sorted(revs, key=lambda r: (key(r), r.rating, r.review))[:n]
         assert [(r.user_id, r.rating, r.review) for r in got] == \
                [(r.user_id, r.rating, r.review) for r in want]
@@ -182,3 +182,73 @@ def test_reads_a_pandas_written_csv(spark):
     got = csv_io.read_csv(spark, folder, CLASSIFIED_SCHEMA,
                           empty_as_blank=keywords.LABEL_ASPECTS).orderBy("user_id").collect()
     assert [r.asDict() for r in got] == rows
+
+
+BLANKS = ["  lead and trail  ", "\ttab\t", " ", "\n", "\r\n", "a\r\nb ", "\u0000", "\\", '"', "'", ",", ""]
+
+
+def test_csv_roundtrip_keeps_blanks_and_control_characters(spark):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*BLANKS, None])], "id INT, review STRING")
+    path = csv_io.write_csv(df, new_scratch_path(spark, "blanks"))
+    back = csv_io.read_csv(spark, path, df.schema).collect()
+    assert {r.id: r.review for r in back} == dict(enumerate([*BLANKS, None]))
+
+
+def own_dictionaries():
+    many = {f"aspect {i:02d}": {"yes": [f"word{i} "], "no": [f"never{i} "]} for i in range(50)}
+    return {
+        "sixth aspect": {**DEFAULT_DICTIONARY, "food": {"positive": ["tasty"], "negative": ["stale"]}},
+        "one aspect": {"food": {"positive": ["tasty"]}},
+        "other sentiments": {"food": {"bad": ["stale"], "good": ["tasty"]}, "app": {"meh": ["slow"]}},
+        "100 entries": many,
+        "no phrases": {"food": {"positive": [], "negative": ["stale"]}, "void": {}},
+    }
+
+
+@pytest.mark.parametrize("name", sorted(own_dictionaries()))
+def test_any_dictionary(spark, name):
+    """Flags, labels, frequencies and rollup follow the dictionary that is given."""
+    dictionary = own_dictionaries()[name]
+    said = ["tasty", "stale", "TASTY but stale", "slow app, easy", "nothing", None, "word3 never49 word49 "]
+    df = spark.createDataFrame([(2022, t) for t in said], "year INT, review STRING")
+    holds = lambda t, phrases: any(p.lower() in (t or "").lower() for p in phrases)
+    flagged = keywords.keyword_flags(df, dictionary=dictionary)
+    assert flagged.columns == ["year", "review", *keywords.flag_columns(dictionary)]
+    rows = flagged.collect()
+    for r in rows:
+        for a, s in keywords.flag_entries(dictionary):
+            assert r[f"{a}_{s}"] == holds(r.review, dictionary[a][s]), (r.review, a, s)
+    labelled = keywords.classify_reviews(df, dictionary=dictionary)
+    assert labelled.columns == ["year", "review", *(c for a in dictionary for c in (a, f"{a}_val"))]
+    for r in labelled.collect():
+        for a in dictionary:
+            want = next((s for s in dictionary[a] if holds(r.review, dictionary[a][s])), "")
+            assert (r[a], r[f"{a}_val"]) == (want, int(want != ""))
+    counts = {(r.flag, r.value): r.n for r in
+              keywords.flag_value_counts(flagged, keywords.flag_columns(dictionary)).collect()}
+    for c in keywords.flag_columns(dictionary):
+        ones = sum(r[c] for r in rows)
+        assert (counts.get((c, 1), 0), counts.get((c, 0), 0)) == (ones, len(said) - ones)
+    rollup = keywords.sentiment_rollup(labelled, ["year"], list(dictionary))
+    for a in dictionary:
+        assert sum(r[f"{a}_val"] for r in rollup.collect()) == sum(r[f"{a}_val"] for r in labelled.collect())
+
+
+def test_no_phrases_match_nothing(spark):
+    from ridelens.functions.text import any_phrase, contains_any_sql
+    df = spark.createDataFrame([("x",), (None,)], "t STRING")
+    assert [r.f for r in df.select(any_phrase("t", []).alias("f")).collect()] == [0, 0]
+    assert [r.f for r in df.selectExpr(f"{contains_any_sql('t', [])} AS f").collect()] == [False, False]
+
+
+def test_sample_is_drawn_per_review(spark):
+    """A ride and user with a third of the reviews gets near a third of the sample."""
+    rides = spark.createDataFrame([], "ride_id BIGINT, request_ts TIMESTAMP_NTZ")
+    i = F.col("id")
+    reviews = spark.range(1500).select(
+        F.when(i < 500, F.lit(7)).otherwise(i).alias("ride_id"),
+        F.when(i < 500, F.lit(7)).otherwise(i % 97).alias("user_id"),
+        (i % 5).cast("int").alias("rating"), F.concat(F.lit("review "), i.cast("string")).alias("review"))
+    shares = [sampling.review_sample(reviews, rides, n=100, seed=s).where(
+        "cast(substring(review, 8) AS INT) < 500").count() for s in range(20)]
+    assert 28 < sum(shares) / len(shares) < 39 and max(shares) < 60 and min(shares) > 12

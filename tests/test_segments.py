@@ -4,6 +4,7 @@ fields (traps T6-T11, T19)."""
 import datetime as dt
 from decimal import Decimal
 
+import pytest
 from pyspark.sql import functions as F
 
 from ridelens.functions.time import minute_field
@@ -175,3 +176,26 @@ def test_segment_subsets_against_duckdb(spark):
         WHERE r.accept_ts IS NOT NULL
         GROUP BY s.age_range, extract(hour FROM r.request_ts)""").fetchall()
     assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+
+
+@pytest.mark.parametrize("keys", [["platform"], ["hour"], ["year", "platform"]])
+@pytest.mark.parametrize("stage", segments.RIDE_STAGES)
+def test_ride_stages_for_any_segments(spark, small_world, stage, keys):
+    """Each single ride stage over a subset of the segments equals DuckDB on the same tables."""
+    import duckdb
+    con = duckdb.connect()
+    for name, df in small_world.items():
+        con.register(name, df.toArrow())
+    paid = stage in (segments.rx_paid, segments.rx_reviewed)
+    sql = {"platform": "a.platform", "hour": "extract(hour FROM r.request_ts)", "year": "extract(year FROM r.request_ts)"}
+    where = {segments.rx_requested: "true", segments.rx_accepted: "r.accept_ts IS NOT NULL"}.get(
+        stage, "r.accept_ts IS NOT NULL AND r.dropoff_ts IS NOT NULL")
+    ordered = [k for k in segments.SEGMENT_KEYS if k in keys]
+    want = con.sql(f"""
+        SELECT {', '.join(sql[k] for k in ordered)}, count(DISTINCT r.ride_id)
+        FROM ride_requests r LEFT JOIN signups s ON r.user_id = s.user_id
+        LEFT JOIN app_downloads a ON s.session_id = a.app_download_key
+        {"JOIN transactions t ON r.ride_id = t.ride_id AND t.charge_status = 'Approved'" if paid else ''}
+        WHERE {where} GROUP BY {', '.join(sql[k] for k in ordered)}""").fetchall()
+    got = stage(small_world, keys).select(*ordered, "ride_count").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr) and want

@@ -1,6 +1,8 @@
 """Streaming classification equals the batch operator and resumes from its
 checkpoint without reprocessing."""
 
+import pytest
+
 from ridelens.operators.keywords import classify_reviews
 from ridelens.plans.registry import _reviews_with_time
 from ridelens.session import new_scratch_path
@@ -20,5 +22,12 @@ def test_stream_matches_batch_and_resumes(spark):
     second.write.parquet(src, mode="append")
     q = classify_review_files(spark, src, reviews.schema, sink, checkpoint=ckpt)
     q.awaitTermination(300)
+    # a start without new files adds nothing
+    classify_review_files(spark, src, reviews.schema, sink, checkpoint=ckpt).awaitTermination(300)
     got = spark.read.parquet(sink)
     assert canon(got.collect()) == canon(classify_reviews(reviews).collect())
+
+
+def test_checkpoint_must_be_named(spark):
+    with pytest.raises(TypeError):
+        classify_review_files(spark, "src", "review STRING", "sink")
