@@ -54,6 +54,14 @@ def transaction_multiplicity(transactions: DataFrame) -> DataFrame:
         .groupBy("ride_id").agg(F.count(F.lit(1)).alias("n_tx"))
 
 
+def transactions_per_ride(transactions: DataFrame) -> DataFrame:
+    """``tx_ride_id, n_tx, n_approved``: all and approved transactions per ride, from
+    one pass (NULL ride ids are a group of their own)."""
+    return transactions.groupBy(F.col("ride_id").alias("tx_ride_id")).agg(
+        F.count(F.lit(1)).alias("n_tx"),
+        F.count_if(F.col("charge_status") == APPROVED).alias("n_approved"))
+
+
 def approved_per_ride(transactions: DataFrame) -> DataFrame:
     """``ride_id, n_tx, amount``: approved transactions and their summed amount
     per ride (NULL ride ids kept as their own group)."""

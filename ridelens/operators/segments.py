@@ -24,7 +24,7 @@ from ridelens.functions.numeric import ratio, round_mean_half_up
 from ridelens.functions.text import sql_name, sql_string
 from ridelens.functions.time import minute_field, time_parts
 from ridelens.operators.joins import (approved_per_ride, transaction_multiplicity,
-                                      user_segments)
+                                      transactions_per_ride, user_segments)
 from ridelens.operators.setops import align, union_all
 
 SEGMENT_KEYS = ["platform", "age_range", "year", "month", "hour"]
@@ -199,34 +199,33 @@ def _stacked(grouped: DataFrame, stages: list[tuple[int, str, str, dict[str, Col
 
 def ux_ride_stages(t: Mapping[str, DataFrame],
                    keys: Sequence[str] = SEGMENT_KEYS) -> DataFrame:
-    """Stages 3-5 (requested, accepted, completed) from one pass over rides.
-
-    The rides join the per-ride transaction multiplicity, are summed per user
-    and then per (segment, user) (:func:`per_user_segments`), keeping
-    per-stage row counts; a second aggregate per segment turns them into each
-    stage's
-    ``count(DISTINCT user_id)`` and ``count(user_id)``. Equal to stacking
-    :func:`ux_requested`, :func:`ux_accepted` and :func:`ux_completed`.
+    """Stages 3-6 (requested, accepted, completed, payment) from one pass over
+    the rides and one over the transactions.
+
+    Rides and per-ride transaction counts meet in a full outer join (stages 3-5
+    keep rides without transactions, stage 6 transactions without a ride), are
+    summed per user and then per (segment, user) (:func:`per_user_segments`),
+    keeping per-stage row counts; a second aggregate per segment turns them into
+    each stage's ``count(DISTINCT user_id)`` and ``count(user_id)``. Equal to
+    stacking :func:`ux_requested`, :func:`ux_accepted`, :func:`ux_completed` and
+    :func:`ux_payment`.
     """
-    mult = transaction_multiplicity(t["transactions"])
-    rides = t["ride_requests"].select("ride_id", "user_id", "accept_ts", "cancel_ts") \
-        .join(mult, "ride_id", "left")
-    w5 = F.when(F.col("cancel_ts").isNull(), F.coalesce(F.col("n_tx"), F.lit(1))).otherwise(0)
-    per_user = per_user_segments(rides, t, {"r3": F.count(F.lit(1)),
-                                             "r4": F.count("accept_ts"),
-                                             "r5": F.sum(w5)}, keys)
-    known = F.col("user_id").isNotNull()
-    aggs = []
-    for k in ("3", "4", "5"):
-        r = F.col("r" + k)
-        aggs += [F.sum(r).alias("n" + k),
-                 F.sum(F.when(known & (r > 0), 1).otherwise(0)).cast("bigint").alias("u" + k),
-                 F.sum(F.when(known, r).otherwise(0)).cast("bigint").alias("c" + k)]
+    tx = transactions_per_ride(t["transactions"])
+    rides = t["ride_requests"].selectExpr("ride_id", "user_id", "accept_ts", "cancel_ts", "1 AS is_ride")
+    both = rides.join(tx, rides["ride_id"] == tx["tx_ride_id"], "full")
+    per_user = per_user_segments(both, t, {
+        "r3": F.expr("count(is_ride)"), "r4": F.expr("count(accept_ts)"),
+        "r5": F.expr("sum(CASE WHEN is_ride = 1 AND cancel_ts IS NULL"
+                     " THEN coalesce(n_tx, 1L) ELSE 0L END)"),
+        "r6": F.expr("sum(coalesce(n_approved, 0L))")}, keys)
+    names = {"3": "ride_requested", "4": "ride_accepted", "5": "ride_completed", "6": "payment"}
+    aggs = [F.expr(e) for k in names for e in (
+        f"sum(r{k}) AS n{k}",
+        f"CAST(sum(CASE WHEN user_id IS NOT NULL AND r{k} > 0 THEN 1 ELSE 0 END) AS BIGINT) AS u{k}",
+        f"CAST(sum(CASE WHEN user_id IS NOT NULL THEN r{k} ELSE 0 END) AS BIGINT) AS c{k}")]
     grouped = per_user.groupBy(*keys).agg(*aggs)
     stages = [(int(k), name, "n" + k, {"user_count": F.col("u" + k),
-                                        "ride_count": F.col("c" + k)})
-              for k, name in (("3", "ride_requested"), ("4", "ride_accepted"),
-                              ("5", "ride_completed"))]
+                                        "ride_count": F.col("c" + k)}) for k, name in names.items()]
     return _stacked(grouped, stages, USER_EXTRACT_SCHEMA, keys)
 
 
@@ -234,10 +233,10 @@ def user_extract(t: Mapping[str, DataFrame],
                  keys: Sequence[str] = SEGMENT_KEYS) -> DataFrame:
     """All seven stages stacked, ordered by stage. Stage number and group keys
     are all in the output, so rows are unique and UNION equals UNION ALL.
-    Stages 3-5 share one pass over the rides (:func:`ux_ride_stages`)."""
+    Stages 3-6 share one pass over rides and transactions (:func:`ux_ride_stages`)."""
     check_keys(keys)
     parts = [ux_downloads(t, keys), ux_signups(t, keys), ux_ride_stages(t, keys),
-             ux_payment(t, keys), ux_review(t, keys)]
+             ux_review(t, keys)]
     return union_all(parts).orderBy("funnel_step")
 
 

@@ -119,7 +119,7 @@ def test_fused_stages_equal_separate_stages(small_world):
     t = small_world
     fused = segments.ux_ride_stages(t)
     separate = segments.ux_requested(t).union(segments.ux_accepted(t)) \
-        .union(segments.ux_completed(t))
+        .union(segments.ux_completed(t)).union(segments.ux_payment(t))
     assert canon(fused.collect()) == canon(separate.collect())
     fused = segments.rx_ride_stages(t).union(segments.rx_paid_stages(t))
     separate = segments.rx_requested(t)
