@@ -30,3 +30,15 @@ def round_mean_half_up(total: Column, count: Column, digits: int = 2) -> Column:
     whole = _exact_div(F.abs(total).cast("bigint") * (2 * scale) + c, c * 2)
     signed = F.signum(total).cast("bigint") * whole   # integer product: never -0.0
     return signed.cast("double") / F.lit(float(scale))
+
+
+def ratio_sql(numerator: str, denominator: str) -> str:
+    """:func:`ratio` of two columns as SQL text."""
+    return f"CAST({numerator} AS DOUBLE) / CAST(nullif({denominator}, 0) AS DOUBLE)"
+
+
+def round_mean_sql(total: str, count: str, digits: int = 2) -> str:
+    """:func:`round_mean_half_up` of two BIGINT columns as SQL text."""
+    scale = 10 ** digits
+    whole = f"(abs({total}) * {2 * scale} + {count}) div (2 * nullif({count}, 0))"
+    return f"CAST(CAST(signum({total}) AS BIGINT) * ({whole}) AS DOUBLE) / {scale}D"

@@ -14,6 +14,16 @@ def time_parts(ts: str | Column, prefix: str = "") -> list[Column]:
             F.hour(ts).cast("bigint").alias(prefix + "hour")]
 
 
+def time_parts_sql(ts: str) -> list[str]:
+    """:func:`time_parts` of a column as SQL texts (one call into the JVM for all)."""
+    return [f"CAST({part}({ts}) AS BIGINT) AS {part}" for part in ("year", "month", "hour")]
+
+
+def minute_field_sql(later: str, earlier: str) -> str:
+    """:func:`minute_field` of two columns as SQL text."""
+    return f"CAST(extract(MINUTE FROM ({later} - {earlier})) AS BIGINT)"
+
+
 def minute_field(later: str | Column, earlier: str | Column) -> Column:
     """``extract(minute FROM later - earlier)``: the signed 0-59 minute *field*
     of the day-time interval, not the elapsed minutes (75 min -> 15,

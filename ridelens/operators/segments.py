@@ -20,9 +20,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ridelens.functions.numeric import ratio, round_mean_half_up
+from ridelens.functions.numeric import ratio, ratio_sql, round_mean_half_up, round_mean_sql
 from ridelens.functions.text import sql_name, sql_string
-from ridelens.functions.time import minute_field, time_parts
+from ridelens.functions.time import minute_field, minute_field_sql, time_parts_sql
 from ridelens.operators.joins import (approved_per_ride, transaction_multiplicity,
                                       transactions_per_ride, user_segments)
 from ridelens.operators.setops import align, union_all
@@ -65,7 +65,7 @@ def _tag(step: int, name: str) -> list[Column]:
 
 def _segmented(df: DataFrame, ts: str) -> DataFrame:
     """Add the calendar parts of ``ts`` next to the other columns."""
-    return df.select("*", *time_parts(ts))
+    return df.selectExpr("*", *time_parts_sql(ts))
 
 
 # ---------------------------------------------------------------- user grain
@@ -174,24 +174,24 @@ USER_STAGES = [ux_downloads, ux_signups, ux_requested, ux_accepted, ux_completed
                ux_payment, ux_review]
 
 
-def _stacked(grouped: DataFrame, stages: list[tuple[int, str, str, dict[str, Column]]],
+def _stacked(grouped: DataFrame, stages: list[tuple[int, str, str, dict[str, str]]],
              schema: str, keys: Sequence[str] = SEGMENT_KEYS) -> DataFrame:
     """One output row per (segment, stage) for the stages the segment has rows
-    in: ``stages`` holds (number, name, row-count column, output columns by
-    name); every stage row carries the full schema, absent columns NULL."""
+    in: ``stages`` holds (number, name, row-count column, output columns as SQL
+    by name); every stage row carries the full schema, absent columns NULL."""
     fields = [f for f in StructType.fromDDL(schema).fields if f.name not in SEGMENT_KEYS]
     values, structs = [], []
     for i, (step, name, present, cols) in enumerate(stages):
         given = {"funnel_step": str(step), "funnel_name": sql_string(name)}
         for field, col in cols.items():
-            values.append(col.alias(f"_v{i}_{field}"))
+            values.append(f"{col} AS {sql_name(f'_v{i}_{field}')}")
             given[field] = sql_name(f"_v{i}_{field}")
         parts = [f"'_present', {sql_name(present)}"] + [
             f"{sql_string(f.name)}, CAST({given.get(f.name, 'NULL')} AS "
             f"{f.dataType.simpleString()})" for f in fields]
         structs.append("named_struct(" + ", ".join(parts) + ")")
     presents = list(dict.fromkeys(present for _, _, present, _ in stages))
-    pre = grouped.select(*keys, *presents, *values)
+    pre = grouped.selectExpr(*map(sql_name, [*keys, *presents]), *values)
     rows = pre.selectExpr(*[sql_name(k) for k in keys],
                           "inline(array(" + ", ".join(structs) + "))")
     return align(rows.where(F.col("_present") > 0), extract_schema(schema, keys))
@@ -224,8 +224,8 @@ def ux_ride_stages(t: Mapping[str, DataFrame],
         f"CAST(sum(CASE WHEN user_id IS NOT NULL AND r{k} > 0 THEN 1 ELSE 0 END) AS BIGINT) AS u{k}",
         f"CAST(sum(CASE WHEN user_id IS NOT NULL THEN r{k} ELSE 0 END) AS BIGINT) AS c{k}")]
     grouped = per_user.groupBy(*keys).agg(*aggs)
-    stages = [(int(k), name, "n" + k, {"user_count": F.col("u" + k),
-                                        "ride_count": F.col("c" + k)}) for k, name in names.items()]
+    stages = [(int(k), name, "n" + k, {"user_count": "u" + k, "ride_count": "c" + k})
+              for k, name in names.items()]
     return _stacked(grouped, stages, USER_EXTRACT_SCHEMA, keys)
 
 
@@ -341,45 +341,39 @@ def rx_ride_stages(t: Mapping[str, DataFrame],
     :func:`rx_requested`, :func:`rx_accepted` and :func:`rx_completed`.
     """
     df = _enriched_rides(t["ride_requests"], t)
-    done = F.col("accept_ts").isNotNull() & F.col("dropoff_ts").isNotNull()
+    done = "accept_ts IS NOT NULL AND dropoff_ts IS NOT NULL"
     fields = {  # name -> minute field restricted to the rows of its stage
-        "rc": minute_field("cancel_ts", "request_ts"),
-        "ra": minute_field("accept_ts", "request_ts"),      # NULL unless accepted
-        "ap": minute_field("pickup_ts", "accept_ts"),       # NULL unless accepted
-        "ac": minute_field("cancel_ts", "accept_ts"),       # NULL unless accepted
-        "rp": F.when(done, minute_field("pickup_ts", "request_ts")),
-        "du": F.when(done, minute_field("dropoff_ts", "pickup_ts")),
+        "rc": minute_field_sql("cancel_ts", "request_ts"),
+        "ra": minute_field_sql("accept_ts", "request_ts"),      # NULL unless accepted
+        "ap": minute_field_sql("pickup_ts", "accept_ts"),       # NULL unless accepted
+        "ac": minute_field_sql("cancel_ts", "accept_ts"),       # NULL unless accepted
+        "rp": f"CASE WHEN {done} THEN {minute_field_sql('pickup_ts', 'request_ts')} END",
+        "du": f"CASE WHEN {done} THEN {minute_field_sql('dropoff_ts', 'pickup_ts')} END",
     }
-    per_ride = df.groupBy(*keys, "ride_id").agg(
-        F.count(F.lit(1)).alias("r3"),
-        F.count("accept_ts").alias("r4"),
-        F.sum(F.when(done, 1).otherwise(0)).alias("r5"),
-        F.sum(F.when(F.col("cancel_ts").isNotNull(), 1).otherwise(0)).alias("cancelled"),
-        F.count("request_ts").alias("requested"),
-        *[a for name, m in fields.items()
-          for a in (F.sum(m).alias(name + "_s"), F.count(m).alias(name + "_n"))])
-    known = F.col("ride_id").isNotNull()
+    per_ride = df.groupBy(*keys, "ride_id").agg(*map(F.expr, [
+        "count(1) AS r3", "count(accept_ts) AS r4", f"count_if({done}) AS r5",
+        "count(cancel_ts) AS cancelled", "count(request_ts) AS requested",
+        *[f"{a}({m}) AS {name}_{'s' if a == 'sum' else 'n'}" for name, m in fields.items()
+          for a in ("sum", "count")]]))
     sums = ["cancelled", "requested"] + [n + sfx for n in fields for sfx in ("_s", "_n")]
-    grouped = per_ride.groupBy(*keys).agg(
-        *[F.sum("r" + k).alias("n" + k) for k in "345"],
-        *[F.sum(F.when(known & (F.col("r" + k) > 0), 1).otherwise(0)).cast("bigint")
-          .alias("u" + k) for k in "345"],
-        *[F.sum(c).alias(c) for c in sums])
-    c = F.col
+    grouped = per_ride.groupBy(*keys).agg(*map(F.expr, [
+        *[f"sum(r{k}) AS n{k}" for k in "345"],
+        *[f"count_if(ride_id IS NOT NULL AND r{k} > 0) AS u{k}" for k in "345"],
+        *[f"sum({c}) AS {c}" for c in sums]]))
     stages = [
         (3, "ride_requested", "n3", {
-            "ride_count": c("u3"),
-            "avg_time_ride_requested_cancelled": round_mean_half_up(c("rc_s"), c("rc_n")),
-            "proportion_of_cancellations": ratio(c("cancelled"), c("requested"))}),
+            "ride_count": "u3",
+            "avg_time_ride_requested_cancelled": round_mean_sql("rc_s", "rc_n"),
+            "proportion_of_cancellations": ratio_sql("cancelled", "requested")}),
         (4, "ride_accepted", "n4", {
-            "ride_count": c("u4"),
-            "avg_time_requested_accepted": ratio(c("ra_s"), c("ra_n")),
-            "avg_time_accepted_pickup": ratio(c("ap_s"), c("ap_n")),
-            "avg_time_accepted_cancelled": ratio(c("ac_s"), c("ac_n"))}),
+            "ride_count": "u4",
+            "avg_time_requested_accepted": ratio_sql("ra_s", "ra_n"),
+            "avg_time_accepted_pickup": ratio_sql("ap_s", "ap_n"),
+            "avg_time_accepted_cancelled": ratio_sql("ac_s", "ac_n")}),
         (5, "ride_completed", "n5", {
-            "ride_count": c("u5"),
-            "avg_time_requested_pickup": ratio(c("rp_s"), c("rp_n")),
-            "avg_ride_duration": ratio(c("du_s"), c("du_n"))}),
+            "ride_count": "u5",
+            "avg_time_requested_pickup": ratio_sql("rp_s", "rp_n"),
+            "avg_ride_duration": ratio_sql("du_s", "du_n")}),
     ]
     return _coalesced_age(_stacked(grouped, stages, RIDE_EXTRACT_SCHEMA, keys))
 
@@ -395,17 +389,13 @@ def rx_paid_stages(t: Mapping[str, DataFrame],
         F.sum("rating").alias("rating_sum"), F.count("rating").alias("rating_n"))
     rides = _completed(t["ride_requests"]).join(paid, "ride_id", "inner") \
         .join(rated, "ride_id", "left")
-    grouped = _enriched_rides(rides, t).groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.countDistinct("ride_id").cast("bigint").alias("ride_count"),
-        F.sum("amount").alias("amount"),
-        F.sum(F.col("n_tx") * F.col("rating_sum")).alias("rating_total"),
-        F.sum(F.col("n_tx") * F.col("rating_n")).alias("rating_count"))
-    c = F.col
+    grouped = _enriched_rides(rides, t).groupBy(*keys).agg(*map(F.expr, [
+        "count(1) AS n", "count(DISTINCT ride_id) AS ride_count", "sum(amount) AS amount",
+        "sum(n_tx * rating_sum) AS rating_total", "sum(n_tx * rating_n) AS rating_count"]))
     stages = [
-        (6, "payment", "n", {"ride_count": c("ride_count"), "sum_purchase_amount": c("amount")}),
-        (7, "ride reviewed", "n", {"ride_count": c("ride_count"),
-                                   "avg_rating": ratio(c("rating_total"), c("rating_count"))}),
+        (6, "payment", "n", {"ride_count": "ride_count", "sum_purchase_amount": "amount"}),
+        (7, "ride reviewed", "n", {"ride_count": "ride_count",
+                                   "avg_rating": ratio_sql("rating_total", "rating_count")}),
     ]
     return _coalesced_age(_stacked(grouped, stages, RIDE_EXTRACT_SCHEMA, keys))
 
