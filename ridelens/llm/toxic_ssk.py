@@ -20,8 +20,10 @@ insult makes a sentence toxic but not all of a toxic document's sentences have
 one, a squared-hinge SVM is trained on the strongest sentence of each toxic
 document, and the strings that next to no clean document holds, against the
 strongest sentences of the clean ones and random strings; the choice is repeated
-with the model found. A logistic curve on the documents' strongest scores gives
-the probability.
+with the model found, and a toxic document without a sentence stronger than most
+clean documents have says nothing. A logistic curve gives the probability; it is
+fitted to strongest scores of documents that took no part in the training, each
+half of the sample scored by a model of the other half.
 
 **Scoring.** The decision is linear in the landmarks' subsequence weights, so it
 collapses into one weight per subsequence. A text is scored in one pass of array
@@ -59,6 +61,8 @@ ROUNDS = 4
 ALIKE = 0.8                         # landmarks more alike than this add nothing
 CERTAIN = 3.5                       # standard deviations that make a string's tie certain
 MORE = 8                            # times as many toxic texts must hold it
+CAUTION = 1.5                       # standard errors taken off a subsequence's tie
+CLEAR = 0.80                        # share of clean texts a witness must be stronger than
 HARDEST = 4                         # strongest strings of a clean text to train against
 COST = 100.0
 THRESHOLD = 0.3
@@ -203,7 +207,8 @@ class Model:
     offset: float
 
     def score(self, text: str | None) -> float:
-        return float(1 / (1 + np.exp(-(self.slope * strongest(text or "", self.weights) + self.offset))))
+        margin = self.slope * strongest(text or "", self.weights) + self.offset
+        return float(1 / (1 + np.exp(-margin))) if margin > -700 else 0.0
 
 
 class Sample:
@@ -267,7 +272,8 @@ def _ties(sample: Sample, held: list[np.ndarray], n: list[int]) -> np.ndarray:
         for k in (0, 1):
             both[k] += np.bincount(key, held[k][string[at]], SEQUENCES)
     ratio = np.log((both[1] + .5) / (n[1] + 1)) - np.log((both[0] + .5) / (n[0] + 1))
-    return np.maximum(0, ratio) * (both[1] > 1)
+    error = np.sqrt(1 / (both[1] + .5) + 1 / (both[0] + .5))
+    return np.maximum(0, ratio - CAUTION * error) * (both[1] > 1)
 
 
 def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray) -> np.ndarray:
@@ -310,12 +316,36 @@ def _logistic(s: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def fit(texts: list[str], toxic: list[int], seed: int = 8) -> Model:
-    """Train on whole labelled texts."""
-    rng = np.random.default_rng(seed)
+    """Train on whole labelled texts.
+
+    The logistic curve is fitted to scores of texts that took no part in the training:
+    each half of the sample is scored by a model of the other half.
+    """
     y = np.array(toxic, np.int64)
-    sample = Sample(texts)
-    if len(set(toxic)) < 2 or not sample.strings:
+    rng = np.random.default_rng(seed)
+    half = np.zeros(len(y), np.int64)
+    for k in (0, 1):
+        of_kind = np.flatnonzero(y == k)
+        half[rng.permutation(of_kind)[:len(of_kind) // 2]] = 1
+    if min((y == 0).sum(), (y == 1).sum()) < 2:
         return Model(np.zeros(SEQUENCES, np.float32), 0.0, -800.0)
+    best = np.zeros(len(y))
+    for k in (0, 1):
+        rest = np.flatnonzero(half != k)
+        weights, bias = learn([texts[i] for i in rest], y[rest], seed)
+        for i in np.flatnonzero(half == k):
+            best[i] = strongest(texts[i], weights) + bias
+    slope, offset = _logistic(best, y.astype(float))
+    weights, bias = learn(texts, y, seed)
+    return Model(weights, max(0.0, slope), offset + max(0.0, slope) * bias)
+
+
+def learn(texts: list[str], y: np.ndarray, seed: int) -> tuple[np.ndarray, float]:
+    """Weight per subsequence and offset of the support vector machine."""
+    rng = np.random.default_rng(seed)
+    sample = Sample(texts)
+    if not sample.strings:
+        return np.zeros(SEQUENCES, np.float32), 0.0
     n = [int((y == k).sum()) for k in (0, 1)]
     held = [sample.held_by(y == k) for k in (0, 1)]
     weights = _ties(sample, held, n)
@@ -365,22 +395,26 @@ def fit(texts: list[str], toxic: list[int], seed: int = 8) -> Model:
                 features[i] = base[:, at[at >= 0]] @ weight[at >= 0] @ whiten
         return np.array([features[i] for i in chosen])
 
+    bias = 0.0
     for _ in range(ROUNDS):
         text, rank, which = sample.strongest(strength)
-        witness = which[(rank == 0) & (y[text] == 1)]
+        top = strength[which]
+        # a toxic text without a sentence stronger than most clean texts' says nothing
+        clear = top > np.quantile(top[(rank == 0) & (y[text] == 0)], CLEAR) if (y[text] == 0).any() else top > 0
+        witness = which[(rank == 0) & (y[text] == 1) & clear]
         hard = which[(rank < HARDEST) & (y[text] == 0)]
         loose = rng.choice(clean, min(len(clean), len(hard)), replace=False)
         against = np.setdiff1d(np.concatenate([hard, loose]), sure)
         kinds = np.union1d(np.setdiff1d(witness, against), sure)
+        if not len(kinds):
+            return np.zeros(SEQUENCES, np.float32), 0.0
         chosen = np.concatenate([kinds, against])
         labels = np.concatenate([np.ones(len(kinds)), -np.ones(len(against))])
         solved = _svm(nystroem(chosen.tolist()), labels, np.full(len(labels), COST))
-        weights = np.zeros(SEQUENCES)
+        weights, bias = np.zeros(SEQUENCES), float(solved[-1])
         weights[known] = base.T @ (whiten @ solved[:-1])
         strength = sample.strengths(weights)
-    best = np.zeros(len(texts))
-    np.maximum.at(best, sample.text, strength[sample.which])
-    return Model(weights.astype(np.float32), *_logistic(best, y.astype(float)))
+    return weights.astype(np.float32), bias
 
 
 def train(docs: DataFrame, labels: DataFrame, learnable: Column | None = None,
