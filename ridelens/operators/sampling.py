@@ -10,10 +10,10 @@ At scale a plain ``orderBy(key).limit(n)`` over reviews joined to rides would
 shuffle the whole rides table and make every task send its own top n to one
 final task (tasks x n rows). Instead:
 
-1. a hash-prefix threshold is chosen that keeps about n + 8 sqrt(n) reviews;
-   md5 order is prefix order, so when at least n reviews lie below it the n
-   smallest keys are all among them (checked by counting; otherwise the
-   whole table is used, so the result is always exact);
+1. one pass counts the reviews per key prefix (four hex digits); the least
+   prefixes that hold n reviews or more are kept - md5 order is prefix order,
+   so the n smallest keys are all among them, with about a 65,536th of the
+   table to spare;
 2. only the rides of those candidates are joined (a semi join on the candidate
    ride ids, which AQE broadcasts if they measure small);
 3. the exact top n is taken over the joined candidates.
@@ -21,7 +21,6 @@ final task (tasks x n rows). Instead:
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -33,7 +32,7 @@ REFERENCE_SAMPLE_SIZE = 49999
 SAMPLE_COLUMNS = ["user_id", "year", "month", "hour", "rating", "review"]
 TIE_BREAK = ["year", "month", "hour", "rating", "review"]
 KEY_COLUMNS = ["ride_id", "user_id", "rating", "review"]
-_PREFIX_HEX = 12
+_PREFIX_HEX = 4                     # at most 65,536 counts to the driver
 
 
 def sample_key(seed: str | int, *cols: str) -> Column:
@@ -43,19 +42,16 @@ def sample_key(seed: str | int, *cols: str) -> Column:
 
 
 def hash_candidates(df: DataFrame, n: int, key: str) -> tuple[DataFrame, int | None]:
-    """Rows of ``df`` whose key prefix lies below a threshold that keeps at
-    least n rows (verified), or ``df`` itself when no smaller set is proven.
-    Returns the frame and its counted size (None when not filtered)."""
-    total = df.count()
-    if total <= n:
-        return df, None
-    keep = min(1.0, (n + 8.0 * math.sqrt(n) + 64.0) / total)
-    if keep >= 1.0:
-        return df, None
-    bound = format(int(keep * 16 ** _PREFIX_HEX), f"0{_PREFIX_HEX}x")
-    candidates = df.where(F.substring(F.col(key), 1, _PREFIX_HEX) < F.lit(bound))
-    size = candidates.count()
-    return (candidates, size) if size >= n else (df, None)
+    """Rows of ``df`` whose key prefix is among the least that hold n rows or more, from
+    one count per prefix, or ``df`` itself when it has no more than n rows. Returns the
+    frame and its size (None when not filtered)."""
+    prefix = F.substring(F.col(key), 1, _PREFIX_HEX)
+    seen, counts = 0, df.groupBy(prefix.alias("p")).count().collect()
+    for p, size in sorted((r["p"], r["count"]) for r in counts):
+        seen += size
+        if seen >= n:
+            return df.where(prefix <= F.lit(p)), seen
+    return df, None
 
 
 def top_n_by_key(df: DataFrame, n: int, key: str, tie_break: list[str]) -> DataFrame:
