@@ -52,6 +52,7 @@ from ridelens.llm.common import free_name, id_bucket
 ORDER = 4
 DECAY = 0.6
 SPAN = 6
+SHORT = 6
 UNIT = 14
 STEP = 7
 TOXIC_TEXTS, CLEAN_TEXTS = 600, 1500
@@ -136,7 +137,9 @@ def units(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def scale(sizes: np.ndarray) -> np.ndarray:
-    """Square root of the squared weights a string of each length can hold."""
+    """Square root of the squared weights a string of each length can hold; strings shorter
+    than ``SHORT`` count as that long, lest one shared subsequence decide."""
+    sizes = np.maximum(sizes, SHORT)
     total = np.zeros(len(sizes))
     for *_, last in PATTERNS:
         total += np.maximum(0, sizes - last) * DECAY ** (2 * (last + 1))

@@ -18,7 +18,7 @@ def brute_scaled(word):
         if spread <= op.SPAN:
             key = "".join(word[i] for i in at)
             found[key] = found.get(key, 0) + op.DECAY ** spread
-    norm = sum(op.DECAY ** (2 * (at[-1] - at[0] + 1)) for at in combinations(range(len(word)), op.ORDER)
+    norm = sum(op.DECAY ** (2 * (at[-1] - at[0] + 1)) for at in combinations(range(max(len(word), op.SHORT)), op.ORDER)
                if at[-1] - at[0] < op.SPAN) ** .5
     return {k: v / norm for k, v in found.items()}
 
