@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 
 
 def profile(df: DataFrame) -> DataFrame:
-    """``column, dtype, non_null, total`` - one aggregate pass, then unpivot."""
+    """``column, dtype, non_null, total`` - one aggregate pass, then unpivot.
+
+    Reads only whether a value is there: ``q_profile_reviews`` hands in the review texts
+    cut to nothing, and must pass them whole once a value is read here.
+    """
     counts = df.agg(F.count(F.lit(1)).alias("_total"),
                     *[F.count(F.col(c)).alias(f"_nn{i}") for i, c in enumerate(df.columns)])
     entries = [F.struct(F.lit(f.name).alias("column"),
