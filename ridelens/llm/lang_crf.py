@@ -30,7 +30,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridelens.llm.common import id_bucket
@@ -41,7 +41,6 @@ MAX_GRAM = 3
 MAX_WORD = 24                 # a longer word's features come from both its ends
 LEXICON_TEXTS = 3             # texts of the sample that must hold a word of the lexicon
 PER_LANGUAGE = 150
-MAX_LANGUAGES = 200
 MAX_CHARS = 20_000
 STRETCH = 20                  # mean words of a spliced stretch
 SEQUENCE = 64
@@ -297,18 +296,15 @@ def train(docs: DataFrame, learnable: Column | None = None, per_language: int =
         told = told.where(learnable)
     told = told.select("doc_id", "text", "lang", F.xxhash64(F.coalesce(
         F.col("doc_id").cast("string"), F.lit(""))).alias("turn"))
-    sizes = told.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    if not sizes:
-        return fit([], [])
-    # A hash threshold per language takes about per_language rows of each, in one pass.
-    most = F.lit(None).cast("long")
-    for row in sizes:
-        share = min(1.0, 1.5 * per_language / row["count"])
-        most = F.when(F.col("lang") == row["lang"], min(2 ** 63 - 1, int((2 * share - 1) * 2 ** 63))).otherwise(most)
-    rows = told.where(F.col("turn") <= most).orderBy("turn", "doc_id", "lang", "text") \
-        .limit(2 * per_language * len(sizes)).collect()
-    rows = sorted((r["lang"], r["turn"], r["text"]) for r in rows)
-    kept = [r for k, r in enumerate(rows) if k < per_language or rows[k - per_language][0] != r[0]]
+    # Per language the rows of the least hashes: the last of them first, without the texts.
+    # Spark bounds both windows per language before it shuffles.
+    n = F.row_number().over(Window.partitionBy("lang").orderBy("turn"))
+    last = told.select("lang", "turn", n.alias("n")).where(F.col("n") <= per_language) \
+        .groupBy("lang").agg(F.max("turn").alias("last"))
+    near = told.join(F.broadcast(last), "lang").where(F.col("turn") <= F.col("last"))
+    n = F.row_number().over(Window.partitionBy("lang").orderBy("turn", F.xxhash64("text"), "text"))
+    rows = near.select("lang", "turn", "text", n.alias("n")).where(F.col("n") <= per_language).collect()
+    kept = sorted((r["lang"], r["turn"], r["text"]) for r in rows)
     return fit([r[2] for r in kept], [r[0] for r in kept])
 
 

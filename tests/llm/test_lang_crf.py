@@ -123,3 +123,14 @@ def test_nothing_to_learn_from(spark):
     docs = spark.createDataFrame([(1, "kato", None), (None, None, "aa")], "doc_id BIGINT, text STRING, lang STRING")
     assert {(r.lang_pred, r.score) for r in op.language_report(docs).collect()} == {("und", 0.0)}
     assert op.language_report(docs.limit(0)).collect() == []
+
+
+def test_no_label_is_left_out_of_the_sample(spark, monkeypatch):
+    """More than 200 labels, and a crowd of rows without an id."""
+    rows = [(i, f"text {i}", f"l{i % 230:03d}") for i in range(460)]
+    rows += [(None, f"crowd {i}", "crowd") for i in range(3000)] + [(None, "alone", "small")]
+    docs = spark.createDataFrame([(d, t, g, "s", 1, 2) for d, t, g in rows], SCHEMA)
+    taken = {}
+    monkeypatch.setattr(op, "fit", lambda texts, langs: taken.update(zip(texts, langs)))
+    op.train(docs, per_language=2)
+    assert set(taken.values()) == {g for _, _, g in rows} and len(taken) == 230 * 2 + 2 + 1
