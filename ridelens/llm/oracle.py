@@ -3,6 +3,7 @@
 from ridelens.llm import chat_rotation as chat
 from ridelens.llm import curriculum_mix as mixing
 from ridelens.llm import line_chunks as lines
+from ridelens.llm import merkle_manifest as merkle
 from ridelens.llm import secret_entropy as secrets
 from ridelens.llm.common import WORD
 
@@ -131,3 +132,60 @@ def rotation_sql() -> str:
            coalesce(string_agg((stop - length(body)) || ':' || stop, ',' ORDER BY i)
              FILTER (trained), '') mask
     FROM l GROUP BY conv_id, part, perspective"""
+
+
+def manifest_sql() -> str:
+    """Trees level by level, each level hashed from the whole one below; siblings by windows."""
+    levels = 8             # up to 8^8 leaves a language
+    arity = merkle.ARITY
+
+    def written(field: str) -> str:
+        return (f"CASE WHEN {field} IS NULL THEN '-' ELSE octet_length(encode({field}::VARCHAR))"
+                f" || ':' || {field}::VARCHAR END")
+
+    def leaf(text: str) -> str:
+        return f"sha256({' || '.join(written(text if f == 'text' else f) for f in merkle.FIELDS)})"
+
+    # CRC-32 (reflected, polynomial 0xEDB88320) over the bytes of the decimal id
+    step = "xor(x >> 1, 3988292384 * (x & 1))"
+    crc = ("xor(list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda v: ord(v)::BIGINT), lambda c, b:"
+           f" list_reduce(range(8), lambda x, i: {step}, xor(c, b)), 4294967295::BIGINT), 4294967295)")
+
+    def tree(name: str, base: str, up: int) -> str:
+        """``name0`` to ``name{up}``: nodes (t, i, h, n), left and right siblings included."""
+        run = f"PARTITION BY t, i // {arity} ORDER BY i"
+        found = []
+        for k in range(up + 1):
+            below = base if k == 0 else (
+                f"SELECT t, i // {arity} i, CASE WHEN max(n) = 1 THEN max(h) ELSE sha256(string_agg(h, '' ORDER BY i)) END h"
+                f" FROM {name}{k - 1} GROUP BY t, i // {arity}")
+            found.append(f"""{name}{k} AS (SELECT *, coalesce(string_agg(h, '') OVER ({run}
+                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') l, coalesce(string_agg(h, '') OVER ({run}
+                ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') r, count(*) OVER (PARTITION BY t) n
+                FROM ({below}))""")
+        return ",\n    ".join(found)
+
+    top_levels = 3         # up to 8^3 languages
+    steps = [(f"x{k}", "d") for k in range(levels)] + [(f"y{k}", "s") for k in range(top_levels)]
+    joins = " ".join(
+        [f"JOIN a{k} x{k} ON x{k}.t = d.t AND x{k}.i = d.i // {arity ** k}" for k in range(levels)]
+        + [f"JOIN b0 s ON s.name = d.t JOIN a{levels} u ON u.t = d.t JOIN b{top_levels} z ON true"]
+        + [f"JOIN b{k} y{k} ON y{k}.i = s.i // {arity ** k}" for k in range(top_levels)])
+    proof = " || ".join(f"CASE WHEN {x}.n > 1 THEN {x}.l || {x}.r ELSE '' END" for x, _ in steps)
+    fold = "coalesce(d.found, d.h)"
+    folds = []
+    for k, (x, _) in enumerate(steps):
+        folds.append(f"f{k + 1} AS (SELECT * EXCLUDE (h), CASE WHEN n{k} > 1 THEN sha256(l{k} || h || r{k}) ELSE h END h FROM f{k})")
+    carried = ", ".join(f"{x}.n n{k}, {x}.l l{k}, {x}.r r{k}" for k, (x, _) in enumerate(steps))
+    lowered = f"translate(text, '{merkle._UPPER}', '{merkle._LOWER}')"
+    return f"""
+    WITH d AS (SELECT doc_id, CASE WHEN lang IS NULL THEN '' ELSE '=' || lang END t, {leaf('text')} h,
+            CASE WHEN coalesce({crc} % {merkle.TAMPER_EVERY} = 0, false) THEN {leaf(lowered)} END found FROM documents),
+    p AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY doc_id NULLS FIRST, h) - 1 i FROM d),
+    {tree('a', 'SELECT t, i, h FROM p', levels)},
+    {tree('b', f"SELECT '' t, row_number() OVER (ORDER BY t) - 1 i, h, t AS name FROM a{levels}", 0)},
+    {tree('b', '', top_levels).split(',' + chr(10) + '    ', 1)[1]},
+    f0 AS (SELECT d.doc_id, d.h leaf, u.h subroot, z.h root, sha256({proof}) proof_sha256, {carried}, {fold} h
+           FROM p d {joins}),
+    {", ".join(folds)}
+    SELECT doc_id, leaf, subroot, root, proof_sha256, h folded_root, h = root verified FROM f{len(steps)}"""

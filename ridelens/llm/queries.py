@@ -10,6 +10,7 @@ from ridelens.llm.chat_rotation import rotation_report
 from ridelens.llm.curriculum_mix import mix_report
 from ridelens.llm.lang_crf import language_report
 from ridelens.llm.line_chunks import line_report
+from ridelens.llm.merkle_manifest import manifest_report
 from ridelens.llm.qgram_decontam import leak_report
 from ridelens.llm.risk_quality import quality_report
 from ridelens.llm.secret_entropy import secret_report
@@ -71,6 +72,11 @@ def op10_chain_dedup(spark, sf_dir):
     return passage_report(table(spark, sf_dir, "documents"))
 
 
+def op12_merkle_manifest(spark, sf_dir):
+    """Leaf, proof and tamper check of every document under the dataset's Merkle root."""
+    return manifest_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_chat_rotation": op1_chat_rotation,
     "op2_simhash_gray": op2_simhash_gray,
@@ -82,6 +88,7 @@ QUERIES = {
     "op8_toxic_ssk": op8_toxic_ssk,
     "op9_qgram_decontam": op9_qgram_decontam,
     "op10_chain_dedup": op10_chain_dedup,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
 
 ORACLE = {
@@ -89,4 +96,5 @@ ORACLE = {
     "op3_line_chunks": oracle.lines_sql(),
     "op5_secret_entropy": oracle.secrets_sql(),
     "op6_curriculum_mix": oracle.mix_sql(),
+    "op12_merkle_manifest": oracle.manifest_sql(),
 }
