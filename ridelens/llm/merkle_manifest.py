@@ -26,10 +26,11 @@ other columns are not read; no documents, no rows.
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ridelens.llm.common import cut_lineage
+from ridelens.llm.placing import placed
 
 ARITY = 8
 KEPT_EVERY = 3
@@ -55,19 +56,6 @@ def leaf(*fields: Column) -> Column:
     return digest(*map(_field, fields))
 
 
-def placed(rows: DataFrame, *order: str) -> DataFrame:
-    """``rows`` with ``place`` (from 0, by ``order`` inside ``tree``) and ``size`` of the tree."""
-    rows = cut_lineage(rows).withColumn("stored", F.monotonically_increasing_id())
-    keys = ["tree", *order, "stored"]
-    rows = cut_lineage(rows.repartitionByRange(*keys).sortWithinPartitions(*keys).drop("stored"))
-    rows = rows.select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("row"))
-    runs = rows.groupBy("tree", "part").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n"))
-    whole = Window.partitionBy("tree")
-    runs = runs.select("tree", "part", (F.sum("n").over(whole.orderBy("part")) - F.col("n") - F.col("first")).alias("shift"),
-                       F.sum("n").over(whole).alias("size"))
-    return rows.join(runs, ["tree", "part"]).withColumn("place", F.col("row") + F.col("shift")).drop("part", "row", "shift")
-
-
 def _depth(size: Column) -> Column:
     """Levels above ``size`` leaves: the digits of the last leaf's place in base ``ARITY``."""
     return F.when(size > 1, F.length(F.conv((size - 1).cast("string"), 10, ARITY))).otherwise(0)
@@ -184,7 +172,7 @@ def tree_of(lang: Column) -> Column:
 def dataset_manifest(rows: DataFrame, payload: list[str]) -> tuple[Manifest, DataFrame, str | None]:
     """The trees of ``rows(tree, doc_id, digest, *payload)`` by id, (tree, depth, top, path) of
     their subroots on the way to the root, and the root (None without rows)."""
-    trees = build(placed(rows, "doc_id", "digest"), payload)
+    trees = build(placed(cut_lineage(rows), "doc_id", "digest"), payload)
     names = ["name", "below"]
     subroots = trees.tops.select(F.lit("").alias("tree"), F.col("tree").alias("name"),
                                  F.col("depth").alias("below"), "digest")

@@ -4,6 +4,7 @@ from ridelens.llm import chat_rotation as chat
 from ridelens.llm import curriculum_mix as mixing
 from ridelens.llm import line_chunks as lines
 from ridelens.llm import merkle_manifest as merkle
+from ridelens.llm import pca_tiles as tiles
 from ridelens.llm import secret_entropy as secrets
 from ridelens.llm.common import WORD
 
@@ -189,3 +190,22 @@ def manifest_sql() -> str:
            FROM p d {joins}),
     {", ".join(folds)}
     SELECT doc_id, leaf, subroot, root, proof_sha256, h folded_root, h = root verified FROM f{len(steps)}"""
+
+
+def embeddings_sql() -> str:
+    """Every pair of a label compared in double precision; components by closure."""
+    dot = "list_sum(list_transform(list_zip({0}, {1}), lambda p: p[1] * p[2]))"
+    return f"""
+    WITH RECURSIVE e AS (SELECT vec_id, label, embedding::DOUBLE[] v FROM embeddings),
+    u AS (SELECT *, len(v) width, sqrt({dot.format('v', 'v')}) size FROM e
+          WHERE label IS NOT NULL AND len(v) > 0
+            AND list_bool_and(list_transform(v, lambda x: x IS NOT NULL AND isfinite(x)))
+            AND list_bool_or(list_transform(v, lambda x: x <> 0))),
+    k AS (SELECT a.vec_id a, b.vec_id b FROM u a JOIN u b
+            ON a.label = b.label AND a.width = b.width AND a.vec_id <> b.vec_id
+          WHERE {dot.format('a.v', 'b.v')} / (a.size * b.size) >= {tiles.THRESHOLD}),
+    r(a, b) AS (SELECT a, b FROM k UNION SELECT r.a, k.b FROM r JOIN k ON r.b = k.a),
+    n AS (SELECT a, count(*) n FROM k GROUP BY a),
+    c AS (SELECT a, least(a, min(b)) c FROM r GROUP BY a)
+    SELECT vec_id, coalesce(n, 0) n_links, coalesce(c, vec_id) component_id, coalesce(c, vec_id) = vec_id kept
+    FROM e LEFT JOIN n ON n.a = vec_id LEFT JOIN c ON c.a = vec_id"""

@@ -9,8 +9,10 @@ from ridelens.llm.chain_dedup import passage_report
 from ridelens.llm.chat_rotation import rotation_report
 from ridelens.llm.curriculum_mix import mix_report
 from ridelens.llm.lang_crf import language_report
+from ridelens.llm.lanczos_whiten import whitening_report
 from ridelens.llm.line_chunks import line_report
 from ridelens.llm.merkle_manifest import manifest_report
+from ridelens.llm.pca_tiles import near_embeddings
 from ridelens.llm.qgram_decontam import leak_report
 from ridelens.llm.risk_quality import quality_report
 from ridelens.llm.secret_entropy import secret_report
@@ -72,11 +74,21 @@ def op10_chain_dedup(spark, sf_dir):
     return passage_report(table(spark, sf_dir, "documents"))
 
 
+def op11_pca_tiles(spark, sf_dir):
+    """Links and component of every embedding, by tiled comparison in PCA order."""
+    return near_embeddings(table(spark, sf_dir, "embeddings"))
+
+
 def op12_merkle_manifest(spark, sf_dir):
     """Leaf, proof and tamper check of every document under the dataset's Merkle root."""
     return manifest_report(table(spark, sf_dir, "documents"))
 
 
+def op13_lanczos_whiten(spark, sf_dir):
+    """Every embedding in the whitened principal components of the table."""
+    return whitening_report(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_chat_rotation": op1_chat_rotation,
     "op2_simhash_gray": op2_simhash_gray,
@@ -88,7 +100,9 @@ QUERIES = {
     "op8_toxic_ssk": op8_toxic_ssk,
     "op9_qgram_decontam": op9_qgram_decontam,
     "op10_chain_dedup": op10_chain_dedup,
+    "op11_pca_tiles": op11_pca_tiles,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_lanczos_whiten": op13_lanczos_whiten,
 }
 
 ORACLE = {
@@ -96,5 +110,6 @@ ORACLE = {
     "op3_line_chunks": oracle.lines_sql(),
     "op5_secret_entropy": oracle.secrets_sql(),
     "op6_curriculum_mix": oracle.mix_sql(),
+    "op11_pca_tiles": oracle.embeddings_sql(),
     "op12_merkle_manifest": oracle.manifest_sql(),
 }

@@ -18,7 +18,7 @@ from check_oracle import compare, duck  # noqa: E402
 
 
 def test_every_operator_is_registered():
-    assert sorted(int(re.match(r"op(\d+)_", k)[1]) for k in QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", k)[1]) for k in QUERIES) == list(range(1, 14))
     assert set(QUERIES) | {"pipeline"} <= set(entry.queries())
     assert set(ORACLE) <= set(QUERIES)
 
@@ -38,6 +38,8 @@ COLUMNS = {
     "op7_risk_quality": {"doc_id": "bigint", "n_words": "bigint", "word_chars": "bigint", "n_symbols": "bigint",
                          "n_dup_lines": "bigint", "n_repeat_words": "bigint", "base_failed": "boolean",
                          "kept": "boolean"},
+    "op12_merkle_manifest": {"doc_id": "bigint", "leaf": "string", "subroot": "string", "root": "string",
+                             "proof_sha256": "string", "folded_root": "string", "verified": "boolean"},
     "op8_toxic_ssk": {"doc_id": "bigint", "held_out": "boolean", "score": "double", "predicted": "int"},
 }
 
