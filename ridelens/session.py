@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every ridelens job relies on: calendar parts must not depend on the
 # machine's zone, ANSI keeps casts and arithmetic strict, AQE re-plans joins and
@@ -64,3 +64,12 @@ def scratch_dir(spark: SparkSession) -> str:
 def new_scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path under :func:`scratch_dir` for one write."""
     return os.path.join(scratch_dir(spark), f"{name}-{uuid.uuid4().hex}")
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` computed once into the shared checkpoint folder: partitions keep their rows and
+    order, the lineage ends there, and a lost executor costs no more than reading them again."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(scratch_dir(df.sparkSession))
+    return df.checkpoint(eager=True)
