@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ridelens.functions.text import (MASK_BITS, fold_case, mask_bit_sql, phrase_mask,
                                      phrase_occurrences_sql, sql_name, sql_string)
+from ridelens.functions.trie import doubles, trie_pattern
 
 # The default keyword dictionary (aspect -> sentiment -> phrases),
 # in the order the analysis defines it. Phrase order breaks ties in the top-k.
@@ -143,28 +144,51 @@ def flag_value_counts(flagged: DataFrame, flags: Sequence[str] | None = None) ->
     return sums.selectExpr(_unpivot_sql(rows)).where(F.col("n") > 0)
 
 
-def keyword_count_columns(df: DataFrame, text_col: str = "review",
-                          dictionary: Dictionary = DEFAULT_DICTIONARY) -> DataFrame:
-    """Per row: the other columns plus ``_k<i>``, the non-overlapping
-    occurrences of distinct phrase i in the lower-cased text (text dropped).
-    Per-row, so it can run before any join and the join carries counts."""
-    distinct = list(dict.fromkeys(p for *_, p in dictionary_rows(dictionary)))
+def _distinct_phrases(dictionary: Dictionary) -> list[str]:
+    return list(dict.fromkeys(p for *_, p in dictionary_rows(dictionary)))
+
+
+def keyword_matches(df: DataFrame, text_col: str = "review",
+                    dictionary: Dictionary = DEFAULT_DICTIONARY) -> DataFrame:
+    """Per row: the other columns plus ``_found``, an array of (hit, whole, n) from one pass
+    over the lower-cased text (dropped): a hit is the longest phrase at one place and stands
+    for every phrase that starts it. Where two occurrences of a phrase overlap, an entry
+    with ``whole`` false corrects that phrase's count to the non-overlapping one. Per-row,
+    so it can run before any join and the join carries hits instead of texts."""
+    phrases = _distinct_phrases(dictionary)
+    twice = {p: doubles(p) for p in phrases}
+    overlaps = [d for ds in twice.values() for d in ds]
     keep = [sql_name(c) for c in df.columns if c != text_col]
     lowered = df.select(*[F.col(c) for c in df.columns if c != text_col],
                         F.lower(F.col(text_col)).alias("_t"))
-    return lowered.selectExpr(*keep, *[f"{phrase_occurrences_sql('_t', p)} AS _k{i}"
-                                       for i, p in enumerate(distinct)])
-
-
-def keyword_totals(counted: DataFrame, dictionary: Dictionary = DEFAULT_DICTIONARY) -> DataFrame:
-    """``aspect, sentiment, pos, phrase, n`` from :func:`keyword_count_columns`
-    rows: one aggregate of the per-phrase sums, unpivoted to one row per
-    dictionary entry."""
+    kind = "array<struct<hit:string,whole:boolean,n:bigint>>"
+    if not phrases:
+        return lowered.selectExpr(*keep, f"CAST(array() AS {kind}) AS _found")
+    pattern = sql_string(trie_pattern(phrases + overlaps))
+    hits = lowered.selectExpr(*keep, "_t", f"coalesce(regexp_extract_all(_t, {pattern}, 1), array()) AS _hits")
+    found = "transform(_hits, h -> named_struct('hit', h, 'whole', true, 'n', 1L))"
+    if overlaps:
+        starts = lambda p: f"startswith(h, {sql_string(p)})"
+        fixes = ", ".join(
+            f"named_struct('hit', {sql_string(p)}, 'whole', false, 'n', {phrase_occurrences_sql('_t', p)}"
+            f" - size(filter(_hits, h -> {starts(p)})))" for p, ds in twice.items() if ds)
+        # a doubled phrase is longer than any single start of it, so it shows in the hits
+        doubled = " OR ".join(starts(d) for d in overlaps)
+        found = f"CASE WHEN exists(_hits, h -> {doubled}) THEN concat({found}, array({fixes})) ELSE {found} END"
+    return hits.selectExpr(*keep, f"CAST({found} AS {kind}) AS _found")
+
+
+def keyword_totals(matched: DataFrame, dictionary: Dictionary = DEFAULT_DICTIONARY) -> DataFrame:
+    """``aspect, sentiment, pos, phrase, n`` from :func:`keyword_matches` rows: the hits are
+    counted per distinct hit (as few as the phrases), summed per phrase and unpivoted to one
+    row per dictionary entry."""
     rows = dictionary_rows(dictionary)
-    distinct = list(dict.fromkeys(p for _, _, _, p in rows))
-    slot = {p: f"_k{i}" for i, p in enumerate(distinct)}
-    totals = counted.selectExpr(*[f"coalesce(sum(_k{i}), 0L) AS _k{i}"
-                                  for i in range(len(distinct))])
+    slot = {p: f"_k{i}" for i, p in enumerate(_distinct_phrases(dictionary))}
+    # (the outer form: for the other one Spark adds a filter that searches the text again)
+    per_hit = matched.select(F.inline_outer("_found")).groupBy("hit", "whole").agg(F.sum("n").alias("n"))
+    totals = per_hit.selectExpr(*[
+        f"coalesce(sum(CASE WHEN CASE WHEN whole THEN startswith(hit, {sql_string(p)})"
+        f" ELSE hit = {sql_string(p)} END THEN n END), 0L) AS {k}" for p, k in slot.items()] or ["0 AS _none"])
     return totals.selectExpr(_unpivot_sql([
         [("aspect", sql_string(a)), ("sentiment", sql_string(s)), ("pos", str(i)),
          ("phrase", sql_string(p)), ("n", slot[p])] for a, s, i, p in rows]))
@@ -175,12 +199,10 @@ def keyword_counts(df: DataFrame, text_col: str = "review",
     """C9 (counts): ``aspect, sentiment, pos, phrase, n`` - non-overlapping
     occurrences of each phrase in the lower-cased text, summed over all rows.
 
-    The phrase itself is not lower-cased (so 'Great service!' counts 0).
-    One aggregate with one sum per distinct phrase, lower() evaluated once per
-    row; the single result row is unpivoted to one row per dictionary entry.
+    The phrase itself is not lower-cased (so 'Great service!' counts 0). All phrases are
+    found in one pass over each text, by one pattern compiled from a trie of them.
     """
-    return keyword_totals(keyword_count_columns(df.select(text_col), text_col, dictionary),
-                          dictionary)
+    return keyword_totals(keyword_matches(df.select(text_col), text_col, dictionary), dictionary)
 
 
 def top_keywords(counts: DataFrame, k: int = 5) -> DataFrame:
