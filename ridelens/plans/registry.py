@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ridelens.functions.numeric import ratio, round_mean_half_up
 from ridelens.functions.time import minute_field, time_parts
-from ridelens.operators import funnel, joins, keywords, sampling, segments, summaries
+from ridelens.operators import bitmaps, funnel, joins, keywords, phrase_join, sampling, segments, summaries
 from ridelens.operators.setops import constant_row, union_all, union_distinct
 from ridelens.session import new_scratch_path
 from ridelens.sources import csv as csv_io
@@ -226,6 +226,29 @@ def q_coalesce_after_group(t):
                                                 F.lit(segments.NOT_SPECIFIED))).distinct()
 
 
+# Distinct counts at several subsets of the segments from one set of bitmaps.
+ROLLUP_SUBSETS = [SEGMENTS, ["platform", "age_range", "year", "month"], ["year", "month"],
+                  ["platform", "hour"], ["age_range"], []]
+REACHED = {"requested": "true", "accepted": "accept_ts IS NOT NULL", "completed": "dropoff_ts IS NOT NULL"}
+
+
+def _distinct_rollup(segmented, key):
+    maps = bitmaps.distinct_bitmaps(segmented, key, SEGMENTS, REACHED)
+    return bitmaps.distinct_rollup(maps, SEGMENTS, list(REACHED), ROLLUP_SUBSETS)
+
+
+def q_distinct_users_rollup(t):
+    # a user's rides of one (year, month, hour) are one row before the user dimension is joined
+    timed = t["ride_requests"].select("user_id", *time_parts("request_ts"), "accept_ts", "dropoff_ts")
+    per_user = timed.groupBy("user_id", "year", "month", "hour").agg(
+        F.max("accept_ts").alias("accept_ts"), F.max("dropoff_ts").alias("dropoff_ts"))
+    return _distinct_rollup(joins.enrich_rides(per_user, t["signups"], t["app_downloads"]), "user_id")
+
+
+def q_distinct_rides_rollup(t):
+    return _distinct_rollup(_request_segmented(t), "ride_id")
+
+
 def q_time_parts(t):
     a = t["app_downloads"]
     return a.select("app_download_key", *time_parts("download_ts"))
@@ -317,14 +340,24 @@ def q_flag_value_counts(t):
 
 
 def q_keyword_counts(t):
-    counted = keywords.keyword_count_columns(_reviews(t).select("ride_id", "user_id", "review"))
-    return keywords.keyword_totals(_per_joined_ride(t, counted))
+    matched = keywords.keyword_matches(_reviews(t).select("ride_id", "user_id", "review"))
+    return keywords.keyword_totals(_per_joined_ride(t, matched))
 
 
 def q_top_keywords(t):
     return keywords.top_keywords(q_keyword_counts(t))
 
 
+# A dictionary that grows with the reviews: the last three words of each.
+ENDING = r"([^ \n]+ [^ \n]+ [^ \n]+)\z"
+
+
+def q_phrase_table_counts(t):
+    reviews = t["reviews"].select("review")
+    phrases = reviews.select(F.regexp_extract(F.lower("review"), ENDING, 1).alias("phrase"))
+    return phrase_join.phrase_counts(reviews, phrases)
+
+
 def q_sentiment_rollup(t):
     labels = keywords.classify_reviews(_reviews(t)).drop("review")
     return keywords.sentiment_rollup(_timed(t, labels))
@@ -370,6 +403,8 @@ BUILDERS: dict[str, Callable[[Tables], DataFrame]] = {
     "revenue_segment": q_revenue_segment,
     "rating_segment": q_rating_segment,
     "coalesce_after_group": q_coalesce_after_group,
+    "distinct_users_rollup": q_distinct_users_rollup,
+    "distinct_rides_rollup": q_distinct_rides_rollup,
     "time_parts": q_time_parts,
     "interval_minutes": q_interval_minutes,
     "union_distinct": q_union_distinct,
@@ -399,6 +434,7 @@ BUILDERS: dict[str, Callable[[Tables], DataFrame]] = {
     "flag_value_counts": q_flag_value_counts,
     "keyword_counts": q_keyword_counts,
     "top_keywords": q_top_keywords,
+    "phrase_table_counts": q_phrase_table_counts,
     "sentiment_rollup": q_sentiment_rollup,
     "platform_summary": q_platform_summary,
     "age_value_summary": q_age_value_summary,
