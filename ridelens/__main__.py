@@ -29,9 +29,12 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("--n", type=int, default=REFERENCE_SAMPLE_SIZE,
                         help="reviews to draw (review_sample only)")
     parser.add_argument("--seed", default="42", help="seed of the draw (review_sample only)")
+    parser.add_argument("--partitions", action="append", default=[], metavar="TABLE=N",
+                        help="deal a table stored in too few row groups out to N tasks")
     args = parser.parse_args(argv)
     spark = get_session()
-    tables = load_parquet_tables(spark, args.tables)
+    partitions = {name: int(n) for name, n in (p.split("=") for p in args.partitions)}
+    tables = load_parquet_tables(spark, args.tables, partitions=partitions)
     if args.query == "review_sample":
         df = review_sample(tables["reviews"], tables["ride_requests"], n=args.n, seed=args.seed)
     else:

@@ -67,9 +67,7 @@ def q_scan_tables(t):
 
 
 def q_profile_reviews(t):
-    # only whether there is a text is counted, so only that goes through the join
-    reviews = t["reviews"].withColumn("review", F.substring("review", 1, 0))
-    return profile(joins.reviews_with_time(reviews, t["ride_requests"]))
+    return profile(_reviews_with_time(t))
 
 
 def q_csv_roundtrip(t):
@@ -309,6 +307,11 @@ def q_review_sample(t):
                                   seed=SAMPLE_SEED)
 
 
+def q_review_sample_third(t):
+    n = t["reviews"].count() // 3
+    return sampling.ranked_review_sample(t["reviews"], t["ride_requests"], n=n, seed=SAMPLE_SEED)
+
+
 def q_keyword_flags(t):
     return _timed(t, keywords.keyword_flags(_reviews(t)))
 
@@ -428,6 +431,7 @@ BUILDERS: dict[str, Callable[[Tables], DataFrame]] = {
     "rx_reviewed": segments.rx_reviewed,
     "ride_extract": segments.ride_extract,
     "review_sample": q_review_sample,
+    "review_sample_third": q_review_sample_third,
     "keyword_flags": q_keyword_flags,
     "aspect_labels": q_aspect_labels,
     "classified_reviews": q_classified_reviews,

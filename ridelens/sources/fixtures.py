@@ -14,6 +14,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 
 from ridelens.functions.text import sql_string
+from ridelens.sources.tables import dealt_out
 
 # Fixed values of the fixture binding (FIXTURES.md): platform by key % 3,
 # age group by nation % 6 (index 5 is NULL), review opening phrase by doc % 11.
@@ -123,15 +124,16 @@ class FixtureTables(Mapping):
         "reviews": (reviews, ("documents", "orders")),
     }
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self._spark, self._dir = spark, sf_dir
+    def __init__(self, spark: SparkSession, sf_dir: str, partitions: Mapping[str, int] | None = None):
+        self._spark, self._dir, self._partitions = spark, sf_dir, partitions
         self._base: dict[str, DataFrame] = {}
         self._views: dict[str, DataFrame] = {}
 
     def _scan(self, name: str) -> DataFrame:
         if name not in self._base:
-            self._base[name] = self._spark.read.schema(BASE_SCHEMAS[name]).parquet(
+            scan = self._spark.read.schema(BASE_SCHEMAS[name]).parquet(
                 os.path.join(self._dir, f"{name}.parquet"))
+            self._base[name] = dealt_out(scan, name, self._partitions)
         return self._base[name]
 
     def __getitem__(self, name: str) -> DataFrame:
@@ -147,9 +149,11 @@ class FixtureTables(Mapping):
         return len(self._VIEWS)
 
 
-def fixture_tables(spark: SparkSession, sf_dir: str) -> FixtureTables:
-    """The five funnel tables as lazy views over the driver tables in ``sf_dir``."""
-    return FixtureTables(spark, sf_dir)
+def fixture_tables(spark: SparkSession, sf_dir: str,
+                   partitions: Mapping[str, int] | None = None) -> FixtureTables:
+    """The five funnel tables as lazy views over the driver tables in ``sf_dir``;
+    ``partitions`` deals driver tables out to that many tasks each."""
+    return FixtureTables(spark, sf_dir, partitions)
 
 
 __all__ = ["fixture_tables", "app_downloads", "signups", "ride_requests",

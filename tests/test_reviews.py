@@ -11,6 +11,7 @@ from ridelens.operators import keywords, sampling
 from ridelens.operators.keywords import DEFAULT_DICTIONARY, FLAG_ASPECTS, SENTIMENTS
 from ridelens.sources import csv as csv_io
 from ridelens.session import new_scratch_path
+from tests.conftest import canon
 
 TEXTS = [
     "Drivers were courteous and the ride arrived on time",
@@ -252,3 +253,43 @@ def test_sample_is_drawn_per_review(spark):
     shares = [sampling.review_sample(reviews, rides, n=100, seed=s).where(
         "cast(substring(review, 8) AS INT) < 500").count() for s in range(20)]
     assert 28 < sum(shares) / len(shares) < 39 and max(shares) < 60 and min(shares) > 12
+
+
+@pytest.mark.parametrize("n", [0, 1, 777, 2000, 5000])
+def test_ranked_sample_equals_the_sorted_one(spark, n):
+    """Exact places, ties of equal reviews included, whatever the size of the sample."""
+    rides = spark.createDataFrame([], "ride_id BIGINT, request_ts TIMESTAMP_NTZ")
+    i = F.col("id")
+    reviews = spark.range(3000).select(
+        F.when(i % 3 == 0, F.lit(7)).otherwise(i).alias("ride_id"), F.lit(1).cast("bigint").alias("user_id"),
+        (i % 2).cast("int").alias("rating"),
+        F.when(i % 3 == 0, F.lit("same")).otherwise(F.concat(F.lit("review "), i)).alias("review"))
+    got = sampling.ranked_review_sample(reviews, rides, n=n, seed=3).orderBy("place").collect()
+    want = sampling.reviews_for_sample(reviews, rides, 3).orderBy("_key", "rating", "review").limit(n).collect()
+    assert [r.place for r in got] == list(range(min(n, 3000)))
+    assert [(r.rating, r.review) for r in got] == [(r.rating, r.review) for r in want]
+
+
+def test_ranked_sample_holds_no_task_with_the_whole_sample(spark):
+    rides = spark.createDataFrame([], "ride_id BIGINT, request_ts TIMESTAMP_NTZ")
+    i = F.col("id")
+    reviews = spark.range(20000).select(i.alias("ride_id"), i.alias("user_id"), F.lit(1).alias("rating"),
+                                        F.concat(F.lit("review "), i).alias("review"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sample = sampling.ranked_review_sample(reviews, rides, n=20000 // 3, seed=3)
+        sizes = [r["count"] for r in sample.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert sum(sizes) == 20000 // 3 and len(sizes) > 1 and max(sizes) < 0.7 * sum(sizes)
+
+
+def test_many_equal_keys_widen_the_share(spark):
+    """Nearly all reviews are equal: their one key lies anywhere, and n of them are found."""
+    reviews = spark.range(4000).selectExpr("1L AS ride_id", "1L AS user_id", "1 AS rating",
+                                           "CASE WHEN id < 30 THEN concat('r', id) ELSE 'same' END AS review")
+    rides = spark.createDataFrame([], "ride_id BIGINT, request_ts TIMESTAMP_NTZ")
+    for seed in range(4):
+        got = sampling.review_sample(reviews, rides, n=100, seed=seed)
+        want = sampling.reviews_for_sample(reviews, rides, seed).orderBy("_key").limit(100).select(*got.columns)
+        assert canon(got.collect()) == canon(want.collect())
