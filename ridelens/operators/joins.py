@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ridelens.functions.time import time_parts
+from ridelens.operators.skew import heavy_keys, split_left_join
+from ridelens.session import stored
 
 APPROVED = "Approved"
 
@@ -95,21 +97,27 @@ def with_request_time(reviews: DataFrame, rides: DataFrame) -> DataFrame:
 def completed_with_payments(rides: DataFrame, transactions: DataFrame,
                             signups: DataFrame, downloads: DataFrame) -> DataFrame:
     """J4 row level: rides LEFT JOIN transactions LEFT JOIN signups LEFT JOIN
-    downloads WHERE cancel_ts IS NULL; one row per (ride, transaction)."""
-    t = transactions.select("ride_id", F.col("charge_status"))
+    downloads WHERE cancel_ts IS NULL; one row per (ride, transaction). A ride
+    with very many transactions is split on their side, where AQE cannot."""
+    t = transactions.select(F.col("ride_id").alias("tx_ride_id"), "charge_status")
     r = rides.where(F.col("cancel_ts").isNull()).select("ride_id", "user_id")
-    return r.join(t, "ride_id", "left") \
-            .join(user_segments(signups, downloads), "user_id", "left")
+    paid = stored(split_left_join(r, t, "ride_id", "tx_ride_id", heavy_right=heavy_keys(t, "tx_ride_id")))
+    users = user_segments(signups, downloads).withColumnRenamed("user_id", "signup_user_id")
+    return split_left_join(paid, users, "user_id", "signup_user_id", heavy_keys(paid, "user_id"))
 
 
 def payment_users(transactions: DataFrame, rides: DataFrame,
                   signups: DataFrame, downloads: DataFrame) -> DataFrame:
-    """J5 row level: approved transactions LEFT JOIN rides LEFT JOIN user dim."""
+    """J5 row level: approved transactions LEFT JOIN rides LEFT JOIN user dim.
+
+    Rides with very many transactions, and users with very many paid rides, are split by
+    the plan; transactions without a ride (no user) are not shuffled to the users."""
     t = approved(transactions).select(F.col("ride_id").alias("tx_ride_id"),
                                       "purchase_amount_usd")
     r = rides.select("ride_id", "user_id")
-    return t.join(r, t.tx_ride_id == r.ride_id, "left").drop("ride_id") \
-            .join(user_segments(signups, downloads), "user_id", "left")
+    ridden = stored(split_left_join(t, r, "tx_ride_id", "ride_id", heavy_keys(t, "tx_ride_id")))
+    users = user_segments(signups, downloads).withColumnRenamed("user_id", "signup_user_id")
+    return split_left_join(ridden, users, "user_id", "signup_user_id", heavy_keys(ridden, "user_id"))
 
 
 def review_users(reviews: DataFrame, rides: DataFrame,
