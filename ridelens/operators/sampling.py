@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from ridelens.functions.time import time_parts
 from ridelens.operators.ranking import numbered
-from ridelens.session import stored
+from ridelens.session import stored, written
 
 REFERENCE_SAMPLE_SIZE = 49999
 SAMPLE_COLUMNS = ["user_id", "year", "month", "hour", "rating", "review"]
@@ -47,7 +47,7 @@ def sample_key(seed: str | int, *cols: str) -> Column:
 
 
 def hash_candidates(df: DataFrame, n: int, key: str) -> DataFrame:
-    """Rows of ``df`` with the n least keys and some more, stored, so that the keys are made
+    """Rows of ``df`` with the n least keys and some more, written, so that the keys are made
     in one pass; ``df`` itself where it has no more than n rows."""
     total = df.count()
     spare = n + 8 * math.sqrt(n) + 16
@@ -56,7 +56,7 @@ def hash_candidates(df: DataFrame, n: int, key: str) -> DataFrame:
         # (the same condition again over what is stored: Spark takes it as selective, so
         # its runtime filters may prune what is joined to the candidates)
         near = F.substring(F.col(key), 1, _PREFIX_HEX) <= F.lit(least)
-        found = stored(df.where(near)).where(near)
+        found = written(df.where(near), "sample-candidates").where(near)
         if found.count() >= n:
             return found
         spare *= 4          # many equal keys stand further up

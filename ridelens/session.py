@@ -17,6 +17,12 @@ SESSION_DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # a shuffled join whose other side is filtered to little: its keys go into a Bloom filter
+    # that prunes this side's scan before the shuffle (sides above 1 GB; Spark's own
+    # limits of 10 GB, and of 10 MB for the filtered side, pass most such joins by)
+    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "1GB",
+    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "1GB",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -73,3 +79,12 @@ def stored(df: DataFrame) -> DataFrame:
     if not context.getCheckpointDir():
         context.setCheckpointDir(scratch_dir(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as Parquet in the shared scratch folder and read back: unlike a
+    checkpoint its size is known to the optimizer and its columns are read one by one. The
+    files stay until the folder is cleared."""
+    path = new_scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
