@@ -16,10 +16,11 @@ from pyspark.sql import functions as F
 
 from ridelens.functions.numeric import ratio, round_mean_half_up
 from ridelens.functions.time import minute_field, time_parts
-from ridelens.operators import bitmaps, funnel, joins, keywords, phrase_join, sampling, segments, summaries
+from ridelens.operators import bitmaps, funnel, increments, joins, keywords, phrase_join, sampling, segments, summaries
 from ridelens.operators.setops import constant_row, union_all, union_distinct
 from ridelens.session import new_scratch_path
 from ridelens.sources import csv as csv_io
+from ridelens.sources import infer
 from ridelens.sources.fixtures import fixture_tables
 from ridelens.sources.profile import profile
 from ridelens.sources.tables import table_row_counts
@@ -78,6 +79,12 @@ def q_csv_roundtrip(t):
                            empty_as_blank=keywords.LABEL_ASPECTS)
 
 
+def q_csv_inferred_types(t):
+    df = _classified(t)
+    path = csv_io.write_csv(df, new_scratch_path(df.sparkSession, "classified-reviews-csv"))
+    return infer.inferred_types(infer.read_csv_texts(df.sparkSession, path, df.columns))
+
+
 # ------------------------------------------------------------------ filters
 
 def q_filter_stage_reached(t):
@@ -247,6 +254,19 @@ def q_distinct_rides_rollup(t):
     return _distinct_rollup(_request_segmented(t), "ride_id")
 
 
+INCREMENT_KEYS = ["platform", "age_range", "year", "month"]
+
+
+def q_incremental_rides(t):
+    """Rides arrive in two batches, each with rides of all days; the second runs twice."""
+    spark = t["ride_requests"].sparkSession
+    store = increments.PartialStore(spark, new_scratch_path(spark, "ride-partials"))
+    for batch in (0, 1, 1):
+        rides = t["ride_requests"].where(F.pmod(F.coalesce("ride_id", F.lit(0)), F.lit(2)) == batch)
+        store.add(f"b{batch}", {"ride_requests": rides, "signups": t["signups"], "app_downloads": t["app_downloads"]})
+    return store.extract(INCREMENT_KEYS)
+
+
 def q_time_parts(t):
     a = t["app_downloads"]
     return a.select("app_download_key", *time_parts("download_ts"))
@@ -384,6 +404,7 @@ BUILDERS: dict[str, Callable[[Tables], DataFrame]] = {
     "scan_tables": q_scan_tables,
     "profile_reviews": q_profile_reviews,
     "csv_roundtrip": q_csv_roundtrip,
+    "csv_inferred_types": q_csv_inferred_types,
     "filter_stage_reached": q_filter_stage_reached,
     "filter_not_cancelled": q_filter_not_cancelled,
     "filter_approved": q_filter_approved,
@@ -408,6 +429,7 @@ BUILDERS: dict[str, Callable[[Tables], DataFrame]] = {
     "coalesce_after_group": q_coalesce_after_group,
     "distinct_users_rollup": q_distinct_users_rollup,
     "distinct_rides_rollup": q_distinct_rides_rollup,
+    "incremental_rides": q_incremental_rides,
     "time_parts": q_time_parts,
     "interval_minutes": q_interval_minutes,
     "union_distinct": q_union_distinct,
