@@ -4,8 +4,8 @@ Every file is read once as text; each task keeps, per column, which kinds of val
 and these are merged (a set union, so the order of files does not matter). The rules:
 only whole numbers give BIGINT, whole numbers with missing values or any decimal numbers
 DOUBLE, only true and false BOOLEAN, no value at all DOUBLE, everything else STRING;
-whole numbers beyond 64 bits are DOUBLE beside a decimal number and else text, and
-truth values with missing ones are text.
+whole numbers beyond 64 bits count as text (a reader that goes line by line lets their
+place decide), and so do truth values with missing ones.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ TRUE, FALSE = ["True", "TRUE", "true"], ["False", "FALSE", "false"]
 _WHOLE = r"^ *[+-]?[0-9]+ *$"
 _DECIMAL = r"^ *[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)? *$"
 _INFINITE = r"(?i)^[+-]?inf(inity)?$"
-KINDS = ("missing", "truth", "whole", "decimal", "huge", "text")
+KINDS = ("missing", "truth", "whole", "decimal", "text")
 
 
 def read_csv_texts(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
@@ -42,7 +42,7 @@ def _kind(value: Column) -> Column:
     whole = value.rlike(_WHOLE)
     return (F.when(value.isNull() | value.isin(MISSING), 1 << 0).when(value.isin(TRUE + FALSE), 1 << 1)
             .when(whole & F.trim(value).try_cast("bigint").isNotNull(), 1 << 2).when(whole, 1 << 4)
-            .when(value.rlike(_DECIMAL) | value.rlike(_INFINITE), 1 << 3).otherwise(1 << 5))
+            .when(value.rlike(_DECIMAL) | value.rlike(_INFINITE), 1 << 3).otherwise(1 << 4))
 
 
 def kinds_seen(texts: DataFrame) -> DataFrame:
@@ -66,7 +66,6 @@ def inferred_types(texts: DataFrame) -> DataFrame:
     return kinds_seen(texts).select("column", (
         F.when(only(), "string").when(only("missing"), "double").when(only("truth"), "boolean")
         .when(only("whole"), "bigint").when(only("missing", "whole", "decimal"), "double")
-        .when(only("missing", "whole", "decimal", "huge") & F.col("decimal"), "double")
         .otherwise("string")).alias("type"))
 
 
