@@ -27,6 +27,7 @@ learned from; repeated rows get equal results; other columns are carried along.
 import re
 import zlib
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -53,8 +54,12 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str) -> list[str]:
-    """Runs of letters, in lower case."""
-    return _WORD.findall(text.lower())
+    """Runs of letters, in lower case. (The pattern's runs may hold number signs like those
+    for a half or for squares, which are no letters: such runs are parted there.)"""
+    found = _WORD.findall(text.lower())
+    if all(map(str.isalpha, found)):
+        return found
+    return ["".join(run) for word in found for letter, run in groupby(word, str.isalpha) if letter]
 
 
 def _number(hashes: np.ndarray, kind: int) -> np.ndarray:

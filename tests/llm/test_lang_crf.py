@@ -134,3 +134,11 @@ def test_no_label_is_left_out_of_the_sample(spark, monkeypatch):
     monkeypatch.setattr(op, "fit", lambda texts, langs: taken.update(zip(texts, langs)))
     op.train(docs, per_language=2)
     assert set(taken.values()) == {g for _, _, g in rows} and len(taken) == 230 * 2 + 2 + 1
+
+
+def test_number_signs_are_no_letters():
+    assert op.words_of("½ ² ① 12 _ ٣") == []
+    assert op.words_of("a½b x²Y ①") == ["a", "b", "x", "y"]
+    model = op.fit([words(random.Random(1), "aa", 30), words(random.Random(2), "bb", 30)] * 4, ["aa", "bb"] * 4)
+    assert model.identify(["½", "²①", "٣ 4"]) == (["und"] * 3, [0.0] * 3) or \
+        [list(x) for x in model.identify(["½", "²①", "٣ 4"])] == [["und"] * 3, [0.0] * 3]
