@@ -149,7 +149,15 @@ def arrange(mixed: DataFrame) -> DataFrame:
     return flat.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
 
 
-def mix_report(docs: DataFrame) -> DataFrame:
-    """Per document its size, its source's size and target, and the words the mix takes."""
-    return mix(docs, columns=["doc_id"]).select(
-        "doc_id", "size", "source_size", "target", "taken")
+def mix_report(docs: DataFrame, repeat_limit: int = REPEAT_LIMIT) -> DataFrame:
+    """Per document its size, its source's size and target, the words the mix takes, and the
+    training position of each reading (``position_0`` and so on, NULL where it is not read),
+    range-sorted by the first."""
+    mixed = mix(docs, columns=["doc_id"], repeat_limit=repeat_limit)
+
+    def reading(epoch: int) -> Column:
+        found = F.filter("occurrences", lambda o: o["epoch"] == epoch)
+        return F.get(found, F.lit(0))["position"].alias(f"position_{epoch}")
+
+    found = mixed.select("doc_id", "size", "source_size", "target", "taken", *map(reading, range(repeat_limit)))
+    return found.repartitionByRange("position_0", "doc_id").sortWithinPartitions("position_0", "doc_id")

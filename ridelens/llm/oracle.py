@@ -62,8 +62,27 @@ def secrets_sql() -> str:
 
 
 def mix_sql() -> str:
-    """Targets from the water level; taken words from prefix sums over each source."""
+    """Targets from the water level; taken words from prefix sums over each source; positions
+    from the area below each class' weight line, solved for its right end."""
     weights, limit = list(mixing.WEIGHTS), mixing.REPEAT_LIMIT
+
+    def reached(share: str, schedule) -> str:
+        area = sum((v - u) * (a + b) / 2 for (u, a), (v, b) in zip(schedule, schedule[1:]))
+        cases, before = [], 0.0
+        for (u, a), (v, b) in zip(schedule, schedule[1:]):
+            rest = f"({share} * {area!r}::DOUBLE - {before!r}::DOUBLE)"
+            root = f"sqrt(greatest({a * a!r}::DOUBLE + {2 * (b - a) / (v - u)!r}::DOUBLE * {rest}, 0::DOUBLE))"
+            cases.append((rest, f"{u!r}::DOUBLE + 2 * {rest} / ({a!r}::DOUBLE + {root})"))
+            before += (a + b) / 2 * (v - u)
+        later = "".join(f" WHEN {rest} >= 0 THEN {time}" for rest, time in reversed(cases[1:]))
+        return f"(CASE{later} ELSE {cases[0][1]} END)" if later else cases[0][1]
+
+    def reading(e: int) -> str:
+        start = f"({e} * source_size + start)"
+        times = " ".join(f"WHEN {k} THEN {reached(f'({start}::DOUBLE / target)', mixing.SCHEDULES[k])}"
+                         for k in range(len(weights)))
+        return (f"CASE WHEN least(size, floor(target)::BIGINT - {start}) > 0 THEN CASE class {times} END END"
+                f" AS position_{e}")
     taken = " + ".join(f"greatest(0, least(size, floor(target)::BIGINT - {e} * source_size - start))"
                        for e in range(limit))
     return f"""
@@ -71,19 +90,20 @@ def mix_sql() -> str:
             len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT size,
             md5(coalesce(doc_id::VARCHAR, '')) by_id, md5(coalesce(text, '')) by_text FROM documents),
     t AS (SELECT source, sum(size)::BIGINT source_size FROM d GROUP BY source),
-    r AS (SELECT *, {weights}[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(weights)} + 1] weight,
-            {limit} * source_size AS most FROM t),
+    o AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(weights)} AS class FROM t),
+    r AS (SELECT *, {weights}[class + 1] weight, {limit} * source_size AS most FROM o),
     q AS (SELECT *, most::DOUBLE / weight ratio FROM r),
     l AS (SELECT *, row_number() OVER (ORDER BY ratio, source NULLS LAST) place,
             (sum(source_size) OVER () - coalesce(sum(most) OVER (ORDER BY ratio, source NULLS LAST
                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
             / sum(weight) OVER (ORDER BY ratio, source NULLS LAST
                ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) level FROM q),
-    g AS (SELECT source, source_size, least(most::DOUBLE, weight *
+    g AS (SELECT source, source_size, class, least(most::DOUBLE, weight *
             (SELECT level FROM l WHERE level <= ratio ORDER BY place LIMIT 1)) target FROM l),
     p AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY by_id, by_text
             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT start FROM d)
-    SELECT doc_id, size, source_size, target, ({taken})::BIGINT taken
+    SELECT doc_id, size, source_size, target, ({taken})::BIGINT taken,
+           {", ".join(reading(e) for e in range(limit))}
     FROM p JOIN g ON p.source IS NOT DISTINCT FROM g.source"""
 
 
