@@ -2,8 +2,10 @@
 
 **Kernel.** Two strings are as alike as the subsequences of ``ORDER`` letters they
 share: one spread over ``s`` letters weighs ``DECAY ** s``, up to ``SPAN`` letters,
-so inserted letters and gaps lower a match without losing it. Strings are scaled
-by the square root of the weight their length can hold.
+so inserted letters and gaps lower a match without losing it: with the decay near
+one, and room for three letters in between, one letter costs little. Strings are
+scaled by the square root of the weight their length can hold, those shorter than
+``SHORT`` as that long, so that an inserted letter does not raise the scale.
 
 **Strings.** A text is folded to letter classes (case, accents and look-alike
 digits go; punctuation inside a word is passed over) and cut into words; three
@@ -50,9 +52,9 @@ from pyspark.sql import functions as F
 from ridelens.llm.common import free_name, id_bucket
 
 ORDER = 4
-DECAY = 0.6
-SPAN = 6
-SHORT = 6
+DECAY = 0.85
+SPAN = 7
+SHORT = 9
 UNIT = 14
 STEP = 7
 TOXIC_TEXTS, CLEAN_TEXTS = 600, 1500
@@ -126,7 +128,16 @@ def words(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def units(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and length of the strings scored: words, long ones in overlapping windows."""
+    """Start and length of the strings scored: words, long ones in overlapping windows, and
+    neighbouring words that together are no longer than a window."""
+    both = sizes[:-1] + sizes[1:]
+    near = np.flatnonzero((both <= UNIT) & (starts[:-1] + sizes[:-1] == starts[1:]))
+    single = _windows(starts, sizes)
+    return np.concatenate([single[0], starts[near]]), np.concatenate([single[1], both[near]])
+
+
+def _windows(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words, those longer than ``UNIT`` in overlapping windows."""
     extra = np.where(sizes > UNIT, -(-(sizes - UNIT) // STEP), 0)
     if not extra.any():
         return starts, sizes
@@ -197,7 +208,9 @@ def strongest(text: str, weights: np.ndarray) -> float:
         starts, sizes = units(starts, sizes)
         if len(starts):
             best = max(best, float(unit_scores(letters, starts, sizes, weights).max()))
-        at = stop
+        # the last word is read again, as it may belong to the next block's first
+        *before, last = text[at:stop].rsplit(None, 1) or [""]
+        at = stop - len(last) if before and stop < len(text) and len(last) < BLOCK_CHARS else stop
     return best
 
 

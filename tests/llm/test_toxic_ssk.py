@@ -1,8 +1,10 @@
 import random
+import re
 import zlib
 from itertools import combinations
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from ridelens.llm import toxic_ssk as op
@@ -114,3 +116,33 @@ def test_without_both_labels_nothing_is_toxic(spark, told):
     assert [r.score for r in op.toxic_report(docs, labels).collect()] == [0.0] * 3
     assert op.drop_toxic(docs, labels).count() == 3
     assert op.toxic_report(docs.limit(0), labels).collect() == []
+
+
+def test_neighbouring_words_are_read_together():
+    starts, sizes = op.units(np.array([0, 2, 5, 15]), np.array([2, 3, 10, 2]))
+    assert sorted(zip(starts.tolist(), sizes.tolist())) == [(0, 2), (0, 5), (2, 3), (2, 13), (5, 10), (5, 12), (15, 2)]
+
+
+INSULTS = ["idiot", "moron", "stupid", "loser", "trash", "scum", "clown", "pathetic", "worthless", "disgusting"]
+
+
+def test_inserted_letters_and_blanks_in_held_out_documents():
+    """Given labels, a third held out: of the documents with an insult of the language, at
+    least nine in ten are still found with a letter put into every insult, or a blank, or a
+    letter doubled; at most one in thirty of the others is called toxic."""
+    tables = {n: pq.read_table(f"/root/testdata/sf0.1/{n}.parquet").to_pandas() for n in ("documents", "labels")}
+    told = tables["labels"].groupby("doc_id").toxic.agg(["min", "max"]).query("min == max")["min"]
+    docs = tables["documents"].dropna(subset=["doc_id", "text"]).drop_duplicates("doc_id").set_index("doc_id").text
+    rows = [(i, docs[i], int(y)) for i, y in told.items() if i in docs.index]
+    held = lambda i: zlib.crc32(str(i).encode()) % 3 == 1
+    learn = sorted((zlib.crc32(b"turn %d" % i), t, y) for i, t, y in rows if not held(i) and len(t) <= op.MAX_CHARS)
+    kept = [r for k, most in ((1, 400), (0, 800)) for r in [r for r in learn if r[2] == k][:most]]
+    model = op.fit([r[1] for r in kept], [r[2] for r in kept])
+    insult = re.compile(rf"\b({'|'.join(INSULTS)})\b", re.I)
+    toxic = [t for i, t, y in rows if held(i) and y and insult.search(t)]
+    clean = [t for i, t, y in rows if held(i) and not y and not insult.search(t)][:500]
+    found = lambda texts: sum(model.score(t) >= op.THRESHOLD for t in texts) / len(texts)
+    inside = lambda x: lambda m: m[0][:len(m[0]) // 2] + x + m[0][len(m[0]) // 2:]
+    assert len(toxic) > 60 and found(toxic) >= 0.95 and found(clean) <= 1 / 30
+    for change in (inside("x"), inside(" "), inside("."), lambda m: m[0][:2] + m[0][1] + m[0][2:]):
+        assert found([insult.sub(change, t) for t in toxic]) >= 0.9
