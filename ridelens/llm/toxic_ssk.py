@@ -70,6 +70,7 @@ HARDEST = 4                         # strongest strings of a clean text to train
 COST = 100.0
 THRESHOLD = 0.3
 BLOCK_CHARS = 1 << 20
+BLOCK_STRINGS = 20_000              # of the sample that are weighed at once
 SEQUENCES = 32 ** ORDER             # a subsequence of letter classes below 32 as a number
 BLANK = 255
 # Digits and signs read as the letters they resemble.
@@ -241,22 +242,30 @@ class Sample:
             starts, sizes = units(starts, sizes)
             places = np.flatnonzero((kinds > 0) & (kinds != BLANK))[starts]
             ends = np.flatnonzero(np.isin(codes, SENTENCE_ENDS))
-            inside = (sentences + np.searchsorted(ends, places)).tolist()
+            inside = sentences + np.searchsorted(ends, places)
             sentences += len(ends) + 1
-            raw = letters.tobytes()
-            for part, a, n in zip(inside, starts.tolist(), sizes.tolist()):
-                if n >= ORDER:
-                    text.append(t)
-                    sentence.append(part)
-                    which.append(number.setdefault(raw[a:a + n], len(number)))
+            raw, kept = letters.tobytes(), sizes >= ORDER
+            which.append(np.array([number.setdefault(raw[a:a + n], len(number)) for a, n in
+                                   zip(starts[kept].tolist(), sizes[kept].tolist())], np.int64))
+            sentence.append(inside[kept])
+            text.append(np.full(len(which[-1]), t))
         self.strings = list(number)
-        self.text, self.sentence, self.which = (np.array(x, np.int64) for x in (text, sentence, which))
+        self.text, self.sentence, self.which = (
+            np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (text, sentence, which))
         self.letters = np.frombuffer(b"".join(self.strings), np.uint8)
         self.sizes = np.array([len(s) for s in self.strings], np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
 
+    def blocks(self):
+        """The strings a block at a time: number of the first, and their letters, starts and sizes."""
+        for first in range(0, len(self.strings), BLOCK_STRINGS):
+            starts, sizes = (x[first:first + BLOCK_STRINGS] for x in (self.starts, self.sizes))
+            letters = self.letters[starts[0]:starts[-1] + sizes[-1]]
+            yield first, letters, starts - starts[0], sizes
+
     def strengths(self, weights: np.ndarray) -> np.ndarray:
-        return unit_scores(self.letters, self.starts, self.sizes, weights)
+        return np.concatenate([unit_scores(letters, starts, sizes, weights)
+                               for _, letters, starts, sizes in self.blocks()])
 
     def held_by(self, chosen: np.ndarray) -> np.ndarray:
         """Number of the chosen texts that hold each string."""
@@ -276,17 +285,18 @@ class Sample:
 
 def _ties(sample: Sample, held: list[np.ndarray], n: list[int]) -> np.ndarray:
     """A first weight per subsequence: how much more often toxic texts hold its strings."""
-    letters = sample.letters.astype(np.int64)
-    string = np.repeat(np.arange(len(sample.sizes)), sample.sizes)
-    left = np.repeat(sample.starts + sample.sizes, sample.sizes) - np.arange(len(letters))
     both = [np.zeros(SEQUENCES), np.zeros(SEQUENCES)]
-    for pattern in PATTERNS:
-        at = np.flatnonzero(left > pattern[-1])
-        key = letters[at] << (5 * (ORDER - 1))
-        for k, gap in enumerate(pattern, 1):
-            key += letters[at + gap] << (5 * (ORDER - 1 - k))
-        for k in (0, 1):
-            both[k] += np.bincount(key, held[k][string[at]], SEQUENCES)
+    for first, letters, starts, sizes in sample.blocks():
+        letters = letters.astype(np.int64)
+        string = first + np.repeat(np.arange(len(sizes)), sizes)
+        left = np.repeat(starts + sizes, sizes) - np.arange(len(letters))
+        for pattern in PATTERNS:
+            at = np.flatnonzero(left > pattern[-1])
+            key = letters[at] << (5 * (ORDER - 1))
+            for k, gap in enumerate(pattern, 1):
+                key += letters[at + gap] << (5 * (ORDER - 1 - k))
+            for k in (0, 1):
+                both[k] += np.bincount(key, held[k][string[at]], SEQUENCES)
     ratio = np.log((both[1] + .5) / (n[1] + 1)) - np.log((both[0] + .5) / (n[0] + 1))
     error = np.sqrt(1 / (both[1] + .5) + 1 / (both[0] + .5))
     return np.maximum(0, ratio - CAUTION * error) * (both[1] > 1)
@@ -408,8 +418,8 @@ def learn(texts: list[str], y: np.ndarray, seed: int) -> tuple[np.ndarray, float
             if i not in features:
                 keys, weight = subsequences(sample.strings[i])
                 at = place[keys]
-                features[i] = base[:, at[at >= 0]] @ weight[at >= 0] @ whiten
-        return np.array([features[i] for i in chosen])
+                features[i] = (base[:, at[at >= 0]] @ weight[at >= 0] @ whiten).astype(np.float32)
+        return np.array([features[i] for i in chosen], np.float64)
 
     bias = 0.0
     for _ in range(ROUNDS):
