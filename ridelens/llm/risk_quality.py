@@ -20,8 +20,9 @@ The holdout is every labelled document (label 1 = good), counted by Spark into
 one row per stratum: how many good documents, and how many of them each cutoff
 rejects. The candidate cutoffs are a fixed grid, chosen without the labels, so
 that the exact bounds hold. Strata are bands of text length and the language
-label. The ``MAX_STRATA`` strata with the most labelled good documents are used;
-documents of any other stratum, and of those without one, pass all rules.
+label, any number of them: each gets its cutoffs in the task that holds its counts,
+and documents are joined to them by stratum; only the bands' sums come to the driver.
+Documents of a stratum without a labelled good one pass all rules.
 
 Measures (words are runs of anything but the six ASCII blanks): share of
 symbols, of lines that repeat an earlier one, of words in repeated five-word
@@ -42,6 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ridelens.llm.common import cut_lineage
+from ridelens.session import written
 
 WINDOW = 5
 MIN_WORDS = 10
@@ -54,7 +56,6 @@ SHARES = (0.1, 0.1, 0.8)
 # The sequence over all documents takes these rules in turn, then the next group:
 # short texts are often good ones, so their rule must not end the others' steps.
 TURNS = (("symbols", "dup_lines", "repeat_words", "word_length"), ("shortness",))
-MAX_STRATA = 2000
 # Upper ends of the length bands, in words.
 LENGTH_BANDS = (50, 200, 1000)
 MEASURES = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, " \
@@ -160,11 +161,12 @@ def certified(n: int, rejected: int, risk: float, error: float) -> bool:
 
 
 def choose(counts: dict[str, dict], risk: float = RISK, error: float = ERROR,
-           rules: dict[str, tuple] = RULES) -> dict[str, dict[str, float]]:
+           rules: dict[str, tuple] = RULES, groups: int | None = None) -> dict[str, dict[str, float]]:
     """Cutoff per stratum and rule, from ``counts[stratum] = {"n": good documents, rule:
     rejected good documents per cutoff}``: the strictest before the first that fails, from
-    the loosest on. A rule whose loosest cutoff fails is left out."""
-    level = error / max(1, len(rules) * len(counts))
+    the loosest on. A rule whose loosest cutoff fails is left out. ``groups`` is the number
+    of all strata, if ``counts`` holds some of them."""
+    level = error / max(1, len(rules) * (groups or len(counts)))
     chosen: dict[str, dict[str, float]] = {name: {} for name in counts}
     for name, seen in counts.items():
         for rule, cutoffs in rules.items():
@@ -194,6 +196,13 @@ def _pooled(counts: list[dict], rules: dict[str, tuple] = RULES) -> dict:
             **{rule: [sum(x) for x in zip(*(c[rule] for c in counts))] for rule in rules}}
 
 
+def _larger_groups(bands: dict[str, dict], risk: float, error: float) -> dict[str, dict[str, float]]:
+    """Cutoffs per band for its strata without their own: the band's, else those of all documents."""
+    of_band = choose(bands, risk, error * SHARES[1])
+    of_all = choose_in_turn(_pooled(list(bands.values())), risk, error * SHARES[2])
+    return {band: of_all | own for band, own in of_band.items()}
+
+
 def choose_backed(counts: dict[str, dict], risk: float = RISK, error: float = ERROR) -> dict[str, dict[str, float]]:
     """Cutoffs of every stratum ``band:language``: its own where certified, else its band's,
     else those of all documents."""
@@ -202,26 +211,39 @@ def choose_backed(counts: dict[str, dict], risk: float = RISK, error: float = ER
     bands: dict[str, list] = {}
     for name, seen in counts.items():
         bands.setdefault(name.split(":")[0], []).append(seen)
+    larger = _larger_groups({band: _pooled(seen) for band, seen in bands.items()}, risk, error)
     own = choose(counts, risk, error * SHARES[0])
-    of_band = choose({band: _pooled(seen) for band, seen in bands.items()}, risk, error * SHARES[1])
-    of_all = choose_in_turn(_pooled(list(counts.values())), risk, error * SHARES[2])
-    return {name: of_all | of_band[name.split(":")[0]] | own[name] for name in counts}
+    return {name: larger[name.split(":")[0]] | own[name] for name in counts}
 
 
-def calibrate(measures: DataFrame, labels: DataFrame, **limits) -> dict[str, dict[str, float]]:
-    """Cutoffs certified on all labelled good documents that pass the base rule."""
+def calibrate(measures: DataFrame, labels: DataFrame, risk: float = RISK, error: float = ERROR) -> DataFrame:
+    """``stratum, cutoffs`` (a map from rule to cutoff) of every stratum with labelled good
+    documents that pass the base rule: :func:`choose_backed`, a batch of strata at a time."""
     told = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(
         F.min("quality").alias("least"), F.max("quality").alias("most"))
     good = measures.join(told.where("least = 1 and most = 1").select("doc_id"), "doc_id", "left_semi") \
         .where(~F.col("base_failed"))
     values = risk_columns()
-    counts = good.select(stratum().alias("stratum"), *[v.alias(k) for k, v in values.items()]) \
-        .groupBy("stratum").agg(
-            F.count(F.lit(1)).alias("n"),
-            *[F.array(*[F.count_if(F.col(rule) > c) for c in cutoffs]).alias(rule)
-              for rule, cutoffs in RULES.items()])
-    largest = counts.orderBy(F.desc("n"), "stratum").limit(MAX_STRATA)
-    return choose_backed({r["stratum"]: r.asDict() for r in largest.collect()}, **limits)
+    counts = cut_lineage(good.select(stratum().alias("stratum"), *[v.alias(k) for k, v in values.items()])
+                         .groupBy("stratum").agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.array(*[F.count_if(F.col(rule) > c) for c in cutoffs]).alias(rule)
+          for rule, cutoffs in RULES.items()]))
+    pooled = counts.groupBy(F.split_part("stratum", F.lit(":"), F.lit(1)).alias("band")).agg(
+        F.count(F.lit(1)).alias("strata"), F.sum("n").alias("n"),
+        *[F.array(*[F.sum(F.col(rule)[i]) for i in range(len(cutoffs))]).alias(rule)
+          for rule, cutoffs in RULES.items()]).collect()
+    groups = sum(r.strata for r in pooled)
+    larger = _larger_groups({r.band: r.asDict() for r in pooled}, risk, error) if pooled else {}
+
+    def chosen(batches):
+        for batch in batches:
+            seen = {r["stratum"]: r for r in batch.to_dict("records")}
+            own = choose(seen, risk, error * SHARES[0], groups=groups)
+            yield pd.DataFrame({"stratum": list(seen), "cutoffs": [
+                larger[name.split(":")[0]] | own[name] for name in seen]})
+
+    return counts.mapInPandas(chosen, "stratum string, cutoffs map<string,double>")
 
 
 def measured_rows(docs: DataFrame) -> DataFrame:
@@ -231,19 +253,19 @@ def measured_rows(docs: DataFrame) -> DataFrame:
         100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
 
 
-def verdict(chosen: dict[str, dict[str, float]]) -> Column:
-    """Whether a measured row passes the base rule and the cutoffs of its stratum."""
+def verdict(cutoffs: Column) -> Column:
+    """Whether a measured row passes the base rule and its stratum's cutoffs (NULL: none)."""
     rejected = F.lit(False)
     for rule, value in risk_columns().items():
-        cutoffs = {name: rules[rule] for name, rules in chosen.items() if rule in rules}
-        if cutoffs:
-            table = F.create_map(*[F.lit(x) for pair in sorted(cutoffs.items()) for x in pair])
-            rejected = rejected | F.coalesce(value > F.try_element_at(table, stratum()), F.lit(False))
+        rejected = rejected | F.coalesce(value > F.try_element_at(cutoffs, F.lit(rule)), F.lit(False))
     return ~F.col("base_failed") & ~rejected
 
 
 def quality_report(docs: DataFrame, labels: DataFrame, **limits) -> DataFrame:
     """Per document its measures, the base rule's verdict, and whether it is kept."""
     rows = cut_lineage(measured_rows(docs))
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-                       "base_failed", verdict(calibrate(rows, labels, **limits)).alias("kept"))
+    # written: of a table of known size Spark sees whether it can be sent to all tasks
+    cutoffs = written(calibrate(rows, labels, **limits), "cutoffs")
+    return rows.withColumn("stratum", stratum()).join(cutoffs, "stratum", "left").select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "base_failed", verdict(F.col("cutoffs")).alias("kept"))

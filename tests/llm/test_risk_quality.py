@@ -153,3 +153,18 @@ def test_decides_at_the_small_scale(spark):
     docs, labels = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("documents", "labels"))
     found = op.quality_report(docs, labels)
     assert found.where("NOT base_failed AND NOT kept").count() > 0
+
+
+def test_strata_of_any_number_have_cutoffs(spark):
+    """A document of every one of 2,100 rare languages is rejected by its band's cutoffs."""
+    clean = " ".join(f"word{i}" for i in range(20))
+    rows = [(i, clean, "en", "m", "k", "n") for i in range(800)]
+    rows += [(1000 + i, clean, f"l{i:04}", "m", "k", "n") for i in range(2100)]
+    told = [(r[0], 1) for r in rows]
+    dirty = clean + "".join(f" #$%&|<>{i}" for i in range(20))
+    rows += [(9000 + i, dirty, f"l{i:04}", "m", "k", "n") for i in range(2100)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = op.quality_report(docs, spark.createDataFrame(told, "doc_id BIGINT, quality INT")).collect()
+    assert len(got) == len(rows)
+    assert not any(r.base_failed for r in got)
+    assert {r.doc_id for r in got if r.kept} == {d for d, _ in told}
