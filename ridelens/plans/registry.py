@@ -377,7 +377,9 @@ ENDING = r"([^ \n]+ [^ \n]+ [^ \n]+)\z"
 
 def q_phrase_table_counts(t):
     reviews = t["reviews"].select("review")
-    phrases = reviews.select(F.regexp_extract(F.lower("review"), ENDING, 1).alias("phrase"))
+    # the ending has two blanks: it lies behind the third last one, and only there is it looked for
+    last = F.substring_index(F.lower("review"), " ", -3)
+    phrases = reviews.select(F.regexp_extract(last, ENDING, 1).alias("phrase"))
     return phrase_join.phrase_counts(reviews, phrases)
 
 

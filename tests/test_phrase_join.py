@@ -74,3 +74,26 @@ def test_plan_does_not_grow_with_the_dictionary(spark, reviews):
     many = spark.range(5000).select(F.concat(F.lit("phrase "), F.col("id")).alias("phrase"))
     size = [len(phrase_join.phrase_counts(reviews, p)._jdf.queryExecution().optimizedPlan().toString()) for p in (few, many)]
     assert abs(size[0] - size[1]) < 200
+
+
+def test_only_grams_of_anchors_leave_a_text(spark):
+    """The phrases and the texts' grams share words, but no text gives away more than it contains."""
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcd") for _ in range(5)) for _ in range(300)]
+    phrases = [" ".join(rng.choices(words, k=3)) for _ in range(1000)]
+    texts = [" ".join(rng.choices(words, k=400)) for _ in range(50)] + phrases[:50]
+    rows = spark.createDataFrame(list(enumerate(texts)), "_row BIGINT, _text STRING")
+    table = spark.createDataFrame([(p,) for p in phrases], "phrase STRING")
+    anchors, widths = phrase_join._anchors(table.distinct(), rows, 1.0)
+    want = {(i, p) for i, t in enumerate(texts) for p in phrases if p in t}
+    assert phrase_join.marked_grams(rows, anchors, widths).join(anchors, "gram").count() <= 3 * len(want)
+    assert canon(phrase_join.phrase_hits(rows, table).collect()) == canon(want)
+
+
+def test_grams_do_not_depend_on_the_blocks():
+    body = "".join(random.Random(1).choice("abé ") for _ in range(500)).encode()
+    for widths in [(1,), (5, 24), phrase_join.WIDTHS]:
+        whole = phrase_join.grams_of(body, widths)
+        assert whole.tolist() == phrase_join.grams_of(body, widths, block=7).tolist()
+        assert len(whole) == len({(w, body[i:i + w]) for w in widths for i in range(len(body) - w + 1)})
+    assert not len(phrase_join.grams_of(b"", (1, 24))) and not len(phrase_join.grams_of(b"abc", (5,)))
