@@ -1,8 +1,9 @@
 """C3/C4 by increments: new rides are added without computing the old ones again.
 
 A store keeps, per batch of rides, what merges exactly: counts and sums per day and segment,
-and bitmaps of the riders and rides that reached each stage (``operators.bitmaps``, so that
-distinct counts merge too). A result at any subset of the segments reads only these
+and the riders and rides there that reached each stage, as numbers (``operators.bitmaps``, so
+that distinct counts merge too): a segment's day has few of all riders, and a bitmap each
+would be mostly empty, so bitmaps are made when a result is asked for. A result at any subset of the segments reads only these
 partials. A batch may hold late rides of any day; a batch that is run again replaces its
 own partials, so reruns add nothing. A ride belongs to one batch.
 """
@@ -32,6 +33,8 @@ MINUTES = {
     "ride_duration": f"CASE WHEN {DONE} THEN {minute_field_sql('dropoff_ts', 'pickup_ts')} END",
 }
 GRAINS = {"users": "user_id", "rides": "ride_id"}
+USED = ["user_id", "ride_id", "platform", "age_range",
+        "request_ts", "accept_ts", "pickup_ts", "dropoff_ts", "cancel_ts"]
 SUMS = ["ride_rows", "cancelled", *[f"{m}_{k}" for m in MINUTES for k in ("sum", "n")]]
 
 
@@ -52,19 +55,17 @@ class PartialStore:
     def add(self, batch: str, t: Mapping[str, DataFrame]) -> None:
         """Partials of the rides in ``t``, in place of any that ``batch`` has already."""
         rides = enrich_rides(t["ride_requests"], t["signups"], t["app_downloads"])
-        rows = stored(rides.select("*", *time_parts("request_ts"), F.to_date("request_ts").alias(DAY)))
+        rows = stored(rides.select(*USED, *time_parts("request_ts"), F.to_date("request_ts").alias(DAY)))
         minutes = [F.expr(f"{how}({sql})").alias(f"{name}_{end}") for name, sql in MINUTES.items()
                    for how, end in (("sum", "sum"), ("count", "n"))]
         self._replace("sums", batch, rows.groupBy(*CELLS).agg(
             F.count(F.lit(1)).alias("ride_rows"), F.count("cancel_ts").alias("cancelled"), *minutes))
         for grain, key in GRAINS.items():
             # numbers are only ever added: those of an earlier run of the batch hold
-            known = self._read(f"{grain}_numbers")
-            known = None if known is None else known.select(key, bitmaps.NUMBER)
-            numbers = stored(bitmaps.key_numbers(rows, key, CELLS, known))
-            fresh = numbers if known is None else numbers.join(known.select(key), key, "left_anti")
-            fresh.write.mode("append").parquet(f"{self.path}/{grain}_numbers")
-            self._replace(grain, batch, bitmaps.distinct_bitmaps(rows, key, CELLS, REACHED, numbers))
+            bitmaps.new_numbers(rows, key, CELLS, self._read(f"{grain}_numbers")) \
+                .write.mode("append").parquet(f"{self.path}/{grain}_numbers")
+            numbers = self._read(f"{grain}_numbers")
+            self._replace(f"{grain}_members", batch, bitmaps.distinct_members(rows, key, CELLS, REACHED, numbers))
 
     def extract(self, keys: Sequence[str] = SEGMENT_KEYS) -> DataFrame:
         """Per segment: riders and rides that reached each stage, cancellation rate and mean
@@ -73,7 +74,7 @@ class PartialStore:
         sums = self._read("sums").groupBy(*keys).agg(*[F.sum(c).alias(c) for c in SUMS])
         found = sums
         for grain in GRAINS:
-            counts = bitmaps.distinct_counts(self._read(grain), keys, list(REACHED))
+            counts = bitmaps.member_counts(self._read(f"{grain}_members"), keys, list(REACHED))
             counts = counts.select(*[F.col(k).alias(f"_{k}") for k in keys],
                                    *[F.col(n).alias(f"{grain}_{n}") for n in REACHED])
             met = F.lit(True)

@@ -3,8 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from ridelens.operators.increments import PartialStore
-from tests.conftest import canon
+from ridelens.operators.increments import GRAINS, PartialStore
+from tests.conftest import canon, ts
 from tests.test_worlds import skewed_world
 
 
@@ -41,6 +41,19 @@ def test_reruns_and_corrections_replace_a_batch(spark, world, tmp_path):
     assert canon(store.extract(["platform"]).collect()) == canon(whole.extract(["platform"]).collect())
 
 
+def test_partials_take_no_more_rows_and_bytes_than_the_rides(spark, make_tables, tmp_path):
+    """Riders with far apart numbers on every day: a bitmap each would take 4 KB a stage."""
+    rides = [(i, i * 7919 % 40_000, ts(2022, 1, 1 + i % 28, i % 24), None, None, None, None) for i in range(40_000)]
+    t = make_tables(app_downloads=[(1, "ios", ts(2021, 1, 1))], signups=[(5, 1, "25-34")], ride_requests=rides)
+    store = PartialStore(spark, f"{tmp_path}/store")
+    store.add("a", t)
+    files = [f for name in GRAINS for f in (tmp_path / "store").glob(f"{name}*/batch=a/*.parquet")]
+    assert files and sum(f.stat().st_size for f in files) < 2_000_000
+    assert sum(spark.read.parquet(str(f)).count() for f in files) <= 2 * len(rides)
+    row = store.extract([]).collect()[0]
+    assert (row.users_requested, row.rides_requested, row.rides_accepted) == (40_000, 40_000, 0)
+
+
 def test_unknown_segment_is_refused(spark, tmp_path):
     with pytest.raises(ValueError, match="unknown segment"):
         PartialStore(spark, str(tmp_path)).extract(["colour"])
