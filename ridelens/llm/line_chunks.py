@@ -9,11 +9,11 @@ wherever it stands. Of the chunks of two or more lines that occur more than
 once in the corpus, the first occurrence (by id, then text, then place) stays
 and the others are removed.
 
-Chunks meet by a 64-bit hash and their length; the bytes decide: chunk texts are
-counted as they are, and where two different texts share a hash the chunks are
-told apart by their texts. Occurrences are counted map-side, so a chunk with a
-third of all occurrences is a few rows per task; the texts themselves are
-shuffled twice, once to be compared and once to be rebuilt.
+Chunks meet by a 64-bit hash and their length; the bytes decide: chunks are counted
+by the SHA-256 of their texts, and where two different texts share a hash the chunks
+are told apart by their texts. Occurrences are counted map-side, so a chunk with a
+third of all occurrences is a few rows per task; the texts themselves are shuffled
+once, to be rebuilt.
 
 Defined results: NULL and empty texts have no chunk to remove and stay as they
 are; chunks of one line always stay (so one repeated line never goes); a text
@@ -82,7 +82,8 @@ def repeats(docs: DataFrame, chunk_hash=F.xxhash64) -> DataFrame:
     """(doc_id, by_text, places, lines): the chunks to remove, per document that has any."""
     found = _occurrences(docs, chunk_hash)
     small = cut_lineage(found.drop("body"))
-    counted = found.groupBy("hash", "size", "body").agg(F.count(F.lit(1)).alias("n"))
+    digest = F.unhex(F.sha2(F.col("body").cast("binary"), 256)).alias("digest")
+    counted = found.groupBy("hash", "size", digest).agg(F.count(F.lit(1)).alias("n"))
     shared = cut_lineage(counted.groupBy("hash", "size").agg(
         F.sum("n").alias("n"), F.count(F.lit(1)).alias("texts")).where("n > 1"))
     told = small.join(shared.where("texts = 1").select("hash", "size"), ["hash", "size"], "left_semi") \
