@@ -74,7 +74,7 @@ class PartialStore:
         sums = self._read("sums").groupBy(*keys).agg(*[F.sum(c).alias(c) for c in SUMS])
         found = sums
         for grain in GRAINS:
-            counts = bitmaps.member_counts(self._read(f"{grain}_members"), keys, list(REACHED))
+            counts = stored(bitmaps.member_counts(self._read(f"{grain}_members"), keys, list(REACHED)))
             counts = counts.select(*[F.col(k).alias(f"_{k}") for k in keys],
                                    *[F.col(n).alias(f"{grain}_{n}") for n in REACHED])
             met = F.lit(True)

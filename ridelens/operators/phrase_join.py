@@ -137,7 +137,8 @@ def phrase_hits(texts: DataFrame, phrases: DataFrame, share: float = SAMPLE_SHAR
     anchors, widths = _anchors(phrases, texts, share)
     if not widths:
         return texts.select("_row", F.lit("").alias("phrase")).limit(0)
-    found = marked_grams(texts, anchors, widths).join(anchors, "gram") \
+    # written: the few grams are made once (in Python), and their size is known to the join
+    found = written(marked_grams(texts, anchors, widths), "grams").join(anchors, "gram") \
         .groupBy("_row").agg(F.collect_set("phrase").alias("near"))
     checked = texts.join(found, "_row").select(
         "_row", F.explode(F.filter("near", lambda p: F.contains(F.col("_text"), p))).alias("phrase"))
