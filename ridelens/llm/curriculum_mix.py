@@ -32,10 +32,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridelens.llm.common import WORD, cut_lineage, text_of
+from ridelens.session import written
 
 WEIGHTS = (1, 2, 3)
 REPEAT_LIMIT = 3
 BUCKET_ROWS = 20_000
+RANGE_BYTES = 64 << 20      # of texts in a range of the training order
 # Weight over training time, by weight class: (time, weight) knots. Rising,
 # steady and falling, so that the mix drifts from the third class to the first.
 SCHEDULES = (((0.0, 0.5), (1.0, 1.5)),
@@ -87,19 +89,16 @@ def position(share: Column, schedule) -> Column:
     return found
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, repeat_limit: int = REPEAT_LIMIT,
-        bucket_rows: int = BUCKET_ROWS, columns: list[str] | None = None) -> DataFrame:
-    """Each document with size, source_size, target, taken and its occurrences
-    (epoch, words, position): which parts of the training stream it fills.
-
-    ``columns`` are carried along (all if not given); the text travels only if it is one.
-    """
-    named = [c for c in columns or docs.columns if c.lower() not in OUTPUTS]
+def _sized(docs: DataFrame, *carried: Column) -> DataFrame:
+    """``carried`` with source, words and place in the order of its source of every document."""
     by_id = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    sized = docs.select(F.struct(*named).alias("row"), F.col("source"),
-                        n_words(text_of()).alias("size"), by_id.alias("by_id"),
-                        F.md5(text_of().cast("binary")).alias("by_text"))
-    small = cut_lineage(sized.select("source", "size", "by_id"))
+    return docs.select(*carried, F.col("source"), n_words(text_of()).alias("size"), by_id.alias("by_id"),
+                       F.md5(text_of().cast("binary")).alias("by_text"))
+
+
+def _placed(small: DataFrame, sized: DataFrame, weights, repeat_limit: int, bucket_rows: int) -> DataFrame:
+    """``sized`` with source_size, class, target and start: the words of its source before it;
+    ``small`` has the source, size and by_id of the same documents, stored."""
     rows, digits = small.count(), 1
     while rows > bucket_rows * 16 ** digits:
         digits += 1
@@ -113,14 +112,19 @@ def mix(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, repeat_limit: int
         goals.alias("g"), F.col("o.source").eqNullSafe(F.col("g.source"))).select(
         F.col("o.source").alias("s"), F.col("bucket").alias("b"), "begin", "source_size",
         "class", "target")
+    # as files its size is known: a small one is broadcast, and the documents shuffled once less
+    offsets = written(offsets, "mix-offsets")
     placed = sized.withColumn("bucket", bucket)
     placed = placed.join(offsets, F.col("source").eqNullSafe(F.col("s"))
                          & (F.col("bucket") == F.col("b")))
     inside = Window.partitionBy("s", "b").orderBy("by_id", "by_text").rowsBetween(
         Window.unboundedPreceding, -1)
-    placed = placed.withColumn(
+    return placed.withColumn(
         "start", F.col("begin") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
 
+
+def _read(placed: DataFrame, weights, schedules, repeat_limit: int) -> DataFrame:
+    """``placed`` with taken and occurrences."""
     def occurrence(epoch):
         start = epoch * F.col("source_size") + F.col("start")
         words = F.greatest(F.lit(0), F.least(F.col("size"), F.col("stop") - start))
@@ -131,14 +135,26 @@ def mix(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, repeat_limit: int
                 .otherwise(at)
         return F.struct(epoch.alias("epoch"), words.cast("long").alias("words"), at.alias("position"))
 
-    placed = placed.withColumn("stop", F.floor("target").cast("long")).withColumn(
+    read = placed.withColumn("stop", F.floor("target").cast("long")).withColumn(
         "occurrences", F.filter(F.transform(
             F.array(*[F.lit(e) for e in range(repeat_limit)]), occurrence),
             lambda o: o["words"] > 0))
-    taken = F.aggregate(F.transform("occurrences", lambda o: o["words"]),
-                        F.lit(0).cast("long"), lambda a, b: a + b)
-    return placed.select("row.*", "size", "source_size", "target", taken.alias("taken"),
-                         "occurrences")
+    return read.withColumn("taken", F.aggregate(F.transform("occurrences", lambda o: o["words"]),
+                                                F.lit(0).cast("long"), lambda a, b: a + b))
+
+
+def mix(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, repeat_limit: int = REPEAT_LIMIT,
+        bucket_rows: int = BUCKET_ROWS, columns: list[str] | None = None) -> DataFrame:
+    """Each document with size, source_size, target, taken and its occurrences
+    (epoch, words, position): which parts of the training stream it fills.
+
+    ``columns`` are carried along (all if not given); the text travels only if it is one.
+    """
+    named = [c for c in columns or docs.columns if c.lower() not in OUTPUTS]
+    small = cut_lineage(_sized(docs).drop("by_text"))
+    placed = _placed(small, _sized(docs, F.struct(*named).alias("row")), weights, repeat_limit, bucket_rows)
+    return _read(placed, weights, schedules, repeat_limit).select(
+        "row.*", "size", "source_size", "target", "taken", "occurrences")
 
 
 def arrange(mixed: DataFrame) -> DataFrame:
@@ -149,6 +165,57 @@ def arrange(mixed: DataFrame) -> DataFrame:
     return flat.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
 
 
+def training_order(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, repeat_limit: int = REPEAT_LIMIT,
+                   bucket_rows: int = BUCKET_ROWS, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """The rows of ``arrange(mix(docs))``; the texts are shuffled once.
+
+    The positions are found and range-sorted without the texts. Inside a source and epoch
+    they rise with the order by hashes of id and text, so a range holds one run of every
+    source's documents. The runs' ends and the words before them tell each document, as it is
+    read, the ranges of its readings; there its place follows from a prefix sum once more.
+    Documents of equal id and text go to all ranges that any of them belongs to, and each
+    is kept in its own.
+    """
+    named = [c for c in docs.columns if c.lower() not in OUTPUTS]
+    key = F.unhex(F.concat("by_id", "by_text"))
+    small = cut_lineage(_sized(docs, F.col("doc_id"), F.octet_length(text_of()).alias("bytes")))
+    placed = _placed(small, small, weights, repeat_limit, bucket_rows)
+    # a document's words begin at ``start``, those of the first one equal to it at ``base``
+    equal = Window.partitionBy("s", "b", "by_id", "by_text")
+    placed = placed.withColumn("base", F.min("start").over(equal)).withColumn("key", key)
+    readings = cut_lineage(_read(placed, weights, schedules, repeat_limit).select(
+        "doc_id", "source", "source_size", "class", "target", "key", "start", "base", "bytes",
+        F.inline("occurrences")))
+    n_ranges = 1 + (readings.agg(F.sum("bytes")).first()[0] or 0) // range_bytes
+    ranged = readings.repartitionByRange(n_ranges, "position", "doc_id") \
+        .withColumn("part", F.spark_partition_id())
+    first_byte = lambda c: F.conv(F.hex(F.substring(c, 1, 1)), 16, 10).cast("int")
+    runs = ranged.groupBy("source", "epoch", "part").agg(
+        *[F.first(c).alias(c) for c in ("source_size", "class", "target")],
+        F.min("key").alias("low"), F.max("key").alias("high"), F.min("base").alias("base"),
+        F.min("start").alias("first"), F.max("start").alias("last"))
+    runs = written(runs.withColumnRenamed("source", "s").withColumn(
+        "b", F.explode(F.sequence(first_byte("low"), first_byte("high")))), "mix-runs")
+    n_parts = 1 + (runs.agg(F.max("part")).first()[0] or 0)
+
+    hashed = [c for c, kind in docs.dtypes if "map<" not in kind]
+    texts = _sized(docs, F.struct(*named).alias("row"), F.xxhash64(*hashed).alias("tie")) \
+        .withColumn("key", key).withColumn("bucket", first_byte("key"))
+    texts = texts.join(runs, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b"))
+                       & F.col("key").between(F.col("low"), F.col("high")))
+    run = Window.partitionBy("part", "s", "epoch").orderBy("key", "tie").rowsBetween(
+        Window.unboundedPreceding, -1)
+    dealt = texts.select("row", "size", "tie", "key", "s", "epoch", "part", "source_size", "class", "target",
+                         "base", "first", "last").repartitionById(n_parts, "part")
+    dealt = dealt.withColumn("start", F.col("base") + F.coalesce(F.sum("size").over(run), F.lit(0))) \
+        .where("size > 0 and start between first and last")
+    read = _read(dealt, weights, schedules, repeat_limit).withColumn("occurrence", F.get(F.filter(
+        "occurrences", lambda o: o["epoch"] == F.col("epoch")), F.lit(0)))
+    columns = [c for c in named if c.lower() not in ("epoch", "words", "position")]
+    return read.select(*[F.col("row")[c].alias(c) for c in columns], "size", "source_size", "target", "taken",
+                       "occurrence.*").sortWithinPartitions("position", "doc_id")
+
+
 def mix_report(docs: DataFrame, repeat_limit: int = REPEAT_LIMIT) -> DataFrame:
     """Per document its size, its source's size and target, and the words the mix takes."""
     return mix(docs, columns=["doc_id"], repeat_limit=repeat_limit).drop("occurrences")

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import pytest
 
@@ -97,3 +98,34 @@ def test_no_words_and_no_rows(spark):
     assert sorted(map(tuple, op.mix_report(docs).collect())) == [(1, 0, 0, 0.0, 0), (2, 0, 0, 0.0, 0)]
     assert op.arrange(op.mix(docs)).collect() == []
     assert op.mix_report(docs.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("range_bytes", [10 ** 9, 900, 60])
+def test_training_order_is_arrange_of_mix(spark, range_bytes):
+    rows = make_rows(random.Random(8), 200) + [(3, "a b c d e", "a", f"s{i % 5}", i % 2, 2, 3) for i in range(40)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    want = op.arrange(op.mix(docs))
+    got = op.training_order(docs, bucket_rows=9, range_bytes=range_bytes)
+    assert got.columns == want.columns
+    got, want = got.collect(), want.collect()
+    # documents of equal id and text may change places with each other
+    apart = lambda rows: sorted(((r.doc_id is None, r.doc_id or 0, r.text, r.source or "-", r.epoch, r.words,
+                                  r.position, r.size, r.source_size, r.target, r.taken) for r in rows))
+    assert apart(got) == apart(want)
+    held = Counter((*r[:3], *r[4:]) for r in rows)
+    for epoch in range(3):
+        read = Counter(tuple(r[:6]) for r in got if r.epoch == epoch)
+        assert not read - held
+    assert [r.position for r in got] == sorted(r.position for r in got)
+
+
+def test_training_order_shuffles_texts_once(spark, capsys):
+    docs = spark.createDataFrame(make_rows(random.Random(9)), SCHEMA)
+    op.training_order(docs).explain()
+    plan = capsys.readouterr().out
+    assert plan.count("Exchange") - plan.count("BroadcastExchange") == 1, plan
+
+
+def test_training_order_of_no_words(spark):
+    docs = spark.createDataFrame([(1, None, None), (2, " ", "a")], "doc_id BIGINT, text STRING, source STRING")
+    assert op.training_order(docs).collect() == [] == op.training_order(docs.limit(0)).collect()
